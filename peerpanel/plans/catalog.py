@@ -558,16 +558,16 @@ def q_cohort_shares(spark, sf_dir):
 
 @query("cohort_funding", with_o(COHORT_SQL.strip().lstrip(",").join([",\n", ""]) + """
 SELECT designation,
-  CAST(sum(urgent) AS DOUBLE) / count(urgent) * 1000.0 AS urgent,
-  CAST(sum(high) AS DOUBLE) / count(high) * 1000.0 AS high,
-  CAST(sum(medium) AS DOUBLE) / count(medium) * 1000.0 AS medium,
-  CAST(sum(not_specified) AS DOUBLE) / count(not_specified) * 1000.0 AS not_specified,
-  CAST(sum(low) AS DOUBLE) / count(low) * 1000.0 AS low
+  round(CAST(sum(urgent) AS DOUBLE) / count(urgent) * 1000.0, 4) AS urgent,
+  round(CAST(sum(high) AS DOUBLE) / count(high) * 1000.0, 4) AS high,
+  round(CAST(sum(medium) AS DOUBLE) / count(medium) * 1000.0, 4) AS medium,
+  round(CAST(sum(not_specified) AS DOUBLE) / count(not_specified) * 1000.0, 4) AS not_specified,
+  round(CAST(sum(low) AS DOUBLE) / count(low) * 1000.0, 4) AS low
 FROM stacked GROUP BY designation
 """))
 def q_cohort_funding(spark, sf_dir):
     out = C.cohort_funding(_stacked(spark, sf_dir), fx.O_METRICS)
-    return out.withColumns({m: F.round(m, 2) for m in fx.O_METRICS})
+    return out.withColumns({m: r4(m) for m in fx.O_METRICS})
 
 
 # Short labels for the cohort names.
@@ -706,14 +706,20 @@ box AS (
     min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS lower_whisker,
     max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS upper_whisker,
     count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers,
-    any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3
+    round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3
   FROM lng l JOIN qq ON l.metric = qq.metric GROUP BY l.metric)
 """
 
 
 @query("box_stats", with_o(_box_sql("profile") + "SELECT * FROM box"))
 def q_box_stats(spark, sf_dir):
-    return box_stats(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS).withColumn("mean", r4("mean"))
+    return _round_box(box_stats(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS))
+
+
+def _round_box(df: DataFrame) -> DataFrame:
+    """Interpolated quartiles differ from DuckDB's by at most one ulp: compare them to 6 places."""
+    return df.withColumns({"mean": r4("mean"), "q1": F.round("q1", 6), "median": F.round("median", 6),
+                           "q3": F.round("q3", 6)})
 
 
 @query("target_vs_box", with_o(_box_sql("(SELECT * FROM peers WHERE entity_id <> (SELECT id FROM target))") + """,
@@ -726,7 +732,7 @@ FROM box LEFT JOIN tv ON box.metric = tv.metric
 """))
 def q_target_vs_box(spark, sf_dir):
     _, peers, target = o_peers(spark, sf_dir)
-    return C.target_vs_box(peers, "entity_id", target, fx.O_ALL_METRICS).withColumn("mean", r4("mean"))
+    return _round_box(C.target_vs_box(peers, "entity_id", target, fx.O_ALL_METRICS))
 
 
 # 9. Fills, standardising, one-hot (X7, X8, W3, R6) ----------------------------------
@@ -890,13 +896,12 @@ EXACT_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 @query("exact_quantiles", with_o(""",
 lng AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS variable, {m} AS v FROM profile WHERE {m} IS NOT NULL"
-                                  for m in fx.O_ALL_METRICS) + """),
-ps AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS prob)
-SELECT variable, CAST(prob AS DOUBLE) AS prob, quantile_cont(v, prob) AS value, count(*) AS n
-FROM lng CROSS JOIN ps GROUP BY variable, prob
-"""))
+                                  for m in fx.O_ALL_METRICS) + """)
+""" + " UNION ALL ".join(f"SELECT variable, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(v, {p}), 6) AS value, "
+                         f"count(*) AS n FROM lng GROUP BY variable" for p in [0.1, 0.25, 0.5, 0.75, 0.9])))
 def q_exact_quantiles(spark, sf_dir):
-    return quantiles_long(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS, EXACT_PROBS)
+    q = quantiles_long(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS, EXACT_PROBS)
+    return q.withColumn("value", F.round("value", 6))
 
 
 @query("rank_in_group", with_o("""
