@@ -14,11 +14,10 @@ import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._names import as_list, col
+from .._names import col
 from ..session import cut_lineage
 
 
@@ -26,6 +25,31 @@ def _persisted(df: DataFrame, checkpoint: bool) -> DataFrame:
     return cut_lineage(df) if checkpoint else df.cache()
 
 
+def _fit_one(data: DataFrame, k: int, seed: int, features: str, max_iter: int, tol: float):
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features,
+                predictionCol="__cluster", initMode="k-means||")
+    model = km.fit(data)
+    return k, seed, model, float(model.summary.trainingCost)
+
+
+def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], features: str = "features", max_iter: int = 300,
+             tol: float = 1e-4, parallel: int | None = None) -> dict[int, tuple[KMeansModel, float, int]]:
+    """Fit one model per (k, seed), several at a time: each fit is its own distributed
+    Spark job, submitted from a thread pool so small fits do not wait on each other.
+    Returns, per k, the (model, inertia, seed) with the lowest inertia (lowest seed on a tie)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    workers = parallel or max(1, min(len(specs), data.sparkSession.sparkContext.defaultParallelism))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        results = list(pool.map(lambda ks: _fit_one(data, ks[0], ks[1], features, max_iter, tol), specs))
+    best: dict[int, tuple[KMeansModel, float, int]] = {}
+    for k, seed, model, cost in results:
+        cur = best.get(k)
+        if cur is None or (cost, seed) < (cur[1], cur[2]):
+            best[k] = (model, cost, seed)
+    return best
+
+
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 10,
                max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> tuple[KMeansModel, float]:
     """M3 fit: MLlib has no restart parameter, so fit seeds ``seed .. seed+restarts-1`` and keep
@@ -33,15 +57,8 @@ def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42
     if k < 2:
         raise ValueError("k-means needs k >= 2; use inertia_k1 for k = 1")
     data = _persisted(df.select(features), checkpoint)
-    best, best_cost = None, None
-    for r in range(max(1, restarts)):
-        km = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol=features,
-                    predictionCol="__cluster", initMode="k-means||")
-        model = km.fit(data)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    return best, float(best_cost)
+    model, cost, _ = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], features, max_iter, tol)[k]
+    return model, cost
 
 
 def relabel_order(centres: Sequence[np.ndarray]) -> list[int]:
@@ -81,16 +98,14 @@ def elbow(df: DataFrame, ks: Iterable[int], features: str = "features", seed: in
     """M4: inertia for each k (k = 1 in closed form).  Returns (k, inertia)."""
     spark = df.sparkSession
     data = _persisted(df.select(features), checkpoint)
-    rows = []
-    k1 = None
-    for k in ks:
-        if k == 1:
-            k1 = inertia_k1(data, features)
-            continue
-        _, cost = fit_kmeans(data, k, features, seed, restarts, max_iter, tol, checkpoint=False)
-        rows.append((int(k), float(cost)))
+    ks = list(ks)
+    fits = fit_many(data, [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))],
+                    features, max_iter, tol) if any(k >= 2 for k in ks) else {}
+    rows = [(int(k), float(fits[k][1])) for k in ks if k >= 2]
     out = spark.createDataFrame(rows, "k int, inertia double")
-    return k1.unionByName(out) if k1 is not None else out
+    if 1 in ks:
+        return inertia_k1(data, features).unionByName(out)
+    return out
 
 
 def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] | None = None,

@@ -6,8 +6,8 @@ whole column in one task:
 1. Approximate splits per (group, column) from ``percentile_approx`` at
    ``buckets`` probabilities.  These are plan-time facts: ``buckets`` numbers per
    column reach the driver, never rows.
-2. Every value is assigned its bucket by a balanced comparison tree built from
-   the splits (a codegen'd expression, O(log buckets) per row), and counted per
+2. Every value is assigned its bucket by binary search over the splits (MLlib's
+   ``Bucketizer``, on the JVM, O(log buckets) per row), and counted per
    (group, column, bucket, value): a value repeated a billion times is one row
    after the map-side combine.
 3. Exact bucket sizes give, for every wanted rank, the bucket that holds it and
@@ -29,64 +29,82 @@ from .._names import as_list, col
 from .joins import bounded
 
 DEFAULT_BUCKETS = 128
+# Columns with at most this many values take Spark's exact ``percentile`` aggregate,
+# whose state (a map of distinct values) is then bounded by this size.
+SMALL_COLUMN = 100_000
 
 
-def _long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _wide_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     cols = as_list(columns)
-    by = as_list(by)
-    wide = df.select(*[col(b).alias(b) for b in by], *[col(c).cast("double").alias(c) for c in cols])
-    long = wide.unpivot([F.col(b) for b in by] if by else [], [F.col(c) for c in cols], "variable", "v")
-    return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def _tree(v: Column, splits: list[float], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v <= F.lit(splits[mid]), _tree(v, splits, lo, mid)).otherwise(_tree(v, splits, mid + 1, hi))
+    sel = [col(b).alias(b) for b in as_list(by)]
+    for c in cols:
+        v = col(c).cast("double")
+        sel.append(F.when(F.isnan(v), F.lit(None)).otherwise(v).alias(c))
+    return df.select(*sel)
 
 
-def _group_match(by: Sequence[str], key: tuple) -> Column:
-    cond = F.lit(True)
-    for b, k in zip(by, key):
-        cond = cond & (F.col(b).isNull() if k is None else (F.col(b) == F.lit(k)))
-    return cond
+def _long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    by = as_list(by)
+    cols = as_list(columns)
+    wide = _wide_numeric(df, cols, by)
+    long = wide.unpivot([F.col(b) for b in by] if by else [], [F.col(c) for c in cols], "variable", "v")
+    return long.where(F.col("v").isNotNull())
 
 
 def quantiles_long(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000,
+                   small_column: int = SMALL_COLUMN) -> DataFrame:
     """Exact quantiles, one row per (by..., variable, prob) with ``value`` and ``n``.
 
     Linear interpolation between the order statistics at ``floor(p*(n-1))`` and the
-    next one, as ``a + (b - a) * frac`` (exact when ``a == b``).  NULL and NaN are
-    skipped; a column with no values gives no row.
+    next one (numpy's default rule).  NULL and NaN are skipped; a column (or group)
+    with no values gives no row.
+
+    One first pass per column gives its size and approximate splits.  Columns of at
+    most ``small_column`` values use Spark's exact ``percentile`` aggregate (bounded
+    state); larger ones use the bucketed exact method described in the module doc.
     """
     by = as_list(by)
+    cols = as_list(columns)
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
-    long = _long_numeric(df, columns, by)
+    long = _long_numeric(df, cols, by)
+    keys = [*by, "variable"]
 
-    # 1. plan-time splits
+    # 1. plan-time facts per column: size and approximate splits
     qs = [i / buckets for i in range(1, buckets)]
-    split_rows = (long.groupBy(*by, "variable")
-                  .agg(F.percentile_approx("v", qs, accuracy).alias("s")).collect())
-    v = F.col("v")
-    cases = None
-    for r in split_rows:
-        splits = sorted(set(x for x in (r["s"] or []) if x is not None))
-        tree = _tree(v, splits, 0, len(splits)) if splits else F.lit(0)
-        cond = _group_match(by, tuple(r[b] for b in by)) & (F.col("variable") == F.lit(r["variable"]))
-        cases = F.when(cond, tree) if cases is None else cases.when(cond, tree)
-    if cases is None:
-        cases = F.lit(0)
-    else:
-        cases = cases.otherwise(F.lit(0))
-
-    # 2. exact counts per distinct value, with its bucket
-    hist = (long.withColumn("b", cases)
-            .groupBy(*by, "variable", "b", "v").agg(F.count(F.lit(1)).alias("c")))
-    keys = [*by, "variable"]
+    facts = {r["variable"]: (r["n"], r["s"]) for r in
+             long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"),
+                                          F.percentile_approx("v", qs, accuracy).alias("s")).collect()}
+    if not facts:
+        return long.select(*keys, F.lit(None).cast("double").alias("prob"),
+                           F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("n")).limit(0)
+    if max(n for n, _ in facts.values()) <= small_column:
+        agg = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                      F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("qs"))
+        pt = F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(i).alias("i")) for i, p in enumerate(probs)])
+        return (agg.select(*keys, "n", "qs", F.inline(pt))
+                .select(*keys, "prob", F.col("qs")[F.col("i")].alias("value"), "n"))
+
+    # 2. bucket of every value (binary search over the column's splits), exact counts
+    from pyspark.ml.feature import Bucketizer
+
+    wide = _wide_numeric(df, [c for c in cols if c in facts], by)
+    present = [c for c in cols if c in facts]
+    splits = []
+    for c in present:
+        sp = sorted(set(float(x) for x in (facts[c][1] or []) if x is not None))
+        splits.append([float("-inf")] + sp + [float("inf")])
+    bcols = {c: f"__b{i}" for i, c in enumerate(present)}
+    vcols = {c: f"__v{i}" for i, c in enumerate(present)}
+    wide = wide.select(*[F.col(b) for b in by], *[col(c).alias(vcols[c]) for c in present])
+    bucketed = Bucketizer(splitsArray=splits, inputCols=[vcols[c] for c in present],
+                          outputCols=[bcols[c] for c in present], handleInvalid="keep").transform(wide)
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(vcols[c]).alias("v"),
+                               F.col(bcols[c]).cast("int").alias("b")) for c in present])
+    hist = (bucketed.select(*[F.col(b) for b in by], F.inline(pairs)).where(F.col("v").isNotNull())
+            .groupBy(*keys, "b", "v").agg(F.count(F.lit(1)).alias("c")))
     btot = hist.groupBy(*keys, "b").agg(F.sum("c").alias("nb"))
     # (groups x columns x buckets) rows: small, ranked per column.
     wk = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -96,8 +114,8 @@ def quantiles_long(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
             .withColumn("n", F.sum("nb").over(wn)))
 
     # 3. wanted ranks: floor(p*(n-1)) and the next one, per prob
-    ptab = df.sparkSession.createDataFrame([(i, p) for i, p in enumerate(probs)], "pid int, prob double")
-    ranks = (btot.select(*keys, "n").distinct().crossJoin(bounded(ptab))
+    pt = F.array(*[F.struct(F.lit(i).alias("pid"), F.lit(p).alias("prob")) for i, p in enumerate(probs)])
+    ranks = (btot.select(*keys, "n").distinct().select(*keys, "n", F.inline(pt))
              .withColumn("h", F.col("prob") * (F.col("n") - 1))
              .withColumn("k0", F.floor("h").cast("long"))
              .withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1))

@@ -60,8 +60,8 @@ def read_headerless(spark: SparkSession, path: str | Sequence[str], names: Seque
             .withColumn("_block", F.input_file_block_start())
             .withColumn("_pos", F.monotonically_increasing_id()))
     w = Window.partitionBy("_file", "_block").orderBy("_pos")
-    keep = (F.col("_block") > 0) | (F.row_number().over(w) > skip_rows)
-    return df.where(keep).drop("_file", "_block", "_pos")
+    df = df.withColumn("_rn", F.row_number().over(w))
+    return df.where((F.col("_block") > 0) | (F.col("_rn") > skip_rows)).drop("_file", "_block", "_pos", "_rn")
 
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("year",),
