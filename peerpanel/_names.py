@@ -29,3 +29,9 @@ def as_list(value: str | Sequence[str] | None) -> list[str]:
 def others(columns: Iterable[str], exclude: Iterable[str]) -> list[str]:
     skip = set(exclude)
     return [c for c in columns if c not in skip]
+
+
+def value(x) -> Column:
+    """A literal, or a Column passed through (e.g. a scalar subquery from ``DataFrame.scalar()``,
+    so a target found from the data stays inside the plan)."""
+    return x if isinstance(x, Column) else F.lit(x)

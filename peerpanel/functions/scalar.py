@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .._names import as_list, col
+from .._names import as_list, col, value
 
 
 def _c(x: str | Column) -> Column:
@@ -92,7 +92,7 @@ def target_value(df: DataFrame, key: str, target, columns: Sequence[str], defaul
                  prefix: str = "target_") -> DataFrame:
     """One-row DataFrame with the target's value of each column, or ``default`` when the
     target is absent.  A global aggregate (one row), so it can be broadcast back."""
-    hit = col(key) == F.lit(target)
+    hit = col(key) == value(target)
     aggs = []
     for c in as_list(columns):
         v = F.max_by(col(c), F.when(hit, F.lit(1)))

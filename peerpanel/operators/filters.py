@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._names import as_list, col
+from .._names import value as as_value
 
 
 def require_key(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -30,14 +31,14 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 def split_target(df: DataFrame, key: str, target) -> tuple[DataFrame, DataFrame]:
     """(the target's rows, everyone else).  NULL keys belong to neither."""
-    return df.where(col(key) == F.lit(target)), df.where(col(key) != F.lit(target))
+    return df.where(col(key) == as_value(target)), df.where(col(key) != as_value(target))
 
 
 def cohort_with_target(df: DataFrame, flag: str, key: str | None = None, target=None) -> DataFrame:
     """rows of the cohort flag, alone or ``OR key = target``."""
     cond = F.coalesce(col(flag), F.lit(False))
     if key is not None and target is not None:
-        cond = cond | F.coalesce(col(key) == F.lit(target), F.lit(False))
+        cond = cond | F.coalesce(col(key) == as_value(target), F.lit(False))
     return df.where(cond)
 
 
@@ -64,7 +65,7 @@ def in_table(df: DataFrame, column: str, values: DataFrame, value_col: str | Non
 
 def lookup(df: DataFrame, column: str, value, columns: Sequence[str] | None = None) -> DataFrame:
     """rows where a string attribute equals ``value``, projected to ``columns``."""
-    out = df.where(col(column) == F.lit(value))
+    out = df.where(col(column) == as_value(value))
     return out.select(*[col(c) for c in columns]) if columns else out
 
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._names import as_list, col
+from .._names import as_list, col, value
 from ..functions.scalar import fill_unknown, last_of, match_flag, money_text, percent_text
 from ..operators.aggregates import (change_counts, cluster_profile, club, count_by, mean_of, modal_value,
                                     value_shares)
@@ -76,7 +76,7 @@ def attribute_stability(registry_long: DataFrame, keys: Sequence[str], columns:
 def target_vs_box(profile: DataFrame, key: str, target, metrics: Sequence[str]) -> DataFrame:
     """Per metric, the peers' box statistics (target excluded) beside the target's value
     (NULL when the target is absent) and the short label (X2)."""
-    peers = profile.where(col(key) != F.lit(target))
+    peers = profile.where(col(key) != value(target))
     box = box_stats(peers, metrics)
     tv = target_long(profile, key, target, metrics)
     return (box.join(tv, on="metric", how="left")
@@ -86,7 +86,7 @@ def target_vs_box(profile: DataFrame, key: str, target, metrics: Sequence[str])
 def target_long(profile: DataFrame, key: str, target, metrics: Sequence[str], name: str = "target_value") -> DataFrame:
     """The target's value of each metric as (metric, value) rows; one row per metric even
     when the target is absent (value NULL).  A one-row aggregate, melted."""
-    hit = col(key) == F.lit(target)
+    hit = col(key) == value(target)
     one = profile.agg(*[F.max_by(col(m).cast("double"), F.when(hit, F.lit(1))).alias(m) for m in metrics])
     return melt(one, [], list(metrics), "metric", name)
 
@@ -103,7 +103,7 @@ def quartile_distribution(profile: DataFrame, metrics: Sequence[str], key: str,
     counts = long.where(F.col("quartile").isNotNull()).groupBy("metric", "quartile").agg(
         F.count(F.lit(1)).alias("count"))
     tq = long.groupBy("metric").agg(
-        F.coalesce(F.max_by("quartile", F.when(col(key) == F.lit(target), F.lit(1))), F.lit(default))
+        F.coalesce(F.max_by("quartile", F.when(col(key) == value(target), F.lit(1))), F.lit(default))
         .alias("target_quartile"))
     return (counts.join(tq, on="metric")
             .withColumn("quartile_rank", category_rank("quartile", list(labels)))
@@ -113,8 +113,8 @@ def quartile_distribution(profile: DataFrame, metrics: Sequence[str], key: str,
 def target_vs_means(profile: DataFrame, key: str, target, outlier, metrics: Sequence[str]) -> DataFrame:
     """Per metric, the target's mean, the peers' mean (target excluded) and the peers'
     mean without the outlier.  One aggregate with conditional means."""
-    is_t = col(key) == F.lit(target)
-    is_o = col(key) == F.lit(outlier)
+    is_t = col(key) == value(target)
+    is_o = col(key) == value(outlier)
     aggs = []
     for m in metrics:
         x = col(m).cast("double")
@@ -132,7 +132,7 @@ def compare_categorical(profile: DataFrame, key: str, target, columns: Sequence[
                         default: str = "N/A") -> DataFrame:
     """Per attribute, the target's value (``default`` if absent) and the peers'
     distribution (target excluded, NULLs excluded) as share and percent text."""
-    peers = profile.where(col(key) != F.lit(target))
+    peers = profile.where(col(key) != value(target))
     shares = value_shares(peers, columns)
     tv = target_text(profile, key, target, columns, default)
     return (shares.join(tv, on="variable", how="left")
@@ -140,7 +140,7 @@ def compare_categorical(profile: DataFrame, key: str, target, columns: Sequence[
 
 
 def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], default: str = "N/A") -> DataFrame:
-    hit = col(key) == F.lit(target)
+    hit = col(key) == value(target)
     present = F.max(F.when(hit, F.lit(1)))
     one = profile.agg(present.alias("__present"),
                       *[F.max_by(col(c).cast("string"), F.when(hit, F.lit(1))).alias(c) for c in columns])
@@ -153,7 +153,7 @@ def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fi
     """Per attribute, the target's value, the peers' mode (NULLs counted as ``fill``,
     since the reference fills them first) and its share, and whether they match."""
     filled = fill_unknown(profile, [c for c in columns], fill)
-    peers = filled.where(col(key) != F.lit(target))
+    peers = filled.where(col(key) != value(target))
     modes = modal_value(peers, columns)
     tv = _target_plain(filled, key, target, columns)
     return (modes.join(tv, on="variable", how="left")
@@ -162,7 +162,7 @@ def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fi
 
 
 def _target_plain(df: DataFrame, key: str, target, columns: Sequence[str]) -> DataFrame:
-    hit = col(key) == F.lit(target)
+    hit = col(key) == value(target)
     one = df.agg(*[F.max_by(col(c).cast("string"), F.when(hit, F.lit(1))).alias(c) for c in columns])
     return melt(one, [], list(columns), "variable", "target_value")
 
@@ -176,7 +176,7 @@ def rollup_by_state(profile: DataFrame, dim: DataFrame, group: str, dim_key: str
     are dropped.  ``exclude`` really excludes (the reference's version did not)."""
     base = profile.where(col(group).isNotNull())
     keep_all = F.lit(True)
-    no_out = (col(key) != F.lit(outlier)) | col(key).isNull()
+    no_out = (col(key) != value(outlier)) | col(key).isNull()
     frames = []
     for include, cond in (("with", keep_all), ("without", no_out)):
         aggs_mean = [F.avg(F.when(cond, col(m).cast("double"))).alias(m) for m in metrics]
@@ -271,7 +271,7 @@ def target_cluster(clustered: DataFrame, key: str, target, name: str, by: str =
                    cluster: str = "cluster") -> DataFrame:
     """C14: the target's cluster with its size and its first ``n`` members by ``by``
     (ascending, key breaks ties).  Empty when the target is absent."""
-    tc = clustered.where(col(key) == F.lit(target)).select(col(cluster).alias("__tc")).distinct()
+    tc = clustered.where(col(key) == value(target)).select(col(cluster).alias("__tc")).distinct()
     inside = clustered.join(bounded(tc), col(cluster) == F.col("__tc"), "left_semi")
     size = inside.groupBy(col(cluster)).agg(F.count(F.lit(1)).alias("cluster_size"))
     top = rank_within(inside, cluster, [col(by).asc(), col(key).asc()], out="position", top=n)
@@ -293,7 +293,7 @@ def cluster_card(clustered: DataFrame, key: str, target, attrs: Sequence[str], m
                  cluster: str = "cluster") -> DataFrame:
     """For the target's cluster, the modal value of each attribute and the mean of each
     metric (one row)."""
-    tc = clustered.where(col(key) == F.lit(target)).select(col(cluster).alias("__tc")).distinct()
+    tc = clustered.where(col(key) == value(target)).select(col(cluster).alias("__tc")).distinct()
     inside = clustered.join(bounded(tc), col(cluster) == F.col("__tc"), "left_semi")
     modes = modal_value(inside, attrs, [cluster]).groupBy(cluster).pivot("variable", list(attrs)).agg(
         F.first("mode"))
@@ -304,7 +304,7 @@ def cluster_card(clustered: DataFrame, key: str, target, attrs: Sequence[str], m
 def cluster_box(clustered: DataFrame, metric: str, key: str, target, cluster: str = "cluster") -> DataFrame:
     """C17: box statistics of one metric per cluster, with the target's cluster and value."""
     box = box_stats(clustered, [metric], by=[cluster])
-    hit = col(key) == F.lit(target)
+    hit = col(key) == value(target)
     t = clustered.agg(F.max_by(col(cluster), F.when(hit, F.lit(1))).alias("target_cluster"),
                       F.max_by(col(metric).cast("double"), F.when(hit, F.lit(1))).alias("target_value"))
     return box.crossJoin(bounded(t))

@@ -130,12 +130,15 @@ def _types_filter(agg: str, value: str = "amount") -> str:
 # Plan-time facts ------------------------------------------------------------
 
 def o_target(profile: DataFrame):
-    return profile.where(~F.col("member")).agg(F.min("entity_id")).first()[0]
+    """The target: the smallest key that is not a member, as a scalar subquery (it stays in
+    the plan; no driver round trip)."""
+    return profile.where(~F.col("member")).agg(F.min("entity_id")).scalar()
 
 
 def o_outlier(profile: DataFrame):
-    row = profile.orderBy(F.col("total_with").desc(), F.col("entity_id").asc()).select("entity_id").first()
-    return row[0] if row else None
+    """The outlier: the largest ``total_with`` (smallest key on a tie), as a scalar subquery."""
+    return (profile.orderBy(F.col("total_with").desc(), F.col("entity_id").asc()).limit(1)
+            .select("entity_id").scalar())
 
 
 def o_peers(spark: SparkSession, sf_dir: str):
@@ -861,7 +864,7 @@ WHERE entity_name = (SELECT entity_name FROM profile WHERE entity_id = (SELECT i
 def q_lookup_entity(spark, sf_dir):
     p = fx.profile_o(spark, sf_dir)
     target = o_target(p)
-    name = p.where(F.col("entity_id") == target).select("entity_name").first()[0]
+    name = p.where(F.col("entity_id") == target).select("entity_name").scalar()
     return lookup(p, "entity_name", name, ["entity_name", "urgent", "total_with"])
 
 

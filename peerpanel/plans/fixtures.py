@@ -172,12 +172,17 @@ def registry_wide_l(spark: SparkSession, sf_dir: str, years: list[int] | None =
     and one whose name holds parentheses)."""
     years = years if years is not None else registry_years(spark, sf_dir)
     li = lineitem_l(spark, sf_dir)
+    # One (supplier, year) aggregate first: a single distinct count per group, so no
+    # row is expanded once per year; then a conditional pivot on the small result.
+    per_year = li.groupBy("l_suppkey", "year").agg(F.sum("l_quantity").alias("q"),
+                                                   F.count_distinct("l_orderkey").alias("n"))
     aggs = []
     for y in sorted(years):
-        aggs.append(F.sum(F.when(F.col("year") == y, F.col("l_quantity"))).alias(f"Quantity (units) (HD{y})"))
+        aggs.append(F.max(F.when(F.col("year") == y, F.col("q"))).alias(f"Quantity (units) (HD{y})"))
         if y != max(years):
-            aggs.append(F.count_distinct(F.when(F.col("year") == y, F.col("l_orderkey"))).alias(f"Orders (HD{y})"))
-    reg = li.groupBy("l_suppkey").agg(*aggs)
+            aggs.append(F.coalesce(F.max(F.when(F.col("year") == y, F.col("n"))), F.lit(0))
+                        .alias(f"Orders (HD{y})"))
+    reg = per_year.groupBy("l_suppkey").agg(*aggs)
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return reg.join(s, reg.l_suppkey == s.s_suppkey).select(
         F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("entity_name"),
