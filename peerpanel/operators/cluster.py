@@ -22,7 +22,12 @@ from ..session import cut_lineage
 
 
 def _persisted(df: DataFrame, checkpoint: bool) -> DataFrame:
-    return cut_lineage(df) if checkpoint else df.cache()
+    """Vectors for iterative fits: checkpointed into the shared folder (short lineage if an
+    executor is lost) and persisted once, so every restart reads the same copy."""
+    from pyspark import StorageLevel
+
+    base = cut_lineage(df) if checkpoint else df
+    return base.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(data: DataFrame, k: int, seed: int, features: str, max_iter: int, tol: float):
@@ -57,7 +62,10 @@ def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42
     if k < 2:
         raise ValueError("k-means needs k >= 2; use inertia_k1 for k = 1")
     data = _persisted(df.select(features), checkpoint)
-    model, cost, _ = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], features, max_iter, tol)[k]
+    try:
+        model, cost, _ = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], features, max_iter, tol)[k]
+    finally:
+        data.unpersist()
     return model, cost
 
 
@@ -74,15 +82,17 @@ def relabel_order(centres: Sequence[np.ndarray]) -> list[int]:
 
 def kmeans(df: DataFrame, k: int, features: str = "features", out: str = "cluster", seed: int = 42,
            restarts: int = 10, max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> DataFrame:
-    """M3: fit (with restarts) and assign; the cluster column is renumbered by :func:`relabel_order`.
-    Assignment is the nearest centre (M6), a projection with no shuffle."""
+    """M3: fit (with restarts) and assign each row its nearest centre (the model's own
+    predict, vectorised on the JVM); clusters are renumbered by :func:`relabel_order`
+    through a k-entry literal map, a projection with no shuffle."""
     model, _ = fit_kmeans(df, k, features, seed, restarts, max_iter, tol, checkpoint)
     centres = [np.asarray(c) for c in model.clusterCenters()]
     order = relabel_order(centres)
-    ordered = [None] * len(centres)
-    for i, c in enumerate(centres):
-        ordered[order[i]] = c
-    return assign_nearest(df, [list(map(float, c)) for c in ordered], vector=features, out=out)
+    pairs = []
+    for i, j in enumerate(order):
+        pairs += [F.lit(i), F.lit(j)]
+    pred = model.setPredictionCol("__pred").transform(df)
+    return pred.withColumn(out, F.element_at(F.create_map(*pairs), F.col("__pred"))).drop("__pred")
 
 
 def inertia_k1(df: DataFrame, features: str = "features") -> DataFrame:
@@ -97,15 +107,17 @@ def elbow(df: DataFrame, ks: Iterable[int], features: str = "features", seed: in
           max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> DataFrame:
     """M4: inertia for each k (k = 1 in closed form).  Returns (k, inertia)."""
     spark = df.sparkSession
-    data = _persisted(df.select(features), checkpoint)
     ks = list(ks)
-    fits = fit_many(data, [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))],
-                    features, max_iter, tol) if any(k >= 2 for k in ks) else {}
-    rows = [(int(k), float(fits[k][1])) for k in ks if k >= 2]
-    out = spark.createDataFrame(rows, "k int, inertia double")
-    if 1 in ks:
-        return inertia_k1(data, features).unionByName(out)
-    return out
+    data = _persisted(df.select(features), checkpoint)
+    try:
+        fits = fit_many(data, [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))],
+                        features, max_iter, tol) if any(k >= 2 for k in ks) else {}
+        rows = [(int(k), float(fits[k][1])) for k in ks if k >= 2]
+        if 1 in ks:
+            rows = [(1, float(inertia_k1(data, features).first()["inertia"]))] + rows
+    finally:
+        data.unpersist()
+    return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] | None = None,
@@ -137,16 +149,15 @@ def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: S
     return res.drop("__xs") if columns is None else res
 
 
-def centre_vectors(df: DataFrame, features: str = "features") -> tuple[DataFrame, list[float]]:
-    """Subtract the column means (a d-number statistic) from the vectors."""
-    arr = df.withColumn("__xs", vector_to_array(F.col(features)))
-    d = len(df.select(features).first()[0])
-    means = arr.agg(*[F.avg(F.col("__xs")[i]).alias(f"m{i}") for i in range(d)]).first()
-    mu = [float(means[f"m{i}"]) for i in range(d)]
+def centre_vectors(df: DataFrame, features: str = "features", out: str = "__centred") -> tuple[DataFrame, list[float]]:
+    """Add ``out``: the vectors minus the column means (a d-number statistic)."""
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-    centred = arr.withColumn(features, array_to_vector(F.array(*[F.col("__xs")[i] - F.lit(mu[i])
-                                                                  for i in range(d)]))).drop("__xs")
+    mean = df.select(Summarizer.mean(F.col(features)).alias("m")).first()["m"]
+    mu = [float(x) for x in mean.toArray()]
+    arr = vector_to_array(F.col(features))
+    centred = df.withColumn(out, array_to_vector(F.array(*[arr[i] - F.lit(mu[i]) for i in range(len(mu))])))
     return centred, mu
 
 
@@ -155,7 +166,7 @@ def fit_pca(df: DataFrame, k: int = 2, features: str = "features"):
     d x d numbers).  Component signs are fixed so the largest-magnitude loading of each
     component is positive (a stable rule; raw signs are arbitrary)."""
     centred, mu = centre_vectors(df, features)
-    model = PCA(k=k, inputCol=features, outputCol="__pcs").fit(centred)
+    model = PCA(k=k, inputCol="__centred", outputCol="__pcs").fit(centred)
     pc = model.pc.toArray()  # d x k
     signs = []
     for j in range(pc.shape[1]):
@@ -169,22 +180,13 @@ def fit_pca(df: DataFrame, k: int = 2, features: str = "features"):
 
 def pca_project(df: DataFrame, k: int = 2, features: str = "features",
                 names: Sequence[str] | None = None) -> DataFrame:
-    """M5: centred projection on the first ``k`` components, as columns ``pc1``.. ``pck``.
-
-    Projection is a literal linear map of the vector (d x k numbers), so it runs
-    as one projection on every row."""
+    """M5: centred projection on the first ``k`` components, as columns ``pc1``.. ``pck``
+    (the fitted model's transform of the centred vectors, with the sign rule applied)."""
     model, centred, mu, signs = fit_pca(df, k, features)
     names = list(names) if names else [f"pc{i + 1}" for i in range(k)]
-    pc = model.pc.toArray()
-    arr = vector_to_array(F.col(features))
-    cols = {}
-    for j, n in enumerate(names):
-        e = None
-        for i in range(pc.shape[0]):
-            t = (arr[i] - F.lit(mu[i])) * F.lit(float(pc[i, j] * signs[j]))
-            e = t if e is None else e + t
-        cols[n] = e
-    return df.withColumns(cols)
+    proj = model.transform(centred)
+    arr = vector_to_array(F.col("__pcs"))
+    return proj.withColumns({n: arr[j] * F.lit(signs[j]) for j, n in enumerate(names)}).drop("__centred", "__pcs")
 
 
 def pca_explained(df: DataFrame, k: int = 2, features: str = "features") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._names import col
+from ..session import cut_lineage
 from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text, percent_text, target_value,
                                 zero_pad)
 from ..operators.aggregates import (change_counts, club, count_by, dedupe, distinct_values, latest,
@@ -141,8 +142,15 @@ def o_outlier(profile: DataFrame):
             .select("entity_id").scalar())
 
 
+def o_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer profile, materialised once (reliable checkpoint into the shared folder)
+    for queries that pass over it several times: plan-time facts, scalar subqueries and
+    the main plan then read one row per customer instead of re-aggregating the orders."""
+    return cut_lineage(fx.profile_o(spark, sf_dir))
+
+
 def o_peers(spark: SparkSession, sf_dir: str):
-    prof = fx.profile_o(spark, sf_dir)
+    prof = o_profile(spark, sf_dir)
     target = o_target(prof)
     return prof, cohort_with_target(prof, "member", "entity_id", target), target
 
@@ -649,7 +657,7 @@ SELECT v.nation, v.outlier, v.method, round(v.urgent, 4) AS urgent, round(v.tota
 FROM v JOIN nation ON v.nation = n_name
 """.replace("\n, v AS", ",\nv AS", 1)))
 def q_rollup_by_nation(spark, sf_dir):
-    prof = fx.profile_o(spark, sf_dir)
+    prof = o_profile(spark, sf_dir)
     outlier = o_outlier(prof)
     dim = fx.table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), "n_nationkey", "n_regionkey")
     out = C.rollup_by_state(prof, dim, "nation", "nation", ROLLUP_METRICS, "entity_id", outlier)
@@ -677,7 +685,7 @@ SELECT entity_id, {", ".join(_qbin_sql(m) + f' AS {m}_quartile' for m in QUART_M
 FROM profile
 """))
 def q_quantile_bins(spark, sf_dir):
-    b = quantile_bin(fx.profile_o(spark, sf_dir), QUART_METRICS)
+    b = quantile_bin(o_profile(spark, sf_dir), QUART_METRICS)
     return b.select("entity_id", *[f"{m}_quartile" for m in QUART_METRICS])
 
 
@@ -716,7 +724,7 @@ box AS (
 
 @query("box_stats", with_o(_box_sql("profile") + "SELECT * FROM box"))
 def q_box_stats(spark, sf_dir):
-    return _round_box(box_stats(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS))
+    return _round_box(box_stats(o_profile(spark, sf_dir), fx.O_ALL_METRICS))
 
 
 def _round_box(df: DataFrame) -> DataFrame:
@@ -749,7 +757,7 @@ SELECT entity_id,
 FROM holes
 """))
 def q_median_impute(spark, sf_dir):
-    p = fx.profile_o(spark, sf_dir)
+    p = o_profile(spark, sf_dir)
     holes = p.select("entity_id",
                      F.when(F.col("status") == "P", F.lit(None)).otherwise(F.col("urgent")).alias("urgent"),
                      F.when(F.col("status") == "O", F.lit(None)).otherwise(F.col("total_with")).alias("total_with"))
@@ -777,13 +785,13 @@ def _z_sql(cols, src: str = "profile", nd: int = 6) -> str:
 
 @query("standardize", with_o(f"\nSELECT entity_id, {_z_sql(fx.O_METRICS)} FROM profile"))
 def q_standardize(spark, sf_dir):
-    z = standardize(fx.profile_o(spark, sf_dir), fx.O_METRICS)
+    z = standardize(o_profile(spark, sf_dir), fx.O_METRICS)
     return z.select("entity_id", *[F.round(m, 6).alias(m) for m in fx.O_METRICS])
 
 
 @query("features_numeric", with_o(f"\nSELECT entity_id, {_z_sql(fx.O_ALL_METRICS)} FROM profile"))
 def q_features_numeric(spark, sf_dir):
-    f = features_numeric(fx.profile_o(spark, sf_dir), "entity_id", fx.O_ALL_METRICS)
+    f = features_numeric(o_profile(spark, sf_dir), "entity_id", fx.O_ALL_METRICS)
     return f.select("entity_id", *[F.round(m, 6).alias(m) for m in fx.O_ALL_METRICS])
 
 
@@ -816,7 +824,7 @@ SELECT entity_id, """ + _z_sql(MIXED_NUM, "filled") + """, nation_code,
 FROM filled
 """))
 def q_mixed_features(spark, sf_dir):
-    p = fx.profile_o(spark, sf_dir)
+    p = o_profile(spark, sf_dir)
     nat = fx.table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), F.col("n_nationkey").alias("nation_code"))
     holes = p.join(nat, "nation").select(
         "entity_id", F.when(F.col("status") == "P", F.lit(None)).otherwise(F.col("urgent")).alias("urgent"),
@@ -852,7 +860,7 @@ def q_panel_join(spark, sf_dir):
 SELECT entity_id, entity_name, total_with, {_qbin_sql('total_with')} AS total_with_quartile FROM profile
 """))
 def q_attach_side(spark, sf_dir):
-    p = fx.profile_o(spark, sf_dir)
+    p = o_profile(spark, sf_dir)
     side = quantile_bin(p.select("entity_id", "total_with"), ["total_with"]).select("entity_id", "total_with_quartile")
     return attach(p.select("entity_id", "entity_name", "total_with"), side, "entity_id")
 
@@ -862,7 +870,7 @@ SELECT entity_name, urgent, total_with FROM profile
 WHERE entity_name = (SELECT entity_name FROM profile WHERE entity_id = (SELECT id FROM target))
 """))
 def q_lookup_entity(spark, sf_dir):
-    p = fx.profile_o(spark, sf_dir)
+    p = o_profile(spark, sf_dir)
     target = o_target(p)
     name = p.where(F.col("entity_id") == target).select("entity_name").scalar()
     return lookup(p, "entity_name", name, ["entity_name", "urgent", "total_with"])
@@ -875,7 +883,7 @@ SELECT (SELECT urgent FROM profile WHERE entity_id = (SELECT id FROM target)) AS
        coalesce((SELECT segment FROM profile WHERE entity_id = -1), 'N/A') AS absent_segment
 """))
 def q_target_value(spark, sf_dir):
-    p = fx.profile_o(spark, sf_dir)
+    p = o_profile(spark, sf_dir)
     target = o_target(p)
     a = target_value(p, "entity_id", target, ["urgent"])
     b = target_value(p, "entity_id", target, ["segment"], default="N/A")
@@ -903,7 +911,7 @@ lng AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS variable, {m} AS v FROM profi
 """ + " UNION ALL ".join(f"SELECT variable, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(v, {p}), 6) AS value, "
                          f"count(*) AS n FROM lng GROUP BY variable" for p in [0.1, 0.25, 0.5, 0.75, 0.9])))
 def q_exact_quantiles(spark, sf_dir):
-    q = quantiles_long(fx.profile_o(spark, sf_dir), fx.O_ALL_METRICS, EXACT_PROBS)
+    q = quantiles_long(o_profile(spark, sf_dir), fx.O_ALL_METRICS, EXACT_PROBS)
     return q.withColumn("value", F.round("value", 6))
 
 
@@ -976,7 +984,7 @@ SELECT 1 AS k, round(""" + " + ".join(f"var_pop({m}) * count({m})" for m in fx.O
 FROM z
 """))
 def q_inertia_k1(spark, sf_dir):
-    f = features_numeric(fx.profile_o(spark, sf_dir), "entity_id", fx.O_METRICS)
+    f = features_numeric(o_profile(spark, sf_dir), "entity_id", fx.O_METRICS)
     return inertia_k1(f).withColumn("inertia", r4("inertia"))
 
 
@@ -989,7 +997,7 @@ SELECT 1 AS component, round((1 + r) / 2, 6) AS explained_variance_ratio FROM r
 UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM r
 """))
 def q_pca_explained(spark, sf_dir):
-    f = features_numeric(fx.profile_o(spark, sf_dir), "entity_id", PCA2)
+    f = features_numeric(o_profile(spark, sf_dir), "entity_id", PCA2)
     return pca_explained(f, 2).withColumn("explained_variance_ratio", F.round("explained_variance_ratio", 6))
 
 
@@ -1004,7 +1012,7 @@ SELECT entity_id,
 FROM z
 """))
 def q_pca_two_features(spark, sf_dir):
-    f = features_numeric(fx.profile_o(spark, sf_dir), "entity_id", PCA2)
+    f = features_numeric(o_profile(spark, sf_dir), "entity_id", PCA2)
     pr = pca_project(f, 2)
     return pr.select("entity_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
@@ -1105,7 +1113,7 @@ def q_cluster_radar(spark, sf_dir):
 
 @query("analyse_cohort")
 def q_analyse_cohort(spark, sf_dir):
-    p = C.recode_designation(fx.profile_o(spark, sf_dir), "status", "F")
+    p = C.recode_designation(o_profile(spark, sf_dir), "status", "F")
     return C.analyse_cohort(p, "designation", "R1", "entity_id", "entity_name", fx.O_METRICS,
                             {"total_with": fx.O_TOTAL_WITH, "total_without": fx.O_TOTAL_WITHOUT},
                             ["segment", "region"], k=3)
