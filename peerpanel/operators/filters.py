@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._names import as_list, col
@@ -71,6 +71,8 @@ def lookup(df: DataFrame, column: str, value, columns: Sequence[str] | None = No
 
 def exclude(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
     """leave-one-out; drop the named outliers before averaging."""
+    if isinstance(ids, Column):  # one id found from the data (a scalar subquery)
+        return df.where((col(key) != ids) | col(key).isNull() | ids.isNull())
     ids = as_list(ids) if not isinstance(ids, (list, tuple)) else list(ids)
     if not ids:
         return df

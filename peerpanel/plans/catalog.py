@@ -20,15 +20,17 @@ from .._names import col
 from ..session import cut_lineage
 from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text, percent_text, target_value,
                                 zero_pad)
-from ..operators.aggregates import (change_counts, club, count_by, dedupe, distinct_values, latest,
-                                    modal_by_group, modal_value, row_count, value_shares)
+from ..operators.aggregates import (change_counts, club, cohort_means, count_by, dedupe, distinct_values, latest,
+                                    modal_by_group, modal_value, rollup_by, row_count, value_counts, value_shares)
 from ..operators.cluster import assign_nearest, elbow, inertia_k1, kmeans, pca_explained, pca_project
-from ..operators.columns import (label_cohort, override_key, recode_binary, rescale, row_total, short_labels)
+from ..operators.columns import (label_cohort, order_columns, override_key, recode_binary, rescale, row_total,
+                                 short_labels, strip_suffix)
 from ..operators.features import assemble, features_mixed, features_numeric, feature_columns
-from ..operators.filters import cohort_with_target, lookup, require_key
-from ..operators.joins import attach, flag_members, keep_members, panel_join
-from ..operators.ordering import order_by_category, sort_by, top_k
-from ..operators.quantiles import box_stats, median_impute, quantile_bin, quantiles_long
+from ..operators.filters import cohort_with_target, exclude, in_table, in_values, lookup, require_key, split_target
+from ..operators.joins import attach, flag_members, keep_members, left_join_suffix, panel_join
+from ..operators.ordering import order_by_category, preview, sort_by, top_k
+from ..operators.quantiles import (box_outliers, box_stats, cut_points, median, median_impute, quantile_bin,
+                                   quantiles_long)
 from ..operators.reshape import one_hot, pivot_strict, wide_years_to_long
 from ..operators.windows import rank_within, standardize
 from ..sources.files import cast_lenient
@@ -1127,3 +1129,150 @@ def q_kmeans_vectors(spark, sf_dir):
     v = e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     clustered = kmeans(v, 10, restarts=2)
     return pca_project(clustered, 2).select("vec_id", "label", "cluster", "pc1", "pc2")
+
+
+# 13. Remaining inventory operators, each on whole tables ----------------------------------
+
+@query("strip_suffix", "WITH " + REGISTRY_LONG_SQL.strip() + """
+SELECT entity_id, entity_name, "Quantity (units)", "Orders" FROM reglong WHERE year = (SELECT min(year) FROM yrs)
+""")
+def q_strip_suffix(spark, sf_dir):
+    """P2 + P1: keep the first year's block of the wide registry and strip its suffix."""
+    years = fx.registry_years(spark, sf_dir)
+    reg = fx.registry_wide_l(spark, sf_dir, years)
+    first = min(years)
+    block = [c for c in reg.columns if c.endswith(f"(HD{first})")]
+    return strip_suffix(order_columns(reg, ["entity_id", "entity_name"], block))
+
+
+@query("split_target", with_o("""
+SELECT 'target' AS part, count(*) AS n, round(sum(total_with), 4) AS total_with FROM profile
+  WHERE entity_id = (SELECT id FROM target)
+UNION ALL
+SELECT 'others', count(*), round(sum(total_with), 4) FROM profile WHERE entity_id <> (SELECT id FROM target)
+"""))
+def q_split_target(spark, sf_dir):
+    """the target's rows and everyone else's, summarised side by side."""
+    prof = o_profile(spark, sf_dir)
+    t, others = split_target(prof, "entity_id", o_target(prof))
+    agg = [F.count(F.lit(1)).alias("n"), F.round(F.sum("total_with"), 4).alias("total_with")]
+    return t.agg(*agg).select(F.lit("target").alias("part"), "*").unionByName(
+        others.agg(*agg).select(F.lit("others").alias("part"), "*"))
+
+
+@query("exclude_outlier", with_o("""
+SELECT entity_id, total_with FROM profile WHERE entity_id <> (SELECT id FROM outlier)
+"""))
+def q_exclude_outlier(spark, sf_dir):
+    """leave the outlier out."""
+    prof = o_profile(spark, sf_dir)
+    return exclude(prof, "entity_id", o_outlier(prof)).select("entity_id", "total_with")
+
+
+@query("in_list", """
+SELECT o_orderkey, o_orderpriority, o_orderpriority IN ('1-URGENT', '2-HIGH') AS listed FROM orders
+WHERE o_orderstatus IN ('F', 'O')
+""")
+def q_in_list(spark, sf_dir):
+    """F5 with a short literal list (pushed into the scan as an IN filter)."""
+    o = in_values(fx.table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"])
+    return o.select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("listed"))
+
+
+@query("not_in_table", """
+SELECT c_custkey, c_name FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 100000)
+""")
+def q_not_in_table(spark, sf_dir):
+    """F5 for a list of any length: anti join against a one-column table (customers with
+    no order above 100,000)."""
+    c = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    big = fx.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 100000).select("o_custkey")
+    return in_table(c, "c_custkey", big, negate=True)
+
+
+@query("join_suffix", with_l(L_YEARLY_SQL.strip() + """,
+sup AS (SELECT s_suppkey AS entity_id, s_name || ' (registry)' AS entity_name, s_acctbal FROM supplier)
+SELECT y.entity_id, y.entity_name, y.year, y.amount, s.entity_name AS entity_name_registry, s.s_acctbal
+FROM yearly y LEFT JOIN sup s ON y.entity_id = s.entity_id
+"""))
+def q_join_suffix(spark, sf_dir):
+    """Left join on a shared key; the clashing right column keeps a suffix."""
+    sup = fx.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("entity_id"), F.concat("s_name", F.lit(" (registry)")).alias("entity_name"),
+        "s_acctbal")
+    return left_join_suffix(_l_yearly(spark, sf_dir), sup, "entity_id", suffix="_registry")
+
+
+@query("value_counts", "SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY c_mktsegment")
+def q_value_counts(spark, sf_dir):
+    """A8."""
+    return value_counts(fx.table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("rollup_by_region", with_o("""
+SELECT region, 'mean' AS method, round(avg(urgent), 4) AS urgent, round(avg(total_with), 4) AS total_with
+  FROM profile WHERE region IS NOT NULL GROUP BY region
+UNION ALL
+SELECT region, 'sum', round(sum(urgent), 4), round(sum(total_with), 4)
+  FROM profile WHERE region IS NOT NULL GROUP BY region
+"""))
+def q_rollup_by_region(spark, sf_dir):
+    """Mean or sum by a group, NULL groups dropped."""
+    prof = fx.profile_o(spark, sf_dir)
+    parts = []
+    for how, label in (("mean", "mean"), ("sum", "sum")):
+        r = rollup_by(prof, "region", ["urgent", "total_with"], how=how)
+        parts.append(r.select("region", F.lit(label).alias("method"), r4("urgent").alias("urgent"),
+                              r4("total_with").alias("total_with")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("cohort_means", with_o("""
+SELECT round(avg(urgent), 4) AS urgent, round(avg(total_with), 4) AS total_with FROM profile WHERE member
+"""))
+def q_cohort_means(spark, sf_dir):
+    """A12 over one cohort (no grouping: one row)."""
+    m = cohort_means(fx.profile_o(spark, sf_dir).where("member"), ["urgent", "total_with"])
+    return m.select(r4("urgent").alias("urgent"), r4("total_with").alias("total_with"))
+
+
+@query("medians", with_o(""",
+m AS (SELECT """ + ", ".join(f"quantile_cont({m}, 0.5) AS {m}" for m in fx.O_ALL_METRICS) + """ FROM profile)
+SELECT """ + ", ".join(f"round({m}, 6) AS {m}" for m in fx.O_ALL_METRICS) + """ FROM m
+"""))
+def q_medians(spark, sf_dir):
+    """Exact medians of every metric."""
+    m = median(o_profile(spark, sf_dir), fx.O_ALL_METRICS)
+    return m.select(*[F.round(c, 6).alias(c) for c in fx.O_ALL_METRICS])
+
+
+@query("cut_points_wide", with_o("""
+SELECT """ + ", ".join(f"round(quantile_cont({m}, {p}), 6) AS \"{m}_{n}\"" for m in ["urgent", "total_with"]
+                       for p, n in [(0.2, "p20"), (0.8, "p80")]) + """ FROM profile
+"""))
+def q_cut_points_wide(spark, sf_dir):
+    """A17 in the wide form: one row, a column per metric and probability."""
+    c = cut_points(o_profile(spark, sf_dir), ["urgent", "total_with"], [0.2, 0.8], names=["p20", "p80"])
+    return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
+
+
+@query("box_outliers", with_o(""",
+lng AS (SELECT entity_id, 'urgent' AS metric, urgent AS value FROM profile WHERE urgent IS NOT NULL
+        UNION ALL SELECT entity_id, 'total_with', total_with FROM profile WHERE total_with IS NOT NULL),
+q AS (SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM lng GROUP BY metric)
+SELECT l.entity_id, l.metric, l.value FROM lng l JOIN q ON l.metric = q.metric
+WHERE l.value < q1 - 1.5 * (q3 - q1) OR l.value > q3 + 1.5 * (q3 - q1)
+"""))
+def q_box_outliers(spark, sf_dir):
+    """A19 points: the entities outside the whiskers, per metric."""
+    return box_outliers(o_profile(spark, sf_dir), "entity_id", ["urgent", "total_with"])
+
+
+@query("preview_sorted", with_o("""
+SELECT entity_id, entity_name, total_without FROM profile ORDER BY total_without, entity_id LIMIT 5
+"""))
+def q_preview_sorted(spark, sf_dir):
+    """O4 after O1: the first rows of a sorted profile (the smallest totals)."""
+    prof = fx.profile_o(spark, sf_dir).select("entity_id", "entity_name", "total_without")
+    return preview(sort_by(prof, ["total_without", "entity_id"]), 5)

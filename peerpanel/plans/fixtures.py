@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import entity_profile
 from ..operators.columns import row_total
 from ..operators.joins import bounded, flag_members
-from ..sources.files import cast_lenient
+from ..sources.files import cast_lenient, read_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
 
@@ -57,7 +57,7 @@ OVERRIDE_EVERY = 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
