@@ -66,15 +66,53 @@ def standardize(df: DataFrame, columns: Sequence[str], by: str | Sequence[str] |
     return out.drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
 
 
+# Groups up to this many rows are ranked with a window (one group per task is bounded).
+SMALL_GROUP = 1_000_000
+
+
 def rank_within(df: DataFrame, group: str | Sequence[str], order: Sequence[Column | str], out: str = "rank",
-                top: int | None = None) -> DataFrame:
+                top: int | None = None, max_group_rows: int = SMALL_GROUP) -> DataFrame:
     """Row number within a group by a stated order (ties broken by the later order keys).
 
     With ``top`` only the first rows of each group are kept; Spark then plans a
     partial group limit before the shuffle, so a hot group sends at most ``top``
     rows per map task.
+
+    Without ``top``, one aggregate checks the largest group.  Up to
+    ``max_group_rows`` rows a window ranks each group in one task.  Beyond that a
+    window would put a hot group in one task, so the rows are range-partitioned on
+    (group, order) -- which splits a hot group across tasks -- and each row's rank
+    is its position within its partition plus the rows of its group in earlier
+    partitions (a small table of per-partition counts).
     """
-    w = Window.partitionBy(*[col(g) for g in as_list(group)]).orderBy(
-        *[col(o) if isinstance(o, str) else o for o in order])
-    ranked = df.withColumn(out, F.row_number().over(w))
-    return ranked.where(F.col(out) <= top) if top is not None else ranked
+    groups = [col(g) for g in as_list(group)]
+    order_cols = [col(o) if isinstance(o, str) else o for o in order]
+    if top is not None:
+        w = Window.partitionBy(*groups).orderBy(*order_cols)
+        return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= top)
+    biggest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if biggest is None or biggest <= max_group_rows:
+        w = Window.partitionBy(*groups).orderBy(*order_cols)
+        return df.withColumn(out, F.row_number().over(w))
+    return _rank_by_sorted_partitions(df, as_list(group), order_cols, out)
+
+
+def _rank_by_sorted_partitions(df: DataFrame, group: list[str], order_cols: list[Column], out: str) -> DataFrame:
+    from ..session import cut_lineage
+
+    gcols = {g: f"__g{i}" for i, g in enumerate(group)}
+    keyed = df.withColumns({v: col(g) for g, v in gcols.items()})
+    ordered = keyed.orderBy(*[F.col(v).asc_nulls_first() for v in gcols.values()], *order_cols)
+    # Partition ids and positions must be those of one materialised sort: checkpoint it.
+    tagged = cut_lineage(ordered.withColumn("__pid", F.spark_partition_id())
+                         .withColumn("__mid", F.monotonically_increasing_id()))
+    per_part = tagged.groupBy("__pid", *gcols.values()).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    w = Window.partitionBy(*gcols.values()).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    cond = F.col("t.__pid") == F.col("p.__pid")
+    for v in gcols.values():
+        cond = cond & F.col(f"t.{v}").eqNullSafe(F.col(f"p.{v}"))
+    joined = tagged.alias("t").join(per_part.alias("p"), cond)
+    rank = F.col("p.__before") + (F.col("t.__mid") - F.col("p.__first")) + 1
+    return joined.select(*[F.col(f"t.`{c}`") for c in df.columns], rank.alias(out))

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference computes everything in batch over files (no watermark, window,
+stateful operator or late data anywhere), so there is no streaming operator to
+rebuild.  Every operator in this package is a DataFrame-in, DataFrame-out
+function, so it also applies to each micro-batch of a Structured Streaming query
+through ``foreachBatch`` should a caller need that; nothing here depends on it.
+"""
