@@ -223,8 +223,10 @@ def box_stats(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), whi
                  .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     long = _long_numeric(df, metrics, by)
     v = F.col("v")
-    # groups x metrics rows: bounded by the (closed) group list
-    stats = long.join(bounded(quart), on=keys).groupBy(*keys).agg(
+    # metrics rows (one-row statistics per metric) are broadcast; per-group statistics are
+    # left to the planner, which broadcasts them only when measured small.
+    side = bounded(quart) if not by else quart
+    stats = long.join(side, on=keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(v).alias("mean"),
         F.min(v).alias("min"),
@@ -247,6 +249,6 @@ def box_outliers(df: DataFrame, key: str, metrics: Sequence[str], by: Sequence[s
     wide = df.select(col(key).alias(key), *[col(b).alias(b) for b in by],
                      *[col(c).cast("double").alias(c) for c in cols])
     long = wide.unpivot([F.col(key), *[F.col(b) for b in by]], [F.col(c) for c in cols], "variable", "value")
-    return (long.join(bounded(lim), on=keys)
+    return (long.join(bounded(lim) if not by else lim, on=keys)
             .where((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
             .select(key, *by, F.col("variable").alias("metric"), "value"))

@@ -173,22 +173,27 @@ def rollup_by_state(profile: DataFrame, dim: DataFrame, group: str, dim_key: str
                     key: str, outlier) -> DataFrame:
     """Mean and total per group, with and without the outlier (the four variants in one
     result), joined to the dimension so groups absent from it vanish (J4).  NULL groups
-    are dropped.  ``exclude`` really excludes (the reference's version did not)."""
+    are dropped.  ``exclude`` really excludes (the reference's version did not).
+
+    One aggregate computes all four variants with conditional sums and means; the
+    variants are then unstacked into rows, so the profile is read once.
+    """
     base = profile.where(col(group).isNotNull())
-    keep_all = F.lit(True)
-    no_out = (col(key) != value(outlier)) | col(key).isNull()
-    frames = []
-    for include, cond in (("with", keep_all), ("without", no_out)):
-        aggs_mean = [F.avg(F.when(cond, col(m).cast("double"))).alias(m) for m in metrics]
-        aggs_sum = [F.sum(F.when(cond, col(m).cast("double"))).alias(m) for m in metrics]
-        present = F.count(F.when(cond, F.lit(1)))
-        frames.append(base.groupBy(col(group).alias(group)).agg(present.alias("__n"), *aggs_mean)
-                      .where(F.col("__n") > 0).drop("__n")
-                      .withColumn("outlier", F.lit(include)).withColumn("method", F.lit("mean")))
-        frames.append(base.groupBy(col(group).alias(group)).agg(present.alias("__n"), *aggs_sum)
-                      .where(F.col("__n") > 0).drop("__n")
-                      .withColumn("outlier", F.lit(include)).withColumn("method", F.lit("total")))
-    out = stack_cohorts(*frames)
+    keep = (col(key) != value(outlier)) | col(key).isNull() | value(outlier).isNull()
+    aggs = [F.count(F.lit(1)).alias("__n_with"), F.count(F.when(keep, F.lit(1))).alias("__n_without")]
+    for m in metrics:
+        x = col(m).cast("double")
+        aggs += [F.avg(x).alias(f"__mean_with__{m}"), F.sum(x).alias(f"__total_with__{m}"),
+                 F.avg(F.when(keep, x)).alias(f"__mean_without__{m}"),
+                 F.sum(F.when(keep, x)).alias(f"__total_without__{m}")]
+    wide = base.groupBy(col(group).alias(group)).agg(*aggs)
+    variants = []
+    for inc in ("with", "without"):
+        for method, tag in (("mean", "mean"), ("total", "total")):
+            variants.append(F.struct(F.lit(inc).alias("outlier"), F.lit(method).alias("method"),
+                                     (F.col(f"__n_{inc}") > 0).alias("__present"),
+                                     *[F.col(f"__{tag}_{inc}__{m}").alias(m) for m in metrics]))
+    out = wide.select(col(group), F.inline(F.array(*variants))).where("__present").drop("__present")
     return attach_dimension(out, dim, group, dim_key)
 
 

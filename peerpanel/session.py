@@ -57,9 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Only a local-mode session (tests) with
+    no setting gets a scratch folder; on a cluster a machine-local folder would not be
+    shared by the executors, so an unset setting is an error there."""
     value = checkpoint_dir(spark)
     if not value:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(iterative fits and materialised profiles checkpoint there)")
         value = tempfile.mkdtemp(prefix="peerpanel-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(value)
