@@ -26,6 +26,7 @@ from ..operators.ordering import category_rank, stack_cohorts
 from ..operators.quantiles import QUARTILE_LABELS, box_stats, quantile_bin
 from ..operators.reshape import melt, pivot_counts, pivot_strict, wide_years_to_long
 from ..operators.windows import rank_within, share_within, standardize
+from ..session import cut_lineage
 from ..sources.files import cast_lenient
 
 
@@ -37,11 +38,11 @@ def build_panel(funding: DataFrame, overrides: DataFrame, registry: DataFrame, c
                 sources: Sequence[str] | None = None, registry_key: str = "entity_id",
                 registry_name: str = "entity_name", class_key: str = "unitid",
                 class_drop: Sequence[str] = ("name", "city", "state"), member_col: str = "member",
-                sort: bool = True) -> DataFrame:
+                sort: bool = True, materialize: bool = True) -> DataFrame:
     """The entity x year panel.
 
     lenient key cast (S2) -> key overrides (P6, J1) -> keyless rows dropped (F1)
-    -> strict pivot of sources (R1) -> club rows sharing a key (A1) -> member flag
+    -> strict pivot of sources (R1) -> club rows sharing a key (A1, materialised) -> member flag
     (J5) -> registry wide to long (R3) -> classification (J2) -> panel join on
     (key, year) (J3) -> sorted by key, newest year first (O1).
     """
@@ -52,6 +53,10 @@ def build_panel(funding: DataFrame, overrides: DataFrame, registry: DataFrame, c
     f = require_key(f, key)
     wide = pivot_strict(f, [year, name, key], source, amount, categories=sources)
     clubbed = club(wide, [key, year], carry=[name])
+    if materialize:
+        # entity x year rows, far fewer than the funding rows: written once, so the member
+        # lookup and the panel join read it instead of recomputing the pivot.
+        clubbed = cut_lineage(clubbed)
     flagged = flag_members(clubbed, members, name, key, out=member_col)
     long = wide_years_to_long(registry, [registry_key, registry_name], year_col=year)
     inst = left_join_on(long, classes.drop(*[c for c in class_drop if c in classes.columns]),
@@ -322,12 +327,15 @@ def cluster_scatter(clustered: DataFrame, key: str, name: str, total: str, clust
 
 
 def cluster_profile_table(profile: DataFrame, key: str, metrics: Sequence[str], k: int, seed: int = 42,
-                          restarts: int = 10) -> DataFrame:
-    """M1 + M3 + M5 on a profile: standardised metrics, k-means labels, two components."""
+                          restarts: int = 10, project: bool = True) -> DataFrame:
+    """M1 + M3 (+ M5) on a profile: standardised metrics, k-means labels and, when
+    ``project``, the two components."""
     feats = features_numeric(profile, key, metrics, keep=[])
     clustered = kmeans(feats, k, seed=seed, restarts=restarts)
-    projected = pca_project(clustered, 2)
-    side = projected.select(col(key), "cluster", "pc1", "pc2")
+    if project:
+        side = pca_project(clustered, 2).select(col(key), "cluster", "pc1", "pc2")
+    else:
+        side = clustered.select(col(key), "cluster")
     return profile.join(side, on=key)
 
 

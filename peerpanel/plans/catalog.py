@@ -31,7 +31,7 @@ from ..operators.joins import attach, flag_members, keep_members, left_join_suff
 from ..operators.ordering import order_by_category, preview, sort_by, top_k
 from ..operators.quantiles import (box_outliers, box_stats, cut_points, median, median_impute, quantile_bin,
                                    quantiles_long)
-from ..operators.reshape import one_hot, pivot_strict, wide_years_to_long
+from ..operators.reshape import one_hot, pivot_strict, wide_years_to_long, year_blocks
 from ..operators.windows import rank_within, standardize
 from ..sources.files import cast_lenient
 from . import analyses as C
@@ -1051,9 +1051,9 @@ def q_nested_counts(spark, sf_dir):
 CLUSTER_METRICS = ["urgent", "high", "medium", "not_specified", "low"]
 
 
-def _clustered(spark, sf_dir, k: int = 4, restarts: int = 10):
+def _clustered(spark, sf_dir, k: int = 4, restarts: int = 10, project: bool = False):
     prof, peers, target = o_peers(spark, sf_dir)
-    table = C.cluster_profile_table(peers, "entity_id", CLUSTER_METRICS, k, restarts=restarts)
+    table = C.cluster_profile_table(peers, "entity_id", CLUSTER_METRICS, k, restarts=restarts, project=project)
     return table, target
 
 
@@ -1085,13 +1085,13 @@ def q_cluster_summary(spark, sf_dir):
 
 @query("cluster_scatter")
 def q_cluster_scatter(spark, sf_dir):
-    t, _ = _clustered(spark, sf_dir)
+    t, _ = _clustered(spark, sf_dir, project=True)
     return C.cluster_scatter(t, "entity_id", "entity_name", "total_with")
 
 
 @query("target_cluster")
 def q_target_cluster(spark, sf_dir):
-    t, target = _clustered(spark, sf_dir)
+    t, target = _clustered(spark, sf_dir, project=True)
     return C.target_cluster(t, "entity_id", target, "entity_name")
 
 
@@ -1138,9 +1138,8 @@ SELECT entity_id, entity_name, "Quantity (units)", "Orders" FROM reglong WHERE y
 """)
 def q_strip_suffix(spark, sf_dir):
     """P2 + P1: keep the first year's block of the wide registry and strip its suffix."""
-    years = fx.registry_years(spark, sf_dir)
-    reg = fx.registry_wide_l(spark, sf_dir, years)
-    first = min(years)
+    reg = fx.registry_wide_l(spark, sf_dir)
+    first = min(year_blocks(reg.columns))  # X1 on the column names: no job
     block = [c for c in reg.columns if c.endswith(f"(HD{first})")]
     return strip_suffix(order_columns(reg, ["entity_id", "entity_name"], block))
 

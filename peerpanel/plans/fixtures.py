@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import entity_profile
 from ..operators.columns import row_total
 from ..operators.joins import bounded, flag_members
+from ..session import cut_lineage
 from ..sources.files import cast_lenient, read_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
@@ -169,13 +170,18 @@ def registry_years(spark: SparkSession, sf_dir: str) -> list[int]:
 def registry_wide_l(spark: SparkSession, sf_dir: str, years: list[int] | None = None) -> DataFrame:
     """Registry, wide by year: ``Quantity (units) (HD<year>)`` for every year and
     ``Orders (HD<year>)`` for every year but the last (an attribute missing in one year,
-    and one whose name holds parentheses)."""
-    years = years if years is not None else registry_years(spark, sf_dir)
+    and one whose name holds parentheses).
+
+    One (supplier, year) aggregate first (a single distinct count per group, so no row
+    is expanded once per year), materialised: the year list (the registry's column
+    names, a plan-time fact) and the pivot both read that small table, not the line
+    items again.
+    """
     li = lineitem_l(spark, sf_dir)
-    # One (supplier, year) aggregate first: a single distinct count per group, so no
-    # row is expanded once per year; then a conditional pivot on the small result.
-    per_year = li.groupBy("l_suppkey", "year").agg(F.sum("l_quantity").alias("q"),
-                                                   F.count_distinct("l_orderkey").alias("n"))
+    per_year = cut_lineage(li.groupBy("l_suppkey", "year").agg(F.sum("l_quantity").alias("q"),
+                                                               F.count_distinct("l_orderkey").alias("n")))
+    if years is None:
+        years = [r[0] for r in per_year.select("year").distinct().orderBy("year").collect()]
     aggs = []
     for y in sorted(years):
         aggs.append(F.max(F.when(F.col("year") == y, F.col("q"))).alias(f"Quantity (units) (HD{y})"))
