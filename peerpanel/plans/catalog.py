@@ -1275,3 +1275,15 @@ def q_preview_sorted(spark, sf_dir):
     """O4 after O1: the first rows of a sorted profile (the smallest totals)."""
     prof = fx.profile_o(spark, sf_dir).select("entity_id", "entity_name", "total_without")
     return preview(sort_by(prof, ["total_without", "entity_id"]), 5)
+
+
+@query("registry_stability", "WITH " + REGISTRY_LONG_SQL.strip() + """
+SELECT entity_id, entity_name, count(DISTINCT "Quantity (units)") AS "Quantity (units)_unique_count",
+       count(DISTINCT "Orders") AS "Orders_unique_count"
+FROM reglong GROUP BY entity_id, entity_name
+""")
+def q_registry_stability(spark, sf_dir):
+    """C2 on the registry itself: distinct non-NULL values of each attribute over the years,
+    per entity (the attributes are found from the column names of the long form)."""
+    long = wide_years_to_long(fx.registry_wide_l(spark, sf_dir), ["entity_id", "entity_name"])
+    return C.attribute_stability(long, ["entity_id", "entity_name"])
