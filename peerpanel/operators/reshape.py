@@ -199,6 +199,23 @@ def one_hot(df: DataFrame, columns: Sequence[str], numeric: str = "passthrough",
     return df.select(*[col(c) for c in keep], *dummies)
 
 
+def one_hot_vector(df: DataFrame, columns: Sequence[str], suffix: str = "_vec") -> DataFrame:
+    """R6 for wide categories: ``StringIndexer`` + ``OneHotEncoder`` (no category dropped) into
+    one sparse vector per column, so thousands of values do not become thousands of
+    columns.  NULL and unseen values get their own slot (``handleInvalid="keep"``)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    cols = as_list(columns)
+    idx = {c: f"__idx{i}" for i, c in enumerate(cols)}
+    stages = [StringIndexer(inputCols=[c for c in cols], outputCols=[idx[c] for c in cols],
+                            handleInvalid="keep", stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCols=[idx[c] for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
+                            dropLast=False, handleInvalid="error")]
+    model = Pipeline(stages=stages).fit(df)
+    return model.transform(df).drop(*idx.values())
+
+
 def types_cast(dt: T.DataType, v: str):
     if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         return int(v)

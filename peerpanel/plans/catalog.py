@@ -1287,3 +1287,50 @@ def q_registry_stability(spark, sf_dir):
     per entity (the attributes are found from the column names of the long form)."""
     long = wide_years_to_long(fx.registry_wide_l(spark, sf_dir), ["entity_id", "entity_name"])
     return C.attribute_stability(long, ["entity_id", "entity_name"])
+
+
+
+@query("panel_roundtrip", with_l(REGISTRY_LONG_SQL.strip() + f""",
+fixed AS (
+  SELECT coalesce(o.entity_id, TRY_CAST(f.entity_id_raw AS BIGINT)) AS entity_id, f.entity_name, f.year,
+         f.source, f.amount
+  FROM funding f LEFT JOIN overrides o ON f.entity_name = o.entity_name),
+wide AS (
+  SELECT year, entity_name, entity_id,
+{_types_filter("max")}
+  FROM fixed WHERE entity_id IS NOT NULL GROUP BY year, entity_name, entity_id),
+clubbed AS (
+  SELECT entity_id, year, min(entity_name) AS entity_name,
+{",".join(chr(10) + f"    coalesce(sum(\"{t}\"), 0) AS \"{t}\"" for t in fx.PART_TYPES)}
+  FROM wide GROUP BY entity_id, year)
+SELECT r.entity_id, r.year, r."Quantity (units)",
+{",".join(chr(10) + f"  CAST(c.\"{t}\" AS DOUBLE) AS \"{t}\"" for t in fx.PART_TYPES)}
+FROM reglong r JOIN clubbed c ON r.entity_id = c.entity_id AND r.year = c.year
+WHERE r.year = (SELECT max(year) FROM yrs)
+"""))
+def q_panel_roundtrip(spark, sf_dir):
+    """S4 + S5: write the panel partitioned by year into the shared folder, re-read only
+    the latest year (partition pruning: the other years' files are never opened)."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.files import read_panel, write_panel
+
+    panel = C.build_panel(fx.funding_l(spark, sf_dir), fx.overrides_l(spark, sf_dir),
+                          fx.registry_wide_l(spark, sf_dir), fx.classes_l(spark, sf_dir),
+                          fx.members_l(spark, sf_dir), sources=fx.PART_TYPES, sort=False)
+    path = scratch_path(spark, f"panel-{uuid.uuid4().hex}")
+    write_panel(panel, path)
+    years = [int(p.split("=")[1]) for p in _partition_dirs(spark, path, "year")]
+    back = read_panel(spark, path, years=[max(years)])
+    return _double_metrics(back.select("entity_id", "year", "Quantity (units)", *fx.PART_TYPES), fx.PART_TYPES)
+
+
+def _partition_dirs(spark, path: str, column: str) -> list[str]:
+    """Partition directory names under ``path`` (listed through Hadoop, so it works on any
+    file system the cluster uses)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(hpath)
+            if st.isDirectory() and st.getPath().getName().startswith(column + "=")]

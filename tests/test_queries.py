@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from plan_guard import plan_problems
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
@@ -50,6 +51,7 @@ def test_every_query_has_oracle_or_is_model_fit():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
+    assert plan_problems(sdf) == []
     scols = sdf.columns
     srows = sdf.collect()
     res = duck.execute(SQL[name])
@@ -60,3 +62,10 @@ def test_query_matches_oracle(spark, duck, name):
     s = _sorted(tuple(r[scols.index(c)] for c in order) for r in srows)
     d = _sorted(tuple(r[dcols.index(c)] for c in order) for r in drows)
     assert s == d
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_model_queries_run_with_sane_plans(spark, name):
+    sdf = QUERIES[name](spark, SF_SMALL)
+    assert plan_problems(sdf) == []
+    assert sdf.count() > 0

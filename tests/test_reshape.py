@@ -56,3 +56,10 @@ def test_one_hot_string_and_codes(spark):
     assert [tuple(r) for r in out.orderBy("k").collect()] == [(1, 11, 1, 0), (2, 42, 0, 1), (3, 11, 0, 0)]
     enc = one_hot(df, ["code"], numeric="encode")
     assert "code_11" in enc.columns and "code_42" in enc.columns
+
+
+def test_one_hot_vector(spark):
+    from peerpanel.operators.reshape import one_hot_vector
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "k int, s string")
+    out = {r["k"]: r["s_vec"].toArray().tolist() for r in one_hot_vector(df, ["s"]).collect()}
+    assert out == {1: [0.0, 1.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [0.0, 0.0, 1.0]}
