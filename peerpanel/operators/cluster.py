@@ -44,7 +44,9 @@ def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], features: str =
     Returns, per k, the (model, inertia, seed) with the lowest inertia (lowest seed on a tie)."""
     from concurrent.futures import ThreadPoolExecutor
 
-    workers = parallel or max(1, min(len(specs), data.sparkSession.sparkContext.defaultParallelism))
+    # Small fits are bound by job latency, not cores: twice the default parallelism
+    # overlaps scheduling; the cap keeps a large cluster from taking 100 fits at once.
+    workers = parallel or max(1, min(len(specs), 2 * data.sparkSession.sparkContext.defaultParallelism, 32))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         results = list(pool.map(lambda ks: _fit_one(data, ks[0], ks[1], features, max_iter, tol), specs))
     best: dict[int, tuple[KMeansModel, float, int]] = {}
