@@ -3,8 +3,9 @@
 Exact linear-interpolation quantiles (numpy's default rule) without holding a
 whole column in one task:
 
-1. Approximate splits per (group, column) from ``percentile_approx`` at
-   ``buckets`` probabilities.  These are plan-time facts: ``buckets`` numbers per
+1. Approximate splits per column from ``percentile_approx`` at ``buckets``
+   probabilities (1024 by default, so a billion-value column has about a million
+   values per bucket).  These are plan-time facts: ``buckets`` numbers per
    column reach the driver, never rows.
 2. Every value is assigned its bucket by binary search over the splits (MLlib's
    ``Bucketizer``, on the JVM, O(log buckets) per row), and counted per
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .._names import as_list, col
 from .joins import bounded
 
-DEFAULT_BUCKETS = 128
+DEFAULT_BUCKETS = 1024
 # Columns with at most this many values take Spark's exact ``percentile`` aggregate,
 # whose state (a map of distinct values) is then bounded by this size.
 SMALL_COLUMN = 100_000
