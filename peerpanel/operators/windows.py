@@ -89,11 +89,12 @@ def rank_within(df: DataFrame, group: str | Sequence[str], order: Sequence[Colum
     order_cols = [col(o) if isinstance(o, str) else o for o in order]
     if top is not None:
         w = Window.partitionBy(*groups).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= top)
+        return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= top)
     biggest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if biggest is None or biggest <= max_group_rows:
         w = Window.partitionBy(*groups).orderBy(*order_cols)
-        return df.withColumn(out, F.row_number().over(w))
+        # long, not int: a hot group at scale can hold more than 2^31 rows
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     return _rank_by_sorted_partitions(df, as_list(group), order_cols, out)
 
 
