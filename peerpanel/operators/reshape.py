@@ -17,10 +17,20 @@ from pyspark.sql import types as T
 from .._names import as_list, col
 
 
-def categories_of(df: DataFrame, column: str, limit: int | None = None) -> list:
+# Same bound as Spark's own ``spark.sql.pivotMaxValues``: a category list is a list of
+# output columns, so one that grows with the data is refused, not collected.
+MAX_CATEGORIES = 10_000
+
+
+def categories_of(df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES) -> list:
     """Sorted distinct non-NULL values of a category column (a plan-time fact: the list of
-    output columns).  Aggregated on the cluster; only the distinct values reach the driver."""
-    rows = df.where(col(column).isNotNull()).select(col(column).alias("v")).distinct().orderBy("v").collect()
+    output columns).  Aggregated on the cluster; at most ``max_categories + 1`` values reach
+    the driver, and more than ``max_categories`` is an error (use a sparse vector instead,
+    :func:`one_hot_vector`)."""
+    rows = (df.where(col(column).isNotNull()).select(col(column).alias("v")).distinct().orderBy("v")
+            .limit(max_categories + 1).collect())
+    if len(rows) > max_categories:
+        raise ValueError(f"{column!r} has more than {max_categories} values: too many output columns")
     return [r["v"] for r in rows]
 
 
@@ -179,7 +189,10 @@ def one_hot(df: DataFrame, columns: Sequence[str], numeric: str = "passthrough",
     if todo:
         long = (df.select(*[col(c).cast("string").alias(c) for c in todo])
                 .unpivot([], [col(c) for c in todo], "variable", "value")
-                .where(F.col("value").isNotNull()).distinct().collect())
+                .where(F.col("value").isNotNull()).distinct()
+                .limit(MAX_CATEGORIES * len(todo) + 1).collect())
+        if len(long) > MAX_CATEGORIES * len(todo):
+            raise ValueError("too many categories for named 0/1 columns; use one_hot_vector")
         found: dict[str, list] = {c: [] for c in todo}
         for r in long:
             found[r["variable"]].append(r["value"])
