@@ -1048,7 +1048,10 @@ def q_nested_counts(spark, sf_dir):
 
 # 12. Model fits (no SQL form: rows-only in the driver, invariants in the tests) -------------
 
-CLUSTER_METRICS = ["urgent", "high", "medium", "not_specified", "low"]
+# Numeric clustering runs on the "active features": every source except the agriculture and
+# non-federal analogues, i.e. the columns of total_without.
+CLUSTER_METRICS = fx.O_TOTAL_WITHOUT
+MIXED_CATEGORICAL = ["segment", "region", "status"]
 
 
 def _clustered(spark, sf_dir, k: int = 4, restarts: int = 10, project: bool = False):
@@ -1057,11 +1060,30 @@ def _clustered(spark, sf_dir, k: int = 4, restarts: int = 10, project: bool = Fa
     return table, target
 
 
+def _clustered_mixed(frame: DataFrame, k: int = 3, restarts: int = 1) -> DataFrame:
+    """Mixed features (all metrics median-filled and standardised, categorical attributes
+    one-hot), k-means with the library default of one run, two components."""
+    feats = features_mixed(frame, "entity_id", fx.O_ALL_METRICS, MIXED_CATEGORICAL)
+    clustered = kmeans(feats, k, restarts=restarts)
+    side = pca_project(clustered, 2).select("entity_id", "cluster", "pc1", "pc2")
+    return frame.join(side, "entity_id")
+
+
 @query("elbow")
 def q_elbow(spark, sf_dir):
+    """M4 on the active features: k = 1..10, 10 restarts each."""
     _, peers, _ = o_peers(spark, sf_dir)
     f = features_numeric(peers, "entity_id", CLUSTER_METRICS)
-    return elbow(f, range(1, 7), restarts=10)
+    return elbow(f, range(1, 11), restarts=10)
+
+
+@query("elbow_mixed")
+def q_elbow_mixed(spark, sf_dir):
+    """M4 on the mixed features: k = 2 .. min(10, n - 1) - 1, one run each."""
+    _, peers, _ = o_peers(spark, sf_dir)
+    f = features_mixed(peers, "entity_id", fx.O_ALL_METRICS, MIXED_CATEGORICAL)
+    n = peers.count()
+    return elbow(f, range(2, min(10, n - 1)), restarts=1)
 
 
 @query("kmeans_clusters")
@@ -1091,14 +1113,24 @@ def q_cluster_scatter(spark, sf_dir):
 
 @query("target_cluster")
 def q_target_cluster(spark, sf_dir):
-    t, target = _clustered(spark, sf_dir, project=True)
-    return C.target_cluster(t, "entity_id", target, "entity_name")
+    """C14 on the mixed clustering of the peers (k = 3)."""
+    _, peers, target = o_peers(spark, sf_dir)
+    return C.target_cluster(_clustered_mixed(peers), "entity_id", target, "entity_name")
+
+
+def _r1_cohort(spark, sf_dir):
+    p = C.recode_designation(o_profile(spark, sf_dir), "status", "F")
+    r1 = cut_lineage(p.where(F.col("designation") == "R1"))
+    target = r1.where(~F.col("member")).agg(F.min("entity_id")).scalar()
+    return r1, target
 
 
 @query("cluster_card")
 def q_cluster_card(spark, sf_dir):
-    t, target = _clustered(spark, sf_dir)
-    return C.cluster_card(t, "entity_id", target, ["segment", "region", "status"], fx.O_ALL_METRICS)
+    """The target's cluster in the R1 cohort's mixed clustering: modal attributes and
+    mean metrics."""
+    r1, target = _r1_cohort(spark, sf_dir)
+    return C.cluster_card(_clustered_mixed(r1), "entity_id", target, MIXED_CATEGORICAL, fx.O_ALL_METRICS)
 
 
 @query("cluster_box")
@@ -1118,7 +1150,7 @@ def q_analyse_cohort(spark, sf_dir):
     p = C.recode_designation(o_profile(spark, sf_dir), "status", "F")
     return C.analyse_cohort(p, "designation", "R1", "entity_id", "entity_name", fx.O_METRICS,
                             {"total_with": fx.O_TOTAL_WITH, "total_without": fx.O_TOTAL_WITHOUT},
-                            ["segment", "region"], k=3)
+                            MIXED_CATEGORICAL, k=3)
 
 
 @query("kmeans_vectors")

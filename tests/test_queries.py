@@ -43,7 +43,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_model_fit():
-    fits = {"elbow", "kmeans_clusters", "cluster_members", "cluster_summary", "cluster_scatter", "target_cluster",
+    fits = {"elbow", "elbow_mixed", "kmeans_clusters", "cluster_members", "cluster_summary", "cluster_scatter", "target_cluster",
             "cluster_card", "cluster_box", "cluster_radar", "analyse_cohort", "kmeans_vectors"}
     assert set(QUERIES) - set(SQL) == fits
 
