@@ -26,6 +26,17 @@ DEFAULT_CONF = {
 }
 
 
+# Settings the plans assume on a large cluster (see README, "Running at 100 TB").
+# Not applied by the library: the submitter's configuration decides.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "peerpanel") -> SparkSession:
     """Return the active session, or start one with :data:`DEFAULT_CONF`."""
     active = SparkSession.getActiveSession()
