@@ -20,12 +20,12 @@ from .._names import col
 from ..session import cut_lineage
 from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text, percent_text, target_value,
                                 zero_pad)
-from ..operators.aggregates import (change_counts, club, cohort_means, count_by, dedupe, distinct_values, latest,
-                                    modal_by_group, modal_value, rollup_by, row_count, value_counts, value_shares)
+from ..operators.aggregates import (club, cohort_means, count_by, dedupe, distinct_values, latest, modal_by_group,
+                                    rollup_by, row_count, value_counts, value_shares)
 from ..operators.cluster import assign_nearest, elbow, inertia_k1, kmeans, pca_explained, pca_project
 from ..operators.columns import (label_cohort, order_columns, override_key, recode_binary, rescale, row_total,
                                  short_labels, strip_suffix)
-from ..operators.features import assemble, features_mixed, features_numeric, feature_columns
+from ..operators.features import feature_columns, features_mixed, features_numeric
 from ..operators.filters import cohort_with_target, exclude, in_table, in_values, lookup, require_key, split_target
 from ..operators.joins import attach, flag_members, keep_members, left_join_suffix, panel_join
 from ..operators.ordering import order_by_category, preview, sort_by, top_k
