@@ -57,8 +57,18 @@ MISSING_KEY_EVERY = 7
 OVERRIDE_EVERY = 14
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
+    """A lazy scan of one test table.  The handle (a plan, not data) is reused within a
+    session, so the file listing and footer read happen once per table."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = read_table(spark, path)
+    return df
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
