@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._names import as_list, col, value
-from ..functions.scalar import fill_unknown, last_of, match_flag, money_text, percent_text
+from ..functions.scalar import fill_unknown, last_of, match_flag, match_int, money_text, percent_text
 from ..operators.aggregates import (change_counts, cluster_profile, club, count_by, mean_of, modal_value,
                                     value_shares)
 from ..operators.cluster import kmeans, pca_project
@@ -163,6 +163,7 @@ def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fi
     tv = _target_plain(filled, key, target, columns)
     return (modes.join(tv, on="variable", how="left")
             .withColumn("match", match_flag(F.col("target_value"), F.col("mode")))
+            .withColumn("match_code", match_int(F.col("target_value"), F.col("mode")))
             .withColumn("mode_percent", percent_text(F.col("mode_share"))))
 
 
@@ -229,7 +230,9 @@ def cohort_shares(stacked: DataFrame, column: str, fill_zero: bool = False, orde
         counts = count_by(stacked, ["designation", column], name="count")
     out = share_within(counts, "designation", "count", out="share", group_bounded=True)
     if order is not None:
+        # declared order (O3): the rank as a column; a value outside the list becomes NULL
         out = out.withColumn("category_rank", category_rank(column, list(order)))
+        out = out.withColumn(column, F.when(F.col("category_rank").isNull(), F.lit(None)).otherwise(col(column)))
     if codes is not None:
         from ..functions.scalar import code_labels
         out = out.withColumn(column, code_labels(col(column), codes))
@@ -261,7 +264,7 @@ def cluster_summary(clustered: DataFrame, key: str, name: str, metric: str, quar
     the metric descending, with the rank within the cluster (W4)."""
     ranked = rank_within(clustered, cluster, [col(metric).desc_nulls_last(), col(key).asc()], out="rank_in_cluster")
     return (ranked.select(col(cluster), col(key), col(name),
-                          money_text(F.floor(col(metric)).cast("double")).alias("total_funding"),
+                          money_text(col(metric)).alias("total_funding"),
                           col(quartile).alias("funding_quartile"), "rank_in_cluster")
             .orderBy(cluster, "rank_in_cluster"))
 

@@ -501,6 +501,7 @@ tv AS (SELECT 'segment' AS variable, segment AS target_value FROM filled WHERE e
        UNION ALL SELECT 'region', region FROM filled WHERE entity_id = (SELECT id FROM target)
        UNION ALL SELECT 'status', status FROM filled WHERE entity_id = (SELECT id FROM target))
 SELECT m.*, tv.target_value, CASE WHEN tv.target_value = m.mode THEN 'Yes' ELSE 'No' END AS match,
+       CASE WHEN tv.target_value = m.mode THEN 1 ELSE 0 END AS match_code,
        printf('%.1f', round_even(mode_share * 100, 1)) || '%' AS mode_percent
 FROM modes m LEFT JOIN tv ON m.variable = tv.variable
 """.replace("peers),\n,", "peers),", 1)).replace("FROM peers)\n,\nfilled", "FROM peers),\nfilled"))

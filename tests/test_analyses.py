@@ -113,3 +113,10 @@ def test_cluster_tables(spark, profile):
 def test_nested_counts_drop_null(spark, profile):
     nc = C.nested_counts(profile, [("region", "segment")]).collect()
     assert sum(r["count"] for r in nc) == 5
+
+
+def test_cohort_shares_declared_order_nulls_unlisted(spark, profile):
+    p = C.recode_designation(profile, "status", "F")
+    st = C.designations(p, "member", "MEMBER", "designation", ["entity_id", "segment"])
+    rows = C.cohort_shares(st, "segment", order=["y", "x"]).collect()
+    assert {(r["segment"], r["category_rank"]) for r in rows} == {("y", 0), ("x", 1), (None, None)}
