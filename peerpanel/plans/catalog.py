@@ -551,8 +551,10 @@ stacked AS (SELECT CASE WHEN status = 'F' THEN 'R1' ELSE 'R2' END AS designation
 """
 
 
-def _stacked(spark, sf_dir):
-    p = C.recode_designation(fx.profile_o(spark, sf_dir), "status", "F")
+def _stacked(spark, sf_dir, materialize: bool = False):
+    """The overlapping cohorts; ``materialize`` when the query passes over them twice."""
+    prof = o_profile(spark, sf_dir) if materialize else fx.profile_o(spark, sf_dir)
+    p = C.recode_designation(prof, "status", "F")
     return C.designations(p, "member", "MEMBER", "designation", ["entity_id", "segment", *fx.O_METRICS])
 
 
@@ -567,7 +569,8 @@ SELECT designation, segment, count,
 FROM cnt
 """))
 def q_cohort_shares(spark, sf_dir):
-    return C.cohort_shares(_stacked(spark, sf_dir), "segment", fill_zero=True)
+    # two passes: the category list (a plan-time fact) and the shares
+    return C.cohort_shares(_stacked(spark, sf_dir, materialize=True), "segment", fill_zero=True)
 
 
 @query("cohort_funding", with_o(COHORT_SQL.strip().lstrip(",").join([",\n", ""]) + """

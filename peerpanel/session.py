@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of materialised profiles and vectors are deleted once the
+    # DataFrame that owns them is gone, so the shared folder does not fill up
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
