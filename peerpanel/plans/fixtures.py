@@ -109,22 +109,38 @@ def members_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers_o(spark, sf_dir).where(F.col("region") == MEMBER_REGION_O).select("entity_name")
 
 
-def panel_o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer x year panel: one amount per priority (0 when none), the year's latest order
-    status (by order key), customer attributes and the member flag."""
+def _yearly_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = funding_o(spark, sf_dir)
     aggs = [F.coalesce(F.sum(F.when(F.col("source") == src, F.col("amount"))), F.lit(0)).alias(name)
             for src, name in PRIORITY_NAMES.items()]
     aggs.append(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
-    yearly = f.groupBy("entity_id", "year").agg(*aggs)
-    panel = yearly.join(customers_o(spark, sf_dir), on="entity_id")
-    return flag_members(panel, members_o(spark, sf_dir), "entity_name", "entity_id", out="member")
+    return f.groupBy("entity_id", "year").agg(*aggs)
+
+
+def customers_flagged_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer attributes with the member flag (J5 applied to the dimension: one row per
+    customer instead of one per customer and year)."""
+    return flag_members(customers_o(spark, sf_dir), members_o(spark, sf_dir), "entity_name", "entity_id",
+                        out="member")
+
+
+def panel_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer x year panel: one amount per priority (0 when none), the year's latest order
+    status (by order key), customer attributes and the member flag."""
+    return _yearly_o(spark, sf_dir).join(customers_flagged_o(spark, sf_dir), on="entity_id")
 
 
 def profile_o(spark: SparkSession, sf_dir: str, totals: bool = True) -> DataFrame:
     """Customer profile: latest attributes, mean amount per priority over the customer's
-    panel years (as double), and the two totals."""
-    p = entity_profile(panel_o(spark, sf_dir), "entity_id", O_ATTRS, O_METRICS, order="year")
+    panel years (as double), and the two totals.
+
+    The order facts are rolled up first (A4 with the one attribute that changes by
+    year, the status) and the static customer attributes are joined once afterwards:
+    the latest value of an attribute that never changes is that value, so this is
+    the panel profile with a narrower aggregate.
+    """
+    p = entity_profile(_yearly_o(spark, sf_dir), "entity_id", ["status"], O_METRICS, order="year")
+    p = p.join(customers_flagged_o(spark, sf_dir), on="entity_id")
     if totals:
         p = row_total(p, "total_with", O_TOTAL_WITH)
         p = row_total(p, "total_without", O_TOTAL_WITHOUT)
