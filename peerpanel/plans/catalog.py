@@ -183,7 +183,7 @@ FROM prof
 """))
 def q_profile_totals(spark, sf_dir):
     """lineitem + part + supplier -> sum per (supplier, year, type) -> strict pivot (R1) ->
-    club (A1: a type with no sales that year is 0) -> profile (A4) -> totals (P7)."""
+    club (A1: a type with no sales that year is 0) -> profile (A4) -> supplier name -> totals (P7)."""
     li = fx.lineitem_l(spark, sf_dir)
     cells = li.groupBy(F.col("l_suppkey").alias("entity_id"), "year", "p_type").agg(F.sum("amount").alias("amount"))
     wide = pivot_strict(cells, ["entity_id", "year"], "p_type", "amount", categories=fx.PART_TYPES)
@@ -191,7 +191,8 @@ def q_profile_totals(spark, sf_dir):
     s = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"),
                                                    F.col("s_name").alias("entity_name"))
     from ..operators.aggregates import entity_profile
-    prof = entity_profile(yearly.join(s, "entity_id"), "entity_id", ["entity_name"], fx.PART_TYPES)
+    # numeric-only profile (a hash aggregate), then the supplier name from the dimension
+    prof = entity_profile(yearly, "entity_id", [], fx.PART_TYPES).join(s, "entity_id")
     prof = row_total(prof, "total_with", L_TOTAL_WITH)
     return row_total(prof, "total_without", L_TOTAL_WITHOUT)
 

@@ -44,7 +44,6 @@ O_METRICS = list(PRIORITY_NAMES.values())
 O_TOTAL_WITH = ["urgent", "high", "medium", "low"]
 O_TOTAL_WITHOUT = ["urgent", "high", "medium"]
 O_ALL_METRICS = O_METRICS + ["total_with", "total_without"]
-O_ATTRS = ["entity_name", "segment", "nation", "region", "status", "member"]
 # [L] funding sources: part types.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 # Member cohorts: entities of one region, listed by name.
