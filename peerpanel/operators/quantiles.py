@@ -205,7 +205,10 @@ def quantile_bin(df: DataFrame, columns: Sequence[str], q: int = 4, labels: Sequ
             val = F.lit(i + 1) if index else F.lit(labels[i])
             pick = F.when(hit, val) if pick is None else pick.when(hit, val)
         err = F.raise_error(F.lit(f"quantile_bin: bin edges must be unique for {c}"))
-        new[f"{c}{suffix}"] = F.when(v.isNull(), F.lit(None)).when(dup, err).otherwise(pick)
+        # no values at all: every edge is NULL, which qcut also rejects as non-unique edges
+        empty = F.raise_error(F.lit(f"quantile_bin: bin edges must be unique for {c} (no values)"))
+        new[f"{c}{suffix}"] = (F.when(e[0].isNull(), empty).when(v.isNull(), F.lit(None))
+                               .when(dup, err).otherwise(pick))
     out = out.withColumns(new)
     return out.drop(*[f"{c}__{n}" for c in cols for n in names])
 

@@ -69,3 +69,8 @@ def test_model_queries_run_with_sane_plans(spark, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     assert plan_problems(sdf) == []
     assert sdf.count() > 0
+
+
+def test_panel_key_is_unique(spark):
+    panel = QUERIES["build_panel"](spark, SF_SMALL)
+    assert panel.count() == panel.select("entity_id", "year").distinct().count()
