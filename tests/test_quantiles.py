@@ -49,3 +49,13 @@ def test_median_impute(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 10.0)], "k int, x double")
     out = {r["k"]: r["x"] for r in median_impute(df, ["x"]).collect()}
     assert out == {1: 1.0, 2: 3.0, 3: 3.0, 4: 10.0}
+
+
+def test_grouped_cut_points_and_outliers(spark):
+    from peerpanel.operators.quantiles import box_outliers, cut_points
+    rows = [("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", float(v)) for v in [10, 11, 12, 13]]
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "k int, g string, x double")
+    cp = {r["g"]: r["x_p50"] for r in cut_points(df, ["x"], [0.5], by=["g"]).collect()}
+    assert cp == {"a": 3.0, "b": 11.5}
+    out = [(r["g"], r["value"]) for r in box_outliers(df, "k", ["x"], by=["g"]).collect()]
+    assert out == [("a", 100.0)]

@@ -63,3 +63,12 @@ def test_one_hot_vector(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "k int, s string")
     out = {r["k"]: r["s_vec"].toArray().tolist() for r in one_hot_vector(df, ["s"]).collect()}
     assert out == {1: [0.0, 1.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [0.0, 0.0, 1.0]}
+
+
+def test_union_form_prunes_years(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0)],
+                               "k long, `v (HD2020)` double, `v (HD2021)` double, `v (HD2022)` double")
+    long = wide_years_to_long(df, ["k"], method="union").where(F.col("year") == 2021)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan  # constant folding left a single branch
+    assert [r["v"] for r in long.collect()] == [2.0]

@@ -52,3 +52,12 @@ def test_write_and_read_panel_partition_pruning(spark, tmp_path):
                            T.StructField("year", T.IntegerType())])
     back_csv = read_panel(spark, csv_out, fmt="csv", schema=schema)
     assert back_csv.agg(F.sum("v")).first()[0] == 6.0
+
+
+def test_read_headerless_skips_per_file(spark, tmp_path):
+    d = tmp_path / "sheets"
+    d.mkdir()
+    (d / "a.csv").write_text("junk a\n1,x\n2,y\n")
+    (d / "b.csv").write_text("junk b\n3,z\n")
+    df = read_headerless(spark, str(d), ["id", "name"], skip_rows=1)
+    assert sorted(r["id"] for r in df.collect()) == ["1", "2", "3"]
