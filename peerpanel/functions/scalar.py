@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._names import as_list, col, value
 
@@ -72,10 +73,27 @@ def code_labels(c: str | Column, labels: Mapping) -> Column:
 
 
 def fill_unknown(df: DataFrame, columns: Sequence[str], value: str = "Unknown") -> DataFrame:
-    """Fill NULLs with a constant (string columns are filled as text, others as the
-    constant cast to their type)."""
-    return df.withColumns({c: F.coalesce(col(c), F.lit(value).cast(df.schema[c].dataType))
-                           for c in as_list(columns)})
+    """Fill NULLs with a constant.  String columns are filled as text; a numeric column
+    takes the constant in its own type when it is a number, and otherwise becomes a text
+    column filled with it (as a pandas column turns to objects when filled with text)."""
+    out = {}
+    for c in as_list(columns):
+        dt = df.schema[c].dataType
+        if isinstance(dt, T.StringType):
+            out[c] = F.coalesce(col(c), F.lit(value))
+        elif _is_number(value):
+            out[c] = F.coalesce(col(c), F.lit(value).cast(dt))
+        else:
+            out[c] = F.coalesce(col(c).cast("string"), F.lit(str(value)))
+    return df.withColumns(out)
+
+
+def _is_number(v) -> bool:
+    try:
+        float(v)
+        return True
+    except (TypeError, ValueError):
+        return False
 
 
 def match_flag(a: str | Column, b: str | Column, yes="Yes", no="No") -> Column:

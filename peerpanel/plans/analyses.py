@@ -157,7 +157,8 @@ def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], de
 def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fill: str = "Unknown") -> DataFrame:
     """Per attribute, the target's value, the peers' mode (NULLs counted as ``fill``,
     since the reference fills them first) and its share, and whether they match."""
-    filled = fill_unknown(profile, [c for c in columns], fill)
+    # compared as text (the mode table is text): cast first, then fill
+    filled = fill_unknown(profile.withColumns({c: col(c).cast("string") for c in columns}), list(columns), fill)
     peers = filled.where(col(key) != value(target))
     modes = modal_value(peers, columns)
     tv = _target_plain(filled, key, target, columns)

@@ -26,3 +26,11 @@ def test_target_value_absent_default(spark):
     present = target_value(df, "k", 1, ["s", "v"]).first()
     absent = target_value(df, "k", 9, ["s"], default="N/A").first()
     assert (present["target_s"], present["target_v"], absent["target_s"]) == ("x", 2.0, "N/A")
+
+
+def test_fill_unknown_numeric_columns(spark):
+    df = spark.createDataFrame([(1, None), (None, 2)], "a int, b int")
+    out = fill_unknown(df, ["a"], "Unknown")
+    assert dict(out.dtypes)["a"] == "string" and [r["a"] for r in out.collect()] == ["1", "Unknown"]
+    zero = fill_unknown(df, ["b"], "0")
+    assert dict(zero.dtypes)["b"] == "int" and [r["b"] for r in zero.collect()] == [0, 2]
