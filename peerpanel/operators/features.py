@@ -48,7 +48,8 @@ def features_mixed(df: DataFrame, key: str | Sequence[str], numeric: Sequence[st
 
     Categorical text columns get NULL -> ``fill`` (X7) then one 0/1 column per value
     (R6); numeric code columns pass through unscaled (``codes="encode"`` one-hot
-    encodes them too).  Metric NULLs take the column median (X8) when
+    encodes them too) unless they hold NULLs, in which case filling makes them text
+    and they are encoded, as in the reference.  Metric NULLs take the column median (X8) when
     ``impute_median``; the metrics are then standardised (W3).
     Returns key, kept columns, the processed columns and the vector.
     """
@@ -59,6 +60,12 @@ def features_mixed(df: DataFrame, key: str | Sequence[str], numeric: Sequence[st
                      *[col(c) for c in num], *[col(c) for c in cat])
     types = {f.name: f.dataType for f in base.schema.fields}
     text = [c for c in cat if isinstance(types[c], T.StringType)]
+    codes_cols = [c for c in cat if c not in text]
+    if codes_cols and codes == "passthrough":
+        # A code column with NULLs becomes text once filled (and is then encoded); one
+        # without NULLs stays numeric.  One aggregate finds which (a plan-time fact).
+        nulls = base.agg(*[F.count(F.when(col(c).isNull(), F.lit(1))).alias(c) for c in codes_cols]).first()
+        text += [c for c in codes_cols if nulls[c] > 0]
     base = fill_unknown(base, text, fill) if text else base
     if impute_median and num:
         base = median_impute(base, num)

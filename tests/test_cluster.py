@@ -65,3 +65,9 @@ def test_features_mixed_layout(spark):
     rows = {r["k"]: r for r in f.collect()}
     assert rows[2]["m"] == 0.0  # median fill, then standardised around the same median
     assert rows[2]["s_Unknown"] == 1 and rows[1]["code"] == 11
+
+
+def test_features_mixed_code_column_with_nulls_is_encoded(spark):
+    df = spark.createDataFrame([(1, 1.0, 11), (2, 2.0, None), (3, 3.0, 42)], "k long, m double, code int")
+    f = features_mixed(df, "k", ["m"], ["code"])
+    assert [c for c in f.columns if c not in ("k", "features")] == ["m", "code_11", "code_42", "code_Unknown"]
