@@ -231,13 +231,12 @@ SELECT entity_id, entity_name, year,
 FROM clean GROUP BY entity_id, entity_name, year
 """))
 def q_pivot_sources(spark, sf_dir):
-    f = fx.funding_l(spark, sf_dir)
+    """R1 on funding cells already aggregated to (supplier, year, type)."""
     s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     cells = (fx.lineitem_l(spark, sf_dir).groupBy("l_suppkey", "year", "p_type").agg(F.sum("amount").alias("amount"))
              .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
              .select(F.col("l_suppkey").alias("entity_id"), F.col("s_name").alias("entity_name"), "year",
                      F.col("p_type").alias("source"), "amount"))
-    del f
     wide = pivot_strict(cells, ["entity_id", "entity_name", "year"], "source", "amount", categories=fx.PART_TYPES)
     return _double_metrics(wide, fx.PART_TYPES)
 
