@@ -71,3 +71,18 @@ def test_features_mixed_code_column_with_nulls_is_encoded(spark):
     df = spark.createDataFrame([(1, 1.0, 11), (2, 2.0, None), (3, 3.0, 42)], "k long, m double, code int")
     f = features_mixed(df, "k", ["m"], ["code"])
     assert [c for c in f.columns if c not in ("k", "features")] == ["m", "code_11", "code_42", "code_Unknown"]
+
+
+def test_pca_sign_rule_largest_loading_positive(spark):
+    from peerpanel.operators.cluster import fit_pca
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=200)
+    y = -0.5 * x + rng.normal(scale=0.5, size=200)
+    z = rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, z))],
+                               "k long, x double, y double, z double")
+    f = features_numeric(df, "k", ["x", "y", "z"])
+    model, _, _, signs = fit_pca(f, 2)
+    pc = model.pc.toArray() * np.array(signs)
+    for j in range(2):
+        assert pc[np.argmax(np.abs(pc[:, j])), j] > 0
