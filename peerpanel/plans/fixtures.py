@@ -186,12 +186,6 @@ def members_l(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("s_name").alias("entity_name")))
 
 
-def registry_years(spark: SparkSession, sf_dir: str) -> list[int]:
-    """Years present in the line items (a plan-time fact: the registry's column list)."""
-    li = table(spark, sf_dir, "lineitem")
-    return [r[0] for r in li.select(F.year("l_shipdate").cast("int").alias("y")).distinct().orderBy("y").collect()]
-
-
 def registry_wide_l(spark: SparkSession, sf_dir: str, years: list[int] | None = None) -> DataFrame:
     """Registry, wide by year: ``Quantity (units) (HD<year>)`` for every year and
     ``Orders (HD<year>)`` for every year but the last (an attribute missing in one year,
