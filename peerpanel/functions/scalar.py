@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._names import as_list, col, value
+from ..constants import MATCH_NO, MATCH_YES, UNKNOWN
 
 
 def _c(x: str | Column) -> Column:
@@ -72,7 +73,7 @@ def code_labels(c: str | Column, labels: Mapping) -> Column:
     return F.element_at(F.create_map(*pairs), _c(c))
 
 
-def fill_unknown(df: DataFrame, columns: Sequence[str], value: str = "Unknown") -> DataFrame:
+def fill_unknown(df: DataFrame, columns: Sequence[str], value: str = UNKNOWN) -> DataFrame:
     """Fill NULLs with a constant.  String columns are filled as text; a numeric column
     takes the constant in its own type when it is a number, and otherwise becomes a text
     column filled with it (as a pandas column turns to objects when filled with text)."""
@@ -96,7 +97,7 @@ def _is_number(v) -> bool:
         return False
 
 
-def match_flag(a: str | Column, b: str | Column, yes="Yes", no="No") -> Column:
+def match_flag(a: str | Column, b: str | Column, yes=MATCH_YES, no=MATCH_NO) -> Column:
     """``yes`` when equal, else ``no`` (NULL on either side is ``no``)."""
     return F.when(_c(a) == _c(b), F.lit(yes)).otherwise(F.lit(no))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._names import as_list, col
+from ..constants import UNKNOWN
 from ..functions.scalar import fill_unknown
 from .quantiles import median_impute
 from .reshape import one_hot
@@ -41,7 +42,7 @@ def features_numeric(df: DataFrame, key: str | Sequence[str], columns: Sequence[
 
 
 def features_mixed(df: DataFrame, key: str | Sequence[str], numeric: Sequence[str], categorical: Sequence[str],
-                   out: str = "features", impute_median: bool = True, fill: str = "Unknown",
+                   out: str = "features", impute_median: bool = True, fill: str = UNKNOWN,
                    codes: str = "passthrough", categories: dict | None = None,
                    keep: Sequence[str] = ()) -> DataFrame:
     """M2: standardised metrics beside unscaled indicator columns.

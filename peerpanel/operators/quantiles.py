@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._names import as_list, col
+from ..constants import QUARTILE_LABELS
 from .joins import bounded
 
 DEFAULT_BUCKETS = 1024
@@ -172,7 +173,6 @@ def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*[f"{c}___median" for c in cols])
 
 
-QUARTILE_LABELS = ["Q1 (Low)", "Q2", "Q3", "Q4 (High)"]
 
 
 def quantile_bin(df: DataFrame, columns: Sequence[str], q: int = 4, labels: Sequence[str] | None = None,

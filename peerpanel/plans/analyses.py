@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._names import as_list, col, value
+from ..constants import ABSENT, UNKNOWN
 from ..functions.scalar import fill_unknown, last_of, match_flag, match_int, money_text, percent_text
 from ..operators.aggregates import (change_counts, cluster_profile, club, count_by, mean_of, modal_value,
                                     value_shares)
@@ -97,7 +98,7 @@ def target_long(profile: DataFrame, key: str, target, metrics: Sequence[str], na
 
 
 def quartile_distribution(profile: DataFrame, metrics: Sequence[str], key: str, target,
-                          labels: Sequence[str] = QUARTILE_LABELS, default: str = "Unknown") -> DataFrame:
+                          labels: Sequence[str] = QUARTILE_LABELS, default: str = UNKNOWN) -> DataFrame:
     """C4: per metric, how many entities fall in each quartile (W2 over the whole profile,
     target included as in the reference), in label order, with the target's own quartile
     (``default`` when the target is absent)."""
@@ -134,7 +135,7 @@ def target_vs_means(profile: DataFrame, key: str, target, outlier, metrics: Sequ
 
 
 def compare_categorical(profile: DataFrame, key: str, target, columns: Sequence[str],
-                        default: str = "N/A") -> DataFrame:
+                        default: str = ABSENT) -> DataFrame:
     """Per attribute, the target's value (``default`` if absent) and the peers'
     distribution (target excluded, NULLs excluded) as share and percent text."""
     peers = profile.where(col(key) != value(target))
@@ -144,7 +145,7 @@ def compare_categorical(profile: DataFrame, key: str, target, columns: Sequence[
             .withColumn("percent", percent_text(F.col("share"))))
 
 
-def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], default: str = "N/A") -> DataFrame:
+def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], default: str = ABSENT) -> DataFrame:
     hit = col(key) == value(target)
     present = F.max(F.when(hit, F.lit(1)))
     one = profile.agg(present.alias("__present"),
@@ -154,7 +155,7 @@ def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], de
     return melt(one, [], list(columns), "variable", "target_value")
 
 
-def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fill: str = "Unknown") -> DataFrame:
+def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fill: str = UNKNOWN) -> DataFrame:
     """Per attribute, the target's value, the peers' mode (NULLs counted as ``fill``,
     since the reference fills them first) and its share, and whether they match."""
     # compared as text (the mode table is text): cast first, then fill
