@@ -11,6 +11,8 @@ from conftest import SF_SMALL
 from plan_guard import plan_problems
 
 SQL = E.oracle_sql()
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 QUERIES = E.queries()
 
 
@@ -54,6 +56,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert plan_problems(sdf) == []
     scols = sdf.columns
     srows = sdf.collect()
+    rel = duck.sql(SQL[name])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in stypes.items()} == dtypes
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
