@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_rules
+from . import packing, quality_rules, simhash, token_counts, url_rules
 from .common import table
 
-#: Fixed values of the query's contract.
+#: Fixed values of the queries' contracts.
+SHINGLE_WORDS, MAX_BITS = 3, 2
+PACK_TOKENIZER = "byte_bpe_50k.json"
+COUNT_MODEL = "piece_bpe_32k.model"
 URL_RULES = [
     url_rules.host_rule("block", "net", "/"),
     url_rules.host_rule("allow", "example.net", "/en/"),
@@ -29,7 +32,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op7_url_rules, op10_quality_rules)}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, at most 2 bits apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, SHINGLE_WORDS, MAX_BITS).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), PACK_TOKENIZER)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), COUNT_MODEL)
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_packing, op7_url_rules, op9_token_counts, op10_quality_rules)}
 
 _URL_SQL = """
 WITH p AS (
