@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash, token_counts, url_rules
+from . import host_text, packing, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
 from .common import table
 
 #: Fixed values of the queries' contracts.
@@ -48,7 +48,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), COUNT_MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_packing, op7_url_rules, op9_token_counts, op10_quality_rules)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judge(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
+def op6_host_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return host_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written into ZIP packages and read back."""
+    read = warc_zip.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
+                                   op9_token_counts, op10_quality_rules)}
+
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= {warc_zip.MIN_REVISIT} GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= {warc_zip.MIN_REVISIT}
+"""
 
 _URL_SQL = """
 WITH p AS (
@@ -100,4 +127,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = {"op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}
+ORACLE = {"op8_warc_zip": _WARC_SQL, "op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}
