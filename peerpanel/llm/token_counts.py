@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Share of a task's pre-tokens from which one is a candidate for the broadcast table, and
 #: that table's largest size.
-FREQUENT_SHARE = 2e-5
-MAX_FREQUENT = 50_000
+FREQUENT_SHARE = 4e-6
+MAX_FREQUENT = 200_000
 #: Distinct pre-tokens a task holds while it looks for frequent ones; beyond it the rarest go.
 MAX_HELD = 1_000_000
 SPACE_MARK = "▁"
