@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_text, packing, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
+from . import host_text, latent_leaks, packing, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
 from .common import table
 
 #: Fixed values of the queries' contracts.
@@ -32,6 +32,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return latent_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, at most 2 bits apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,7 +71,7 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
+QUERIES = {f.__name__: f for f in (op1_latent_leaks, op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
                                    op9_token_counts, op10_quality_rules)}
 
 _WARC_SQL = f"""
