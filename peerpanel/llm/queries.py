@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_text, latent_leaks, packing, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
+from . import host_text, latent_leaks, packing, preferences, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
 from .common import table
 
 #: Fixed values of the queries' contracts.
@@ -37,6 +37,15 @@ def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as a preference pair, for every k."""
+    conv = F.col("conv_id")
+    out = preferences.format_preferences(table(spark, sf_dir, "conversations"), F.shiftright(conv, 1), conv.bitwiseAND(F.lit(1)) == 0)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(F.col("pair").alias("pair_id"), "prefix_turns", "prompt", "chosen", "rejected",
+                      text("chosen_spans").alias("chosen_mask"), text("rejected_spans").alias("rejected_mask"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, at most 2 bits apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,7 +80,7 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_latent_leaks, op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
+QUERIES = {f.__name__: f for f in (op1_latent_leaks, op2_preferences, op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
                                    op9_token_counts, op10_quality_rules)}
 
 _WARC_SQL = f"""
@@ -132,4 +141,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = {"op8_warc_zip": _WARC_SQL, "op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}
+_B, _E = preferences.BEGIN, preferences.END.replace("\n", "")
+_PREFERENCE_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k,
+             '{_B}' || role || chr(10) || text || '{_E}' || chr(10) AS r FROM t),
+p AS (SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k))::INT AS prefix_turns
+      FROM (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, coalesce(a.r = b.r AND a.role = b.role, false) AS same
+            FROM (FROM o WHERE side = 0) a FULL JOIN (FROM o WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k) GROUP BY pair_id),
+c AS (SELECT o.*, prefix_turns, sum(length(r)) OVER (PARTITION BY pair_id, side, k > prefix_turns ORDER BY k) AS e FROM o JOIN p USING (pair_id)),
+m AS (SELECT *, (e - length(text) - {len(preferences.END)})::BIGINT::VARCHAR || ':' || e::BIGINT::VARCHAR AS span FROM c)
+SELECT pair_id, prefix_turns,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (side = 0 AND k <= prefix_turns), '') AS prompt,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (side = 0 AND k > prefix_turns), '') AS chosen,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (side = 1 AND k > prefix_turns), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 0 AND k > prefix_turns AND role = '{preferences.TRAINED_ROLE}'), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 1 AND k > prefix_turns AND role = '{preferences.TRAINED_ROLE}'), '') AS rejected_mask
+FROM m GROUP BY pair_id, prefix_turns
+"""
+
+ORACLE = {"op2_preferences": _PREFERENCE_SQL, "op8_warc_zip": _WARC_SQL, "op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}
