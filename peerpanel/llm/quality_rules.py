@@ -127,6 +127,27 @@ def certified_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DE
             .groupBy("stratum", "metric").agg(F.max(F.struct(gain.alias("gain"), "cutoff"))["cutoff"].alias("cutoff")))
 
 
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str, risk: float, delta: float) -> DataFrame:
+    """(_stratum, a cutoff or null for each metric) as a table of literals: a row per stratum with a rule."""
+    truth = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
+             .groupBy(F.col(key).alias("_key")).agg((F.min("quality") > 0).alias("good")))
+    labelled = measured.join(truth, F.col(key) == F.col("_key")).select("stratum", "good", *METRICS)
+    of: dict[str, dict[str, float]] = {}
+    for r in certified_cutoffs(labelled, risk, delta).collect():  # at most len(METRICS) numbers a stratum
+        of.setdefault(r["stratum"], {})[r["metric"]] = r["cutoff"]
+    return literal_table(measured.sparkSession, [(s, *(x.get(m) for m in METRICS)) for s, x in of.items()],
+                         ", ".join(["_stratum string", *(f"_{m} double" for m in METRICS)]))
+
+
+def with_verdict(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    rejected = F.lit(False)
+    for m in METRICS:
+        rejected = rejected | F.coalesce(F.col(m) > F.col(f"_{m}"), F.lit(False))
+    return (measured.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left")
+            .withColumn("kept", ~F.col("base_failed") & ~rejected)
+            .drop("_stratum", *(f"_{m}" for m in METRICS)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id",
           risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``text_metrics`` of ``docs`` with ``stratum`` and ``kept``.
@@ -136,18 +157,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
     stratum ``''``.  Repeated rows of ``docs`` are judged alike and all come back.  With no
     labels only the base rule rejects."""
     measured = materialise(text_metrics(docs).withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))))
-    truth = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
-             .groupBy(F.col(key).alias("_key")).agg((F.min("quality") > 0).alias("good")))
-    labelled = measured.join(truth, measured[key] == truth["_key"]).select("stratum", "good", *METRICS)
-    found = certified_cutoffs(labelled, risk, delta).collect()  # at most len(METRICS) numbers a stratum
-    of = {}
-    for r in found:
-        of.setdefault(r["stratum"], {})[r["metric"]] = r["cutoff"]
-    cutoffs = literal_table(docs.sparkSession, [(s, *(x.get(m) for m in METRICS)) for s, x in of.items()],
-                            ", ".join(["_stratum string", *(f"_{m} double" for m in METRICS)]))
-    rejected = F.lit(False)
-    for m in METRICS:
-        rejected = rejected | F.coalesce(F.col(m) > F.col(f"_{m}"), F.lit(False))
-    return (measured.join(cutoffs, measured["stratum"] == cutoffs["_stratum"], "left")
-            .withColumn("kept", ~F.col("base_failed") & ~rejected)
-            .drop("_stratum", *(f"_{m}" for m in METRICS)))
+    return with_verdict(measured, choose_cutoffs(measured, labels, key, risk, delta))
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, columns as they are.
+
+    Rows are told apart by their place in ``docs``, which must read the same twice (a table does)."""
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    small = placed.select("_row", F.col(key), F.col(stratum), "text")
+    judged = judge(small, labels, stratum, key).where("kept").select(F.col("_row").alias("_kept"))
+    return placed.join(judged, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)

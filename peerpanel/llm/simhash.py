@@ -100,6 +100,16 @@ def fingerprint_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     return links.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
 
 
+def components_of(hashed: DataFrame, max_bits: int, key: Column) -> DataFrame:
+    """(_vertex, component): for each fingerprint in ``hashed`` (column ``_fp``) the smallest ``key`` of its component."""
+    vertices = materialise(hashed.groupBy("_fp").agg(F.min(key).alias("_least")))
+    roots = connected_components(fingerprint_links(vertices, max_bits))
+    rooted = materialise(vertices.join(roots, F.col("_fp") == F.col("vertex"), "left")
+                         .select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")))
+    smallest = materialise(rooted.groupBy("_root").agg(F.min("_least").alias("component")))
+    return materialise(rooted.join(smallest, "_root").select(F.col("_fp").alias("_vertex"), "component"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int, max_bits: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``fingerprint`` (16 hex digits) and ``component_id``: the smallest
     ``key`` of the documents that links of at most ``max_bits`` differing bits reach.
@@ -110,12 +120,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int, max_bits: int, key: str
     """
     own = docs.drop(*(c for c in ("fingerprint", "component_id") if c not in (key, text)))
     hashed = materialise(fingerprints(own, shingle_words, text))
-    vertices = materialise(hashed.groupBy("_fp").agg(F.min(key).alias("_least")))
-    roots = connected_components(fingerprint_links(vertices, max_bits))
-    rooted = vertices.join(roots, F.col("_fp") == F.col("vertex"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    rooted = materialise(rooted)
-    smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = materialise(rooted.join(materialise(smallest), "_root").select(F.col("_fp").alias("_vertex"), "component_id"))
+    of = components_of(hashed, max_bits, F.col(key)).withColumnRenamed("component", "component_id")
     return (hashed.join(of, F.col("_fp") == F.col("_vertex"))
             .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
             .drop("_fp", "_vertex"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int, max_bits: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, as it is in ``docs``: the one with the smallest ``key`` (null last).
+
+    Rows that share this key are told apart by their place in ``docs``, which must read the same
+    twice (a table does).  Only fingerprints and places are shuffled, and the texts of the chosen
+    rows' partitions are read again."""
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    hashed = materialise(fingerprints(placed.select(F.col(key).alias("_key"), "_row", text), shingle_words, text))
+    first = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("k"), F.col("_row").alias("row"))
+    chosen = components_of(hashed, max_bits, first).select(F.col("component.row").alias("_chosen")).distinct()
+    return placed.join(materialise(chosen), F.col("_row") == F.col("_chosen"), "left_semi").select(docs.columns)
