@@ -165,7 +165,8 @@ def fit(ids: DataFrame, seed: int = 0) -> LatentModel:
     small = basis.T @ apply(basis)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:rank]
-    singular = np.sqrt(np.maximum(values[order], 1e-9 * max(values.max(), 1e-9)))
+    order = order[values[order] > 1e-6 * values.max()]  # fewer where there are fewer passages
+    singular = np.sqrt(values[order])
     return LatentModel(basis @ turn[:, order] / singular * idf[:, None])
 
 

@@ -101,10 +101,14 @@ def grade(docs: list[tuple[int, Counter]], chosen: dict[str, float]) -> np.ndarr
 
 
 def fit_ordinal(docs: list[tuple[int, Counter]]) -> OrdinalModel:
-    """Fit on (toxic 0/1, features) by gradient steps on the penalised log-likelihood."""
+    """Fit on (toxic 0/1, features) by gradient steps on the penalised log-likelihood.
+
+    With one label only, or no telling feature, nothing is toxic."""
     if len({y for y, _ in docs}) < 2:
-        return OrdinalModel({}, [50.0] * (GRADES - 1))  # nothing to learn: nothing is toxic
+        return OrdinalModel({}, [50.0] * (GRADES - 1))
     chosen = select_features(docs)
+    if not chosen:
+        return OrdinalModel({}, [50.0] * (GRADES - 1))
     names = list(chosen)
     at = {f: k for k, f in enumerate(names)}
     row, col, val = [], [], []
@@ -188,3 +192,17 @@ def judge(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
                     [*names, *new])
 
     return docs.select(*names).mapInArrow(scored, schema)
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not toxic; columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    names = docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = OrdinalModel(*shared.value)
+        for batch in batches:
+            scores = np.array([own.score(t) for t in batch.column(text).to_pylist()], float)
+            yield batch.take(pa.array(np.flatnonzero(own.exceed(scores)[:, 0] < 0.5))).select(names)
+
+    return docs.mapInArrow(clean, docs.schema)
