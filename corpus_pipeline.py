@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from peerpanel.llm import latent_leaks, packing, quality_rules, simhash, toxicity
 from peerpanel.llm.common import materialise, shared_folder, table
@@ -19,7 +18,7 @@ from peerpanel.llm.queries import MAX_BITS, PACK_TOKENIZER, SHINGLE_WORDS
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that ordinal regression does not grade as toxic; fitted on the labelled ones here."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.judge(docs, model).where(~F.col("toxic")).select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
