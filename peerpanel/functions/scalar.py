@@ -110,12 +110,13 @@ def match_int(a: str | Column, b: str | Column) -> Column:
 def target_value(df: DataFrame, key: str, target, columns: Sequence[str], default=None,
                  prefix: str = "target_") -> DataFrame:
     """One-row DataFrame with the target's value of each column, or ``default`` when the
-    target is absent.  A global aggregate (one row), so it can be broadcast back."""
-    hit = col(key) == value(target)
-    aggs = []
-    for c in as_list(columns):
-        v = F.max_by(col(c), F.when(hit, F.lit(1)))
-        if default is not None:
-            v = F.coalesce(v.cast("string") if isinstance(default, str) else v, F.lit(default))
-        aggs.append(v.alias(f"{prefix}{c}"))
-    return df.agg(*aggs)
+    target is absent (a target that is present with a NULL value gives NULL).  The filter
+    on the key reaches the scan; the aggregate over what is left is one row, so it can be
+    broadcast back."""
+    cols = as_list(columns)
+    one = df.where(col(key) == value(target)).agg(F.count(F.lit(1)).alias("__present"), *[F.max(col(c)).alias(c) for c in cols])
+    if default is None:
+        return one.select(*[col(c).alias(f"{prefix}{c}") for c in cols])
+    text = isinstance(default, str)
+    return one.select(*[F.when(F.col("__present") == 0, F.lit(default)).otherwise(col(c).cast("string") if text else col(c))
+                        .alias(f"{prefix}{c}") for c in cols])

@@ -1,17 +1,23 @@
 """K-means, elbow sweep, nearest-centre assignment, two-component projection (M3-M7).
 
-Fits are MLlib's distributed k-means and PCA.  What reaches the driver is the
-model (k centres of d numbers, a d x d covariance), never rows.  Vectors are
-checkpointed into the cluster's shared checkpoint folder before the iterative
-fits, so a lost executor does not replay the whole upstream plan per iteration.
+All fits of a call (every k with every restart) run in one loop: an iteration is one pass
+over the vectors, in which each task assigns its rows to the centres of every fit that
+has not converged and adds up sums and counts; Spark adds the tasks' parts.  So the
+number of passes is that of the slowest fit, not the sum over fits.  What reaches the driver is model
+sized: k centres of d numbers for each fit, a d x d covariance, and a bounded sample of
+rows that the starting centres are chosen from.  Vectors are checkpointed into the
+cluster's shared checkpoint folder first, so a lost executor does not replay the whole
+upstream plan per iteration.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import warnings
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -20,55 +26,131 @@ from pyspark.sql import functions as F
 from .._names import col
 from ..session import cut_lineage
 
-
-def _persisted(df: DataFrame, checkpoint: bool) -> DataFrame:
-    """Vectors for iterative fits: checkpointed into the shared folder (short lineage if an
-    executor is lost) and persisted once, so every restart reads the same copy."""
-    from pyspark import StorageLevel
-
-    base = cut_lineage(df) if checkpoint else df
-    return base.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _fit_one(data: DataFrame, k: int, seed: int, features: str, max_iter: int, tol: float):
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features,
-                predictionCol="__cluster", initMode="k-means||")
-    model = km.fit(data)
-    return k, seed, model, float(model.summary.trainingCost)
-
-
-def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], features: str = "features", max_iter: int = 300,
-             tol: float = 1e-4, parallel: int | None = None) -> dict[int, tuple[KMeansModel, float, int]]:
-    """Fit one model per (k, seed), several at a time: each fit is its own distributed
-    Spark job, submitted from a thread pool so small fits do not wait on each other.
-    Returns, per k, the (model, inertia, seed) with the lowest inertia (lowest seed on a tie)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    # Small fits are bound by job latency, not cores: twice the default parallelism
-    # overlaps scheduling; the cap keeps a large cluster from taking 100 fits at once.
-    workers = parallel or max(1, min(len(specs), 2 * data.sparkSession.sparkContext.defaultParallelism, 32))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        results = list(pool.map(lambda ks: _fit_one(data, ks[0], ks[1], features, max_iter, tol), specs))
-    best: dict[int, tuple[KMeansModel, float, int]] = {}
-    for k, seed, model, cost in results:
-        cur = best.get(k)
-        if cur is None or (cost, seed) < (cur[1], cur[2]):
-            best[k] = (model, cost, seed)
+# Starting centres are chosen (k-means++) from at most this many rows, those with the
+# smallest hash of their vector: the same rows however the data is partitioned.
+START_ROWS = 4000
+_SUMS = "fit int, cluster int, part int, total array<double>, n long, cost double"
+
+
+@dataclass
+class Fit:
+    """One (k, seed): its centres, their inertia and whether it converged."""
+
+    k: int
+    seed: int
+    centres: np.ndarray
+    cost: float = float("inf")
+    converged: bool = False
+    iterations: int = 0
+
+
+def _vectors(df: DataFrame, features: str, checkpoint: bool) -> DataFrame:
+    """The vectors as arrays, written once.  A NaN raises: it would spoil every centre."""
+    x = vector_to_array(F.col(features))
+    bad = F.raise_error(F.lit(f"k-means: {features} holds NaN; fill missing values first"))
+    out = df.select(F.when(F.exists(x, lambda v: F.isnan(v)), bad).otherwise(x).alias("x"))
+    return cut_lineage(out) if checkpoint else out
+
+
+def _start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the sample: each further centre with probability by its squared distance.
+    A distance counts as zero within rounding; without distinct rows left fewer centres come back."""
+    rng = np.random.default_rng(seed)
+    chosen = [rows[rng.integers(len(rows))]]
+    nearest = ((rows - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and nearest.sum() > 1e-18:
+        chosen.append(rows[rng.choice(len(rows), p=nearest / nearest.sum())])
+        nearest = np.minimum(nearest, ((rows - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def partial_sums(rows: np.ndarray, fits: dict[int, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, int, float]]:
+    """(fit, cluster, sum, count, cost) of ``rows`` at the centres of each fit."""
+    square = (rows**2).sum(axis=1)
+    for f, centres in fits.items():
+        distance = square[:, None] - 2 * rows @ centres.T + (centres**2).sum(axis=1)[None, :]
+        nearest = distance.argmin(axis=1)
+        cost = np.maximum(distance[np.arange(len(rows)), nearest], 0)
+        for c in np.unique(nearest):
+            own = nearest == c
+            yield f, int(c), rows[own].sum(axis=0), int(own.sum()), float(cost[own].sum())
+
+
+def _pass(data: DataFrame, fits: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[np.ndarray, int, float]]:
+    """Sum, count and cost of every cluster of every fit: one pass over the data."""
+    shared = data.sparkSession.sparkContext.broadcast(fits)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % 64, {}
+        for batch in batches:
+            if len(batch):
+                for f, c, total, n, cost in partial_sums(np.stack(batch["x"].to_numpy()), shared.value):
+                    old = held.get((f, c), (0.0, 0, 0.0))
+                    held[f, c] = old[0] + total, old[1] + n, old[2] + cost
+        yield pd.DataFrame([(f, c, part, list(t), n, cost) for (f, c), (t, n, cost) in held.items()],
+                           columns=["fit", "cluster", "part", "total", "n", "cost"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        return pd.DataFrame([(first["fit"], first["cluster"], first["part"], list(np.sum(np.stack(rows["total"].to_numpy()), axis=0)),
+                              rows["n"].sum(), rows["cost"].sum())], columns=rows.columns)
+
+    sums = data.mapInPandas(assign, _SUMS).groupBy("fit", "cluster", "part").applyInPandas(add, _SUMS)
+    out: dict[tuple[int, int], tuple[np.ndarray, int, float]] = {}
+    for r in sums.collect():  # at most 64 model-sized parts
+        old = out.get((r["fit"], r["cluster"]), (0.0, 0, 0.0))
+        out[r["fit"], r["cluster"]] = old[0] + np.array(r["total"]), old[1] + r["n"], old[2] + r["cost"]
+    return out
+
+
+def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e-4) -> list[Fit]:
+    """Move the centres of all fits until none moves by more than ``tol`` or ``max_iter`` steps are
+    done.  An empty cluster keeps its centre.  ``cost`` is the inertia at the final centres."""
+    active = dict(enumerate(fits))
+    for step in range(max_iter + 1):
+        if not active:
+            break
+        sums = _pass(data, {i: f.centres for i, f in active.items()})
+        for i, f in list(active.items()):
+            own = {c: v for (j, c), v in sums.items() if j == i}
+            f.cost, f.iterations = sum(v[2] for v in own.values()), step
+            moved = f.centres.copy()
+            for c, (total, n, _) in own.items():
+                moved[c] = total / n
+            f.converged = bool(np.sqrt(((moved - f.centres) ** 2).sum(axis=1)).max() <= tol)
+            if f.converged or step == max_iter:
+                del active[i]
+            else:
+                f.centres = moved
+    late = [(f.k, f.seed) for f in fits if not f.converged]
+    if late and max_iter > 20:
+        warnings.warn(f"k-means stopped at {max_iter} iterations without converging for (k, seed) in {late}", stacklevel=2)
+    return fits
+
+
+def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> dict[int, Fit]:
+    """The fit with the lowest inertia (lowest seed on a tie) of each k, from arrays in ``x``."""
+    first = F.xxhash64("x")
+    sample = np.array([r["x"] for r in data.orderBy(first, "x").limit(START_ROWS).collect()], float)
+    if not len(sample):
+        raise ValueError("k-means needs rows")
+    fits = lloyd(data, [Fit(k, seed, _start(sample, k, seed)) for k, seed in specs], max_iter, tol)
+    best: dict[int, Fit] = {}
+    for f in sorted(fits, key=lambda f: (f.cost, f.seed)):
+        best.setdefault(f.k, f)
     return best
 
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 10,
-               max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> tuple[KMeansModel, float]:
-    """M3 fit: MLlib has no restart parameter, so fit seeds ``seed .. seed+restarts-1`` and keep
-    the lowest inertia (``trainingCost``, the sum of squared distances)."""
+               max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> tuple[np.ndarray, float]:
+    """M3 fit: (centres, inertia) of the best of the seeds ``seed .. seed+restarts-1``."""
     if k < 2:
         raise ValueError("k-means needs k >= 2; use inertia_k1 for k = 1")
-    data = _persisted(df.select(features), checkpoint)
-    try:
-        model, cost, _ = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], features, max_iter, tol)[k]
-    finally:
-        data.unpersist()
-    return model, cost
+    data = _vectors(df, features, checkpoint)
+    best = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], max_iter, tol)[k]
+    return best.centres, best.cost
 
 
 def relabel_order(centres: Sequence[np.ndarray]) -> list[int]:
@@ -84,17 +166,12 @@ def relabel_order(centres: Sequence[np.ndarray]) -> list[int]:
 
 def kmeans(df: DataFrame, k: int, features: str = "features", out: str = "cluster", seed: int = 42,
            restarts: int = 10, max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> DataFrame:
-    """M3: fit (with restarts) and assign each row its nearest centre (the model's own
-    predict, vectorised on the JVM); clusters are renumbered by :func:`relabel_order`
-    through a k-entry literal map, a projection with no shuffle."""
-    model, _ = fit_kmeans(df, k, features, seed, restarts, max_iter, tol, checkpoint)
-    centres = [np.asarray(c) for c in model.clusterCenters()]
+    """M3: fit (with restarts) and assign each row its nearest centre; clusters are numbered by
+    :func:`relabel_order`."""
+    centres, _ = fit_kmeans(df, k, features, seed, restarts, max_iter, tol, checkpoint)
     order = relabel_order(centres)
-    pairs = []
-    for i, j in enumerate(order):
-        pairs += [F.lit(i), F.lit(j)]
-    pred = model.setPredictionCol("__pred").transform(df)
-    return pred.withColumn(out, F.element_at(F.create_map(*pairs), F.col("__pred"))).drop("__pred")
+    ordered = [centres[order.index(i)] for i in range(len(centres))]
+    return assign_nearest(df, ordered, vector=features, out=out)
 
 
 def inertia_k1(df: DataFrame, features: str = "features") -> DataFrame:
@@ -110,16 +187,15 @@ def elbow(df: DataFrame, ks: Iterable[int], features: str = "features", seed: in
     """M4: inertia for each k (k = 1 in closed form).  Returns (k, inertia)."""
     spark = df.sparkSession
     ks = list(ks)
-    data = _persisted(df.select(features), checkpoint)
-    try:
-        fits = fit_many(data, [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))],
-                        features, max_iter, tol) if any(k >= 2 for k in ks) else {}
-        rows = [(int(k), float(fits[k][1])) for k in ks if k >= 2]
-        if 1 in ks:
-            rows = [(1, float(inertia_k1(data, features).first()["inertia"]))] + rows
-    finally:
-        data.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double")
+    data = _vectors(df, features, checkpoint)
+    specs = [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))]
+    rows = [(k, f.cost) for k, f in sorted(fit_many(data, specs, max_iter, tol).items())] if specs else []
+    if 1 in ks:
+        from pyspark.ml.functions import array_to_vector
+
+        one = data.select(array_to_vector("x").alias(features))
+        rows = [(1, float(inertia_k1(one, features).first()["inertia"])), *rows]
+    return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
 
 
 def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] | None = None,
@@ -153,14 +229,10 @@ def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: S
 
 def centre_vectors(df: DataFrame, features: str = "features", out: str = "__centred") -> tuple[DataFrame, list[float]]:
     """Add ``out``: the vectors minus the column means (a d-number statistic)."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    mean = df.select(Summarizer.mean(F.col(features)).alias("m")).first()["m"]
-    mu = [float(x) for x in mean.toArray()]
-    arr = vector_to_array(F.col(features))
-    centred = df.withColumn(out, array_to_vector(F.array(*[arr[i] - F.lit(mu[i]) for i in range(len(mu))])))
-    return centred, mu
+    from pyspark.ml.feature import StandardScaler
+
+    model = StandardScaler(inputCol=features, outputCol=out, withMean=True, withStd=False).fit(df)
+    return model.transform(df), [float(x) for x in model.mean.toArray()]
 
 
 def fit_pca(df: DataFrame, k: int = 2, features: str = "features"):

@@ -1,22 +1,17 @@
 """Exact quantiles, quantile bins, box statistics, median fill.
 
-Exact linear-interpolation quantiles (numpy's default rule) without holding a
-whole column in one task:
-
-1. Approximate splits per column from ``percentile_approx`` at ``buckets``
-   probabilities (1024 by default, so a billion-value column has about a million
-   values per bucket).  These are plan-time facts: ``buckets`` numbers per
-   column reach the driver, never rows.
-2. Every value is assigned its bucket by binary search over the splits (MLlib's
-   ``Bucketizer``, on the JVM, O(log buckets) per row), and counted per
-   (group, column, bucket, value): a value repeated a billion times is one row
-   after the map-side combine.
-3. Exact bucket sizes give, for every wanted rank, the bucket that holds it and
-   the number of values before it.  Only those buckets' distinct values are
-   ranked (a window over roughly n / buckets distinct values).
-
-The splits only decide how the work is divided; the counts are exact, so the
-result is exact whatever the approximation error.
+Exact linear-interpolation quantiles (numpy's default rule) by one method at every
+size, without holding a whole column, group or hot value in one task:
+
+1. Values are counted per (group, column, value): a value repeated a billion times
+   is one row after the map-side combine.
+2. This histogram is sorted by (group, column, value) across range partitions and
+   written once; a large group is spread over as many partitions as it needs.
+3. Totals per (group, column, partition) tell which partition holds each wanted
+   rank and how many values come before it; only those partitions' rows are summed
+   up to the rank.
+
+Groups are joined null-safe: a NULL group is a group of its own.
 """
 
 from __future__ import annotations
@@ -25,15 +20,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .._names import as_list, col
 from ..constants import QUARTILE_LABELS
+from ..session import cut_lineage
 from .joins import bounded
 
-DEFAULT_BUCKETS = 1024
-# Columns with at most this many values take Spark's exact ``percentile`` aggregate,
-# whose state (a map of distinct values) is then bounded by this size.
-SMALL_COLUMN = 100_000
+
+def _same(keys: Sequence[str], a: str, b: str):
+    """Null-safe equality of the keys of two aliased frames."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
+    return cond
 
 
 def _wide_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -53,92 +53,47 @@ def _long_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> D
     return long.where(F.col("v").isNotNull())
 
 
-def quantiles_long(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000,
-                   small_column: int = SMALL_COLUMN) -> DataFrame:
+def quantiles_long(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles, one row per (by..., variable, prob) with ``value`` and ``n``.
 
     Linear interpolation between the order statistics at ``floor(p*(n-1))`` and the
-    next one (numpy's default rule).  NULL and NaN are skipped; a column (or group)
-    with no values gives no row.
-
-    One first pass per column gives its size and approximate splits.  Columns of at
-    most ``small_column`` values use Spark's exact ``percentile`` aggregate (bounded
-    state); larger ones use the bucketed exact method described in the module doc.
+    next one (numpy's default rule).  NULL and NaN are skipped; infinities count; a
+    column (or group) with no values gives no row.
     """
     by = as_list(by)
-    cols = as_list(columns)
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
-    long = _long_numeric(df, cols, by)
     keys = [*by, "variable"]
+    hist = _long_numeric(df, as_list(columns), by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    # the partition of a row is part of the written table, so every later step sees the same
+    hist = cut_lineage(hist.orderBy(*keys, "v").withColumn("b", F.spark_partition_id()))
 
-    # 1. plan-time facts per column: size and approximate splits
-    qs = [i / buckets for i in range(1, buckets)]
-    facts = {r["variable"]: (r["n"], r["s"]) for r in
-             long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"),
-                                          F.percentile_approx("v", qs, accuracy).alias("s")).collect()}
-    if not facts:
-        return long.select(*keys, F.lit(None).cast("double").alias("prob"),
-                           F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("n")).limit(0)
-    if max(n for n, _ in facts.values()) <= small_column:
-        agg = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                      F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("qs"))
-        pt = F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(i).alias("i")) for i, p in enumerate(probs)])
-        return (agg.select(*keys, "n", "qs", F.inline(pt))
-                .select(*keys, "prob", F.col("qs")[F.col("i")].alias("value"), "n"))
-
-    # 2. bucket of every value (binary search over the column's splits), exact counts
-    from pyspark.ml.feature import Bucketizer
-
-    wide = _wide_numeric(df, [c for c in cols if c in facts], by)
-    present = [c for c in cols if c in facts]
-    splits = []
-    for c in present:
-        sp = sorted(set(float(x) for x in (facts[c][1] or []) if x is not None))
-        splits.append([float("-inf")] + sp + [float("inf")])
-    bcols = {c: f"__b{i}" for i, c in enumerate(present)}
-    vcols = {c: f"__v{i}" for i, c in enumerate(present)}
-    wide = wide.select(*[F.col(b) for b in by], *[col(c).alias(vcols[c]) for c in present])
-    bucketed = Bucketizer(splitsArray=splits, inputCols=[vcols[c] for c in present],
-                          outputCols=[bcols[c] for c in present], handleInvalid="keep").transform(wide)
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(vcols[c]).alias("v"),
-                               F.col(bcols[c]).cast("int").alias("b")) for c in present])
-    hist = (bucketed.select(*[F.col(b) for b in by], F.inline(pairs)).where(F.col("v").isNotNull())
-            .groupBy(*keys, "b", "v").agg(F.count(F.lit(1)).alias("c")))
-    btot = hist.groupBy(*keys, "b").agg(F.sum("c").alias("nb"))
-    # (groups x columns x buckets) rows: small, ranked per column.
-    wk = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wn = Window.partitionBy(*keys)
-    btot = (btot.withColumn("end", F.sum("nb").over(wk))
+    part = hist.groupBy(*keys, "b").agg(F.sum("c").alias("nb"))
+    running = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = (part.withColumn("end", F.sum("nb").over(running))  # a row per partition of a group
             .withColumn("start", F.col("end") - F.col("nb"))
-            .withColumn("n", F.sum("nb").over(wn)))
-
-    # 3. wanted ranks: floor(p*(n-1)) and the next one, per prob
-    pt = F.array(*[F.struct(F.lit(i).alias("pid"), F.lit(p).alias("prob")) for i, p in enumerate(probs)])
-    ranks = (btot.select(*keys, "n").distinct().select(*keys, "n", F.inline(pt))
-             .withColumn("h", F.col("prob") * (F.col("n") - 1))
-             .withColumn("k0", F.floor("h").cast("long"))
-             .withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1))
-             .withColumn("frac", F.col("h") - F.col("k0")))
-    wanted = (ranks.select(*keys, "pid", F.col("k0").alias("r"), F.lit(0).alias("which"))
-              .unionByName(ranks.select(*keys, "pid", F.col("k1").alias("r"), F.lit(1).alias("which"))))
-    located = wanted.join(btot.select(*keys, "b", "start", "end"), on=keys).where(
-        (F.col("r") >= F.col("start")) & (F.col("r") < F.col("end")))
-    need = located.select(*keys, "b").distinct()
-    inb = hist.join(need, on=[*keys, "b"], how="left_semi")
-    wv = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inb = inb.withColumn("cum", F.sum("c").over(wv))
-    picked = (located.join(inb, on=[*keys, "b"])
-              .where(F.col("start") + F.col("cum") > F.col("r"))
-              .groupBy(*keys, "pid", "which").agg(F.min("v").alias("x")))
-    both = (picked.groupBy(*keys, "pid")
-            .agg(F.max(F.when(F.col("which") == 0, F.col("x"))).alias("a"),
-                 F.max(F.when(F.col("which") == 1, F.col("x"))).alias("bv")))
-    out = (ranks.join(both, on=[*keys, "pid"])
-           .withColumn("value", F.col("a") + (F.col("bv") - F.col("a")) * F.col("frac")))
-    return out.select(*keys, "prob", "value", "n")
+            .withColumn("n", F.sum("nb").over(Window.partitionBy(*keys))))
+
+    # the two ranks of each probability, kept with the partition that holds them
+    h = F.col("prob") * (F.col("n") - 1)
+    points = F.array(*[F.struct(F.lit(i).alias("pid"), F.lit(p).alias("prob")) for i, p in enumerate(probs)])
+    ranks = (part.select(*keys, "b", "start", "end", "n", F.inline(points))
+             .withColumn("k0", F.floor(h).cast("long")).withColumn("frac", h - F.col("k0"))
+             .withColumn("r", F.explode(F.array("k0", F.least(F.col("k0") + 1, F.col("n") - 1))))
+             .where((F.col("r") >= F.col("start")) & (F.col("r") < F.col("end"))).distinct())
+    held = hist.alias("h").join(ranks.select(*keys, "b").distinct().alias("r"), _same([*keys, "b"], "h", "r"), "left_semi")
+    upto = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("cum", F.sum("c").over(upto))
+    picked = (ranks.alias("r").join(held.alias("h"), _same([*keys, "b"], "r", "h"))
+              .where(F.col("start") + F.col("cum") > F.col("r.r"))
+              .groupBy(*[F.col(f"r.`{k}`").alias(k) for k in keys], "pid", "prob", "n", "k0", "frac", F.col("r.r").alias("r"))
+              .agg(F.min("h.v").alias("x")))
+    ends = (picked.groupBy(*keys, "pid", "prob", "n", "frac")
+            .agg(F.min_by("x", "r").alias("lo"), F.max_by("x", "r").alias("hi")))
+    value = F.when((F.col("lo") == F.col("hi")) | (F.col("frac") == 0), F.col("lo")).otherwise(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
+    return ends.select(*keys, "prob", value.alias("value"), "n")
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -164,12 +119,13 @@ def median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Dat
 
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill NULLs with the column's exact median (one-row statistic, broadcast)."""
+    """Fill NULLs with the column's exact median (one-row statistic, broadcast).  An
+    integral column becomes double, since its median need not be whole."""
     cols = as_list(columns)
     med = cut_points(df, cols, [0.5], names=["__median"])
     out = df.crossJoin(bounded(med))
-    out = out.withColumns({c: F.coalesce(col(c), F.col(f"{c}___median").cast(df.schema[c].dataType))
-                           for c in cols})
+    kind = {c: T.DoubleType() if isinstance(df.schema[c].dataType, T.IntegralType) else df.schema[c].dataType for c in cols}
+    out = out.withColumns({c: F.coalesce(col(c).cast(kind[c]), F.col(f"{c}___median").cast(kind[c])) for c in cols})
     return out.drop(*[f"{c}___median" for c in cols])
 
 
@@ -230,7 +186,8 @@ def box_stats(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), whi
     # metrics rows (one-row statistics per metric) are broadcast; per-group statistics are
     # left to the planner, which broadcasts them only when measured small.
     side = bounded(quart) if not by else quart
-    stats = long.join(side, on=keys).groupBy(*keys).agg(
+    joined = long.alias("l").join(side.alias("q"), _same(keys, "l", "q"))
+    stats = joined.groupBy(*[F.col(f"l.`{k}`").alias(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(v).alias("mean"),
         F.min(v).alias("min"),
@@ -238,7 +195,8 @@ def box_stats(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), whi
         F.min(F.when(v >= F.col("lo_fence"), v)).alias("lower_whisker"),
         F.max(F.when(v <= F.col("hi_fence"), v)).alias("upper_whisker"),
         F.count(F.when((v < F.col("lo_fence")) | (v > F.col("hi_fence")), F.lit(1))).alias("n_outliers"))
-    return stats.join(quart.drop("lo_fence", "hi_fence"), on=keys).withColumnRenamed("variable", "metric")
+    both = stats.alias("s").join(quart.alias("q"), _same(keys, "s", "q"))
+    return both.select("s.*", "q.q1", "q.median", "q.q3").withColumnRenamed("variable", "metric")
 
 
 def box_outliers(df: DataFrame, key: str, metrics: Sequence[str], by: Sequence[str] = (),
@@ -253,6 +211,6 @@ def box_outliers(df: DataFrame, key: str, metrics: Sequence[str], by: Sequence[s
     wide = df.select(col(key).alias(key), *[col(b).alias(b) for b in by],
                      *[col(c).cast("double").alias(c) for c in cols])
     long = wide.unpivot([F.col(key), *[F.col(b) for b in by]], [F.col(c) for c in cols], "variable", "value")
-    return (long.join(bounded(lim) if not by else lim, on=keys)
+    return (long.alias("l").join((bounded(lim) if not by else lim).alias("b"), _same(keys, "l", "b"))
             .where((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
-            .select(key, *by, F.col("variable").alias("metric"), "value"))
+            .select(F.col(f"l.`{key}`"), *[F.col(f"l.`{k}`") for k in by], F.col("l.variable").alias("metric"), "value"))

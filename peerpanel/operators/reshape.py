@@ -10,15 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._names import as_list, col
 
 
-# Same bound as Spark's own ``spark.sql.pivotMaxValues``: a category list is a list of
-# output columns, so one that grows with the data is refused, not collected.
+# Default of the ``max_categories`` arguments: Spark's own ``spark.sql.pivotMaxValues``.  A
+# category list is a list of output columns, so one that grows with the data is refused.
 MAX_CATEGORIES = 10_000
 
 
@@ -35,41 +35,60 @@ def categories_of(df: DataFrame, column: str, max_categories: int = MAX_CATEGORI
 
 
 def pivot_strict(df: DataFrame, index: Sequence[str], on: str, value: str,
-                 categories: Sequence | None = None, names: dict | None = None) -> DataFrame:
+                 categories: Sequence | None = None, names: dict | None = None,
+                 null_name: str | None = None) -> DataFrame:
     """Long to wide with no aggregate function: a second row in a cell is an error.
 
     One aggregate keyed on ``index``: for each category a count and the value.
     A cell with more than one row raises when the job runs, naming the cell.
-    Spark's own ``pivot().sum()`` would add duplicates silently.
+    Spark's own ``pivot().sum()`` would add duplicates silently.  A row whose
+    category is not in the list raises too, and so does a NULL category unless
+    ``null_name`` names a column for it.
     """
     idx = as_list(index)
     cats = list(categories) if categories is not None else categories_of(df, on)
     names = names or {}
     key_text = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(col(k).cast("string"), F.lit("NULL")))
                                    for k in idx])
+    lost = F.count(F.when(~_listed(on, cats, null_name is not None), F.lit(1)))
+    cells = [(c, col(on) == F.lit(c), names.get(c, str(c))) for c in cats]
+    if null_name is not None:
+        cells.append(("NULL", col(on).isNull(), null_name))
     aggs = []
-    for c in cats:
-        hit = col(on) == F.lit(c)
+    for c, hit, name in cells:
         n = F.count(F.when(hit, F.lit(1)))
         v = F.max(F.when(hit, col(value)))
+        unlisted = F.concat(F.lit(f"pivot_strict: a category of {on} is not in the list at "), key_text)
         msg = F.concat(F.lit(f"pivot_strict: more than one row for {on}={c} at "), key_text)
-        aggs.append(F.when(n > 1, F.raise_error(msg)).otherwise(v).alias(names.get(c, str(c))))
+        aggs.append(F.when(lost > 0, F.raise_error(unlisted)).when(n > 1, F.raise_error(msg)).otherwise(v).alias(name))
     return df.groupBy(*[col(k) for k in idx]).agg(*aggs)
 
 
+def _listed(on: str, cats: Sequence, with_null: bool) -> Column:
+    known = col(on).isin(*cats) if cats else F.lit(False)
+    return F.coalesce(known, F.lit(with_null))
+
+
 def pivot_counts(df: DataFrame, index: Sequence[str], on: str, categories: Sequence | None = None,
-                 value: str | None = None, names: dict | None = None) -> DataFrame:
-    """R2: pivot counts (or sums of ``value``) with missing cells filled with 0."""
+                 value: str | None = None, names: dict | None = None, null_name: str | None = None) -> DataFrame:
+    """R2: pivot counts (or sums of ``value``) with missing cells filled with 0.  A NULL
+    category has the column ``null_name``; without a name, and for a category that is not
+    in the list, a row raises when the job runs, since it would be lost."""
     idx = as_list(index)
     cats = list(categories) if categories is not None else categories_of(df, on)
     names = names or {}
+    lost = F.count(F.when(~_listed(on, cats, null_name is not None), F.lit(1)))
+    stop = F.raise_error(F.lit(f"pivot_counts: a category of {on} is NULL or not in the list"))
+    cells = [(col(on) == F.lit(c), names.get(c, str(c))) for c in cats]
+    if null_name is not None:
+        cells.append((col(on).isNull(), null_name))
     aggs = []
-    for c in cats:
-        hit = col(on) == F.lit(c)
+    for hit, name in cells:
         if value is None:
-            aggs.append(F.count(F.when(hit, F.lit(1))).alias(names.get(c, str(c))))
+            cell = F.count(F.when(hit, F.lit(1)))
         else:
-            aggs.append(F.coalesce(F.sum(F.when(hit, col(value))), F.lit(0)).alias(names.get(c, str(c))))
+            cell = F.coalesce(F.sum(F.when(hit, col(value))), F.lit(0))
+        aggs.append(F.when(lost > 0, stop).otherwise(cell).alias(name))
     return df.groupBy(*[col(k) for k in idx]).agg(*aggs)
 
 
@@ -173,13 +192,14 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None,
 
 def one_hot(df: DataFrame, columns: Sequence[str], numeric: str = "passthrough",
             categories: dict[str, Sequence] | None = None, prefix_sep: str = "_",
-            dtype: str = "int") -> DataFrame:
+            dtype: str = "int", max_categories: int = MAX_CATEGORIES) -> DataFrame:
     """One 0/1 column per category value, no category dropped, the source column
     removed.  Only string columns are encoded; numeric code columns pass through
     unchanged unless ``numeric="encode"``.  A NULL value gives 0 in every column.
 
     Category lists come from ``categories`` or one aggregate over all encoded
-    columns at once (its size is the number of output columns).
+    columns at once (its size is the number of output columns); a column with more than
+    ``max_categories`` values is an error, whatever the others have.
     """
     cols = as_list(columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -187,12 +207,14 @@ def one_hot(df: DataFrame, columns: Sequence[str], numeric: str = "passthrough",
     cats = dict(categories or {})
     todo = [c for c in enc if c not in cats]
     if todo:
-        long = (df.select(*[col(c).cast("string").alias(c) for c in todo])
-                .unpivot([], [col(c) for c in todo], "variable", "value")
-                .where(F.col("value").isNotNull()).distinct()
-                .limit(MAX_CATEGORIES * len(todo) + 1).collect())
-        if len(long) > MAX_CATEGORIES * len(todo):
-            raise ValueError("too many categories for named 0/1 columns; use one_hot_vector")
+        distinct = (df.select(*[col(c).cast("string").alias(c) for c in todo])
+                    .unpivot([], [col(c) for c in todo], "variable", "value")
+                    .where(F.col("value").isNotNull()).distinct())
+        first = Window.partitionBy("variable").orderBy("value")
+        long = distinct.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_categories + 1).collect()
+        wide = sorted(r["variable"] for r in long if r["k"] > max_categories)
+        if wide:
+            raise ValueError(f"more than {max_categories} categories in {wide}: use one_hot_vector")
         found: dict[str, list] = {c: [] for c in todo}
         for r in long:
             found[r["variable"]].append(r["value"])

@@ -66,35 +66,24 @@ def standardize(df: DataFrame, columns: Sequence[str], by: str | Sequence[str] |
     return out.drop(*[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
 
 
-# Groups up to this many rows are ranked with a window (one group per task is bounded).
-SMALL_GROUP = 1_000_000
-
-
 def rank_within(df: DataFrame, group: str | Sequence[str], order: Sequence[Column | str], out: str = "rank",
-                top: int | None = None, max_group_rows: int = SMALL_GROUP) -> DataFrame:
+                top: int | None = None) -> DataFrame:
     """Row number within a group by a stated order (ties broken by the later order keys).
 
     With ``top`` only the first rows of each group are kept; Spark then plans a
     partial group limit before the shuffle, so a hot group sends at most ``top``
     rows per map task.
 
-    Without ``top``, one aggregate checks the largest group.  Up to
-    ``max_group_rows`` rows a window ranks each group in one task.  Beyond that a
-    window would put a hot group in one task, so the rows are range-partitioned on
-    (group, order) -- which splits a hot group across tasks -- and each row's rank
-    is its position within its partition plus the rows of its group in earlier
-    partitions (a small table of per-partition counts).
+    Without ``top`` a window would put a hot group in one task, so the rows are
+    range-partitioned on (group, order) -- which splits a hot group across tasks --
+    and each row's rank is its position within its partition plus the rows of its
+    group in earlier partitions (a small table of per-partition counts).
     """
     groups = [col(g) for g in as_list(group)]
     order_cols = [col(o) if isinstance(o, str) else o for o in order]
     if top is not None:
         w = Window.partitionBy(*groups).orderBy(*order_cols)
         return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= top)
-    biggest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if biggest is None or biggest <= max_group_rows:
-        w = Window.partitionBy(*groups).orderBy(*order_cols)
-        # long, not int: a hot group at scale can hold more than 2^31 rows
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
     return _rank_by_sorted_partitions(df, as_list(group), order_cols, out)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .._names import as_list, col, value
 from ..constants import ABSENT, UNKNOWN
-from ..functions.scalar import fill_unknown, last_of, match_flag, match_int, money_text, percent_text
+from ..functions.scalar import fill_unknown, last_of, match_flag, match_int, money_text, percent_text, target_value
 from ..operators.aggregates import (change_counts, cluster_profile, club, count_by, mean_of, modal_value,
                                     value_shares)
 from ..operators.cluster import kmeans, pca_project
@@ -92,8 +92,8 @@ def target_vs_box(profile: DataFrame, key: str, target, metrics: Sequence[str])
 def target_long(profile: DataFrame, key: str, target, metrics: Sequence[str], name: str = "target_value") -> DataFrame:
     """The target's value of each metric as (metric, value) rows; one row per metric even
     when the target is absent (value NULL).  A one-row aggregate, melted."""
-    hit = col(key) == value(target)
-    one = profile.agg(*[F.max_by(col(m).cast("double"), F.when(hit, F.lit(1))).alias(m) for m in metrics])
+    one = target_value(profile, key, target, metrics, prefix="")
+    one = one.select(*[col(m).cast("double").alias(m) for m in metrics])
     return melt(one, [], list(metrics), "metric", name)
 
 
@@ -108,9 +108,8 @@ def quartile_distribution(profile: DataFrame, metrics: Sequence[str], key: str,
     long = long.withColumn("metric", F.regexp_replace("metric", "_quartile$", ""))
     counts = long.where(F.col("quartile").isNotNull()).groupBy("metric", "quartile").agg(
         F.count(F.lit(1)).alias("count"))
-    tq = long.groupBy("metric").agg(
-        F.coalesce(F.max_by("quartile", F.when(col(key) == value(target), F.lit(1))), F.lit(default))
-        .alias("target_quartile"))
+    tq = melt(target_value(binned, key, target, qcols, default, prefix=""), [], qcols, "metric", "target_quartile")
+    tq = tq.withColumn("metric", F.regexp_replace("metric", "_quartile$", ""))
     return (counts.join(tq, on="metric")
             .withColumn("quartile_rank", category_rank("quartile", list(labels)))
             .orderBy("metric", "quartile_rank"))
@@ -146,12 +145,7 @@ def compare_categorical(profile: DataFrame, key: str, target, columns: Sequence[
 
 
 def target_text(profile: DataFrame, key: str, target, columns: Sequence[str], default: str = ABSENT) -> DataFrame:
-    hit = col(key) == value(target)
-    present = F.max(F.when(hit, F.lit(1)))
-    one = profile.agg(present.alias("__present"),
-                      *[F.max_by(col(c).cast("string"), F.when(hit, F.lit(1))).alias(c) for c in columns])
-    one = one.select(*[F.when(F.col("__present").isNull(), F.lit(default)).otherwise(col(c)).alias(c)
-                       for c in columns])
+    one = target_value(profile, key, target, columns, default, prefix="")
     return melt(one, [], list(columns), "variable", "target_value")
 
 
@@ -170,8 +164,8 @@ def modal_match(profile: DataFrame, key: str, target, columns: Sequence[str], fi
 
 
 def _target_plain(df: DataFrame, key: str, target, columns: Sequence[str]) -> DataFrame:
-    hit = col(key) == value(target)
-    one = df.agg(*[F.max_by(col(c).cast("string"), F.when(hit, F.lit(1))).alias(c) for c in columns])
+    one = target_value(df, key, target, columns, prefix="")
+    one = one.select(*[col(c).cast("string").alias(c) for c in columns])
     return melt(one, [], list(columns), "variable", "target_value")
 
 
@@ -205,6 +199,10 @@ def rollup_by_state(profile: DataFrame, dim: DataFrame, group: str, dim_key: str
     return attach_dimension(out, dim, group, dim_key)
 
 
+# Name of the pivoted column of the NULL category.
+NULL_NAME = "\x00null"
+
+
 # Cohorts ---------------------------------------------------------
 
 def designations(profile: DataFrame, member_col: str, member_label: str, designation_col: str,
@@ -225,9 +223,11 @@ def cohort_shares(stacked: DataFrame, column: str, fill_zero: bool = False, orde
     present, zero counts included (R2 then R5); ``order`` adds the declared rank of the
     value (O3); ``codes`` maps codes to labels after the shares (X6)."""
     if fill_zero:
-        wide = pivot_counts(stacked, ["designation"], column, categories=categories)
+        with_null = not stacked.where(col(column).isNull()).isEmpty()  # a NULL category is a category
+        wide = pivot_counts(stacked, ["designation"], column, categories=categories, null_name=NULL_NAME if with_null else None)
         value_cols = [c for c in wide.columns if c != "designation"]
         counts = melt(wide, ["designation"], value_cols, column, "count")
+        counts = counts.withColumn(column, F.when(col(column) != NULL_NAME, col(column)))
     else:
         counts = count_by(stacked, ["designation", column], name="count")
     out = share_within(counts, "designation", "count", out="share", group_bounded=True)

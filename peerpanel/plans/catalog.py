@@ -1163,7 +1163,7 @@ def q_kmeans_vectors(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
     e = fx.table(spark, sf_dir, "embeddings")
     v = e.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    clustered = kmeans(v, 10, restarts=2)
+    clustered = kmeans(v, 10)
     return pca_project(clustered, 2).select("vec_id", "label", "cluster", "pc1", "pc2")
 
 

@@ -31,12 +31,9 @@ def test_elbow_decreases_below_k1(spark, blobs):
 def test_kmeans_assigns_nearest_centre(spark, blobs):
     df, _ = blobs
     f = features_numeric(df, "k", ["a", "b", "c"])
-    model, cost = fit_kmeans(f, 3, restarts=3)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    mine = assign_nearest(f, centres).select("k", "cluster")
-    theirs = model.transform(f).select("k", F.col("__cluster").alias("p"))
-    joined = mine.join(theirs, "k")
-    assert joined.where(F.col("cluster") != F.col("p")).count() == 0
+    centres, cost = fit_kmeans(f, 3, restarts=3)
+    mine = assign_nearest(f, centres.tolist(), distance="d")
+    assert mine.agg(F.sum("d")).first()[0] == pytest.approx(cost, rel=1e-9)
     out = kmeans(f, 3, restarts=3)
     sizes = sorted(r["count"] for r in out.groupBy("cluster").count().collect())
     assert sizes == [60, 60, 60]
@@ -86,3 +83,30 @@ def test_pca_sign_rule_largest_loading_positive(spark):
     pc = model.pc.toArray() * np.array(signs)
     for j in range(2):
         assert pc[np.argmax(np.abs(pc[:, j])), j] > 0
+
+
+def test_kmeans_is_as_good_as_mllib_and_ignores_partitioning(spark, blobs):
+    from pyspark.ml.clustering import KMeans
+
+    df, _ = blobs
+    f = features_numeric(df, "k", ["a", "b", "c"])
+    _, cost = fit_kmeans(f, 5, restarts=10)
+    best = min(KMeans(k=5, seed=s, maxIter=300).fit(f).summary.trainingCost for s in range(42, 52))
+    assert cost <= best * (1 + 1e-6)
+    labels = [{r["k"]: r["cluster"] for r in kmeans(f.repartition(n), 5, restarts=2).collect()} for n in (1, 7)]
+    assert labels[0] == labels[1]
+
+
+def test_kmeans_refuses_nan(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([1.0, float("nan")]),), (Vectors.dense([1.0, 2.0]),)], ["features"])
+    with pytest.raises(Exception, match="NaN"):
+        kmeans(df, 2)
+
+
+def test_kmeans_with_fewer_distinct_rows_than_centres(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(i, Vectors.dense([float(i % 2)])) for i in range(10)], ["k", "features"])
+    assert kmeans(df, 4).select("cluster").distinct().count() == 2

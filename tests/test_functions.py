@@ -34,3 +34,9 @@ def test_fill_unknown_numeric_columns(spark):
     assert dict(out.dtypes)["a"] == "string" and [r["a"] for r in out.collect()] == ["1", "Unknown"]
     zero = fill_unknown(df, ["b"], "0")
     assert dict(zero.dtypes)["b"] == "int" and [r["b"] for r in zero.collect()] == [0, 2]
+
+
+def test_target_present_with_null_is_not_absent(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, s string")
+    assert target_value(df, "k", 1, ["s"], default="N/A").first()["target_s"] is None
+    assert target_value(df, "k", 9, ["s"], default="N/A").first()["target_s"] == "N/A"

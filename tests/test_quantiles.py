@@ -18,17 +18,16 @@ def test_qcut_equal_edges_raise(spark):
     assert "unique" in str(err.value)
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_exact_quantiles_match_numpy(spark, small):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.zeros(2000), rng.integers(0, 40, 1000).astype(float)])
     rows = [(int(i), float(v), int(i % 3)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "id int, x double, g int")
     ps = [0.0, 0.1, 0.25, 0.333, 0.5, 0.75, 0.9, 1.0]
-    got = {r["prob"]: r["value"] for r in quantiles_long(df, ["x"], ps, small_column=small).collect()}
+    got = {r["prob"]: r["value"] for r in quantiles_long(df, ["x"], ps).collect()}
     for p, e in zip(ps, np.quantile(vals, ps)):
         assert got[p] == pytest.approx(e, abs=1e-12)
-    grouped = {(r["g"], r["prob"]): r["value"] for r in quantiles_long(df, ["x"], ps, by=["g"], small_column=small).collect()}
+    grouped = {(r["g"], r["prob"]): r["value"] for r in quantiles_long(df, ["x"], ps, by=["g"]).collect()}
     ids = np.arange(len(vals))
     for g in range(3):
         for p, e in zip(ps, np.quantile(vals[ids % 3 == g], ps)):
@@ -59,3 +58,21 @@ def test_grouped_cut_points_and_outliers(spark):
     assert cp == {"a": 3.0, "b": 11.5}
     out = [(r["g"], r["value"]) for r in box_outliers(df, "k", ["x"], by=["g"]).collect()]
     assert out == [("a", 100.0)]
+
+
+def test_null_group_is_a_group_and_infinities_count(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 5.0), ("a", float("inf")), ("a", float("inf")), ("b", None)] + [("c", float("-inf"))] * 300
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {(r["g"], r["prob"]): (r["value"], r["n"]) for r in quantiles_long(df, ["x"], [0.0, 0.5, 1.0], by=["g"]).collect()}
+    assert got[(None, 0.5)] == (2.0, 2) and got[("a", 0.0)] == (5.0, 3)
+    assert got[("a", 0.5)] == (float("inf"), 3) and got[("c", 0.5)] == (float("-inf"), 300)
+    assert not any(g == "b" for g, _ in got)
+    box = {r["g"]: r["median"] for r in box_stats(df.where("g IS NULL OR g = 'a'"), ["x"], by=["g"]).collect()}
+    assert box[None] == 2.0
+
+
+def test_integer_median_need_not_be_whole(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "x int")
+    out = median_impute(df, ["x"])
+    assert dict(out.dtypes)["x"] == "double"
+    assert sorted(r["x"] for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]

@@ -72,3 +72,21 @@ def test_union_form_prunes_years(spark):
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan  # constant folding left a single branch
     assert [r["v"] for r in long.collect()] == [2.0]
+
+
+def test_pivots_lose_no_rows(spark):
+    import pytest
+
+    from peerpanel.operators.reshape import one_hot, pivot_counts, pivot_strict
+
+    df = spark.createDataFrame([(1, "a", 2.0), (1, None, 4.0), (2, "zz", 9.0)], "k int, c string, v double")
+    for lost in (lambda: pivot_strict(df, ["k"], "c", "v", categories=["a"]), lambda: pivot_strict(df, ["k"], "c", "v"),
+                 lambda: pivot_counts(df, ["k"], "c", categories=["a"]), lambda: pivot_counts(df, ["k"], "c")):
+        with pytest.raises(Exception, match="in the list"):
+            lost().collect()
+    wide = {r["k"]: r.asDict() for r in pivot_strict(df, ["k"], "c", "v", null_name="none").collect()}
+    assert wide == {1: {"k": 1, "a": 2.0, "zz": None, "none": 4.0}, 2: {"k": 2, "a": None, "zz": 9.0, "none": None}}
+    counts = {r["k"]: r.asDict() for r in pivot_counts(df, ["k"], "c", null_name="none").collect()}
+    assert counts == {1: {"k": 1, "a": 1, "zz": 0, "none": 1}, 2: {"k": 2, "a": 0, "zz": 1, "none": 0}}
+    with pytest.raises(ValueError, match="more than 1"):
+        one_hot(df, ["c"], max_categories=1)

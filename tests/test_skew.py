@@ -33,7 +33,7 @@ def test_skewed_value_mode_and_quantiles(spark, skewed):
     vs = value_shares(df, ["s"]).where("value = 'hot'").first()
     assert vs["share"] == pytest.approx(1 / 3)
     xs = np.array([r[2] for r in rows])
-    got = {r["prob"]: r["value"] for r in quantiles_long(df, ["x"], [0.1, 0.5, 0.9], small_column=0).collect()}
+    got = {r["prob"]: r["value"] for r in quantiles_long(df, ["x"], [0.1, 0.5, 0.9]).collect()}
     assert [got[p] for p in (0.1, 0.5, 0.9)] == pytest.approx(list(np.quantile(xs, [0.1, 0.5, 0.9])))
 
 

@@ -32,13 +32,15 @@ def test_rank_within_top(spark):
     assert sorted((r["g"], r["k"], r["rank"]) for r in top.collect()) == [("a", 2, 1), ("a", 3, 2), ("b", 4, 1)]
 
 
-def test_rank_within_hot_group_path_matches_window(spark):
+def test_rank_within_matches_window(spark):
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
     rows = [("hot", float(i % 97), i) for i in range(3000)] + [("cold", float(i), 10000 + i) for i in range(50)]
     rows += [(None, 1.0, 20000), (None, 2.0, 20001)]
     df = spark.createDataFrame(rows, "g string, v double, k int").repartition(5)
     order = [F.col("v").desc(), F.col("k").asc()]
-    window = {r["k"]: r["rank"] for r in rank_within(df, "g", order).collect()}
-    sorted_path = {r["k"]: r["rank"] for r in rank_within(df, "g", order, max_group_rows=10).collect()}
+    number = F.row_number().over(Window.partitionBy("g").orderBy(*order))
+    window = {r["k"]: r["rank"] for r in df.withColumn("rank", number).collect()}
+    sorted_path = {r["k"]: r["rank"] for r in rank_within(df, "g", order).collect()}
     assert window == sorted_path
     assert len(sorted_path) == 3052
