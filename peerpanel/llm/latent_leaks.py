@@ -53,7 +53,7 @@ class WordHash:
         known, words = self.known, (text or "").lower().split()
         if len(known) > MAX_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             bare = w.strip(PUNCTUATION)
             known[w] = xxhash.xxh32_intdigest((bare or w).encode())
         return np.fromiter((known[w] for w in words), np.uint32, len(words))
