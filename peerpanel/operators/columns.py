@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import drop_incomplete
 from .._names import as_list, col
 
 
@@ -42,11 +43,11 @@ def override_key(df: DataFrame, overrides: DataFrame, on: str, key: str,
                  override_key_col: str | None = None) -> DataFrame:
     """P6 + J1: left join on ``on``; the override's key wins, the original stays when there is none.
 
-    Overrides with any NULL are ignored (F2).  A name listed twice in the
+    Override rows with a NULL in any column are ignored (F2).  A name listed twice in the
     overrides multiplies its rows, the same as the plain left join it models.
     """
     ok = override_key_col or key
-    ov = overrides.select(col(on).alias(on), col(ok).alias("__override_key")).dropna(how="any")
+    ov = drop_incomplete(overrides).select(col(on).alias(on), col(ok).alias("__override_key"))
     joined = df.join(ov, on=on, how="left")
     return joined.withColumn(key, F.coalesce(F.col("__override_key"), col(key))).drop("__override_key")
 

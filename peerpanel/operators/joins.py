@@ -58,9 +58,10 @@ def panel_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], righ
 
 
 def attach_dimension(agg: DataFrame, dim: DataFrame, agg_key: str, dim_key: str,
-                     dim_bounded: bool = True) -> DataFrame:
+                     dim_bounded: bool = False) -> DataFrame:
     """Inner join of an aggregate to a dimension: groups absent from the dimension vanish.
-    Dimensions (states, nations, regions) are closed lists, hence ``bounded``."""
+    ``dim_bounded`` is for a caller that knows the dimension to be a closed list; else Spark
+    decides by its measured size."""
     d = bounded(dim) if dim_bounded else dim
     if agg_key == dim_key:
         return agg.join(d, on=agg_key, how="inner")

@@ -230,7 +230,7 @@ def cohort_shares(stacked: DataFrame, column: str, fill_zero: bool = False, orde
         counts = counts.withColumn(column, F.when(col(column) != NULL_NAME, col(column)))
     else:
         counts = count_by(stacked, ["designation", column], name="count")
-    out = share_within(counts, "designation", "count", out="share", group_bounded=True)
+    out = share_within(counts, "designation", "count", out="share")
     if order is not None:
         # declared order (O3): the rank as a column; a value outside the list becomes NULL
         out = out.withColumn("category_rank", category_rank(column, list(order)))
@@ -261,12 +261,12 @@ def cluster_members(clustered: DataFrame, key: str, name: str, total: str, facto
 
 
 def cluster_summary(clustered: DataFrame, key: str, name: str, metric: str, quartile: str,
-                    cluster: str = "cluster") -> DataFrame:
-    """Cluster, entity, money text of the metric, its quartile; sorted by cluster and
-    the metric descending, with the rank within the cluster (W4)."""
+                    cluster: str = "cluster", shown: str | None = None) -> DataFrame:
+    """Cluster, entity, money text of the metric (or of ``shown``), its quartile; sorted by
+    cluster and the metric descending, with the rank within the cluster (W4)."""
     ranked = rank_within(clustered, cluster, [col(metric).desc_nulls_last(), col(key).asc()], out="rank_in_cluster")
     return (ranked.select(col(cluster), col(key), col(name),
-                          money_text(col(metric)).alias("total_funding"),
+                          money_text(col(shown or metric)).alias("total_funding"),
                           col(quartile).alias("funding_quartile"), "rank_in_cluster")
             .orderBy(cluster, "rank_in_cluster"))
 
@@ -295,13 +295,14 @@ def target_cluster(clustered: DataFrame, key: str, target, name: str, by: str =
 
 def nested_counts(profile: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Two-level counts for each column pair, rows with a NULL in the pair dropped (A7),
-    stacked as text."""
-    frames = []
-    for a, b in pairs:
-        c = count_by(profile, [a, b], dropna=True, name="count")
-        frames.append(c.select(F.lit(a).alias("level1"), col(a).cast("string").alias("value1"),
-                               F.lit(b).alias("level2"), col(b).cast("string").alias("value2"), "count"))
-    return stack_cohorts(*frames)
+    stacked as text.  The profile is read once: rows are counted per distinct combination of all
+    the columns, and these counts are added up for each pair."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    combos = profile.groupBy(*[col(c).cast("string").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("count"))
+    levels = F.array(*[F.struct(F.lit(a).alias("level1"), col(a).alias("value1"), F.lit(b).alias("level2"), col(b).alias("value2"))
+                       for a, b in pairs])
+    long = combos.select(F.inline(levels), "count").where("value1 IS NOT NULL AND value2 IS NOT NULL")
+    return long.groupBy("level1", "value1", "level2", "value2").agg(F.sum("count").alias("count"))
 
 
 def cluster_card(clustered: DataFrame, key: str, target, attrs: Sequence[str], metrics: Sequence[str],

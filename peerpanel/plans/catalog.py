@@ -22,8 +22,8 @@ from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text,
                                 zero_pad)
 from ..operators.aggregates import (club, cohort_means, count_by, dedupe, distinct_values, latest, modal_by_group,
                                     rollup_by, row_count, value_counts, value_shares)
-from ..operators.cluster import assign_nearest, elbow, inertia_k1, kmeans, pca_explained, pca_project
-from ..operators.columns import (label_cohort, order_columns, override_key, recode_binary, rescale, row_total,
+from ..operators.cluster import Fit, assign_nearest, elbow, inertia_k1, kmeans, lloyd, pca_explained, pca_project
+from ..operators.columns import (add_literal, label_cohort, order_columns, override_key, recode_binary, rescale, row_total,
                                  short_labels, strip_suffix)
 from ..operators.features import feature_columns, features_mixed, features_numeric
 from ..operators.filters import cohort_with_target, exclude, in_table, in_values, lookup, require_key, split_target
@@ -31,7 +31,7 @@ from ..operators.joins import attach, flag_members, keep_members, left_join_suff
 from ..operators.ordering import order_by_category, preview, sort_by, top_k
 from ..operators.quantiles import (box_outliers, box_stats, cut_points, median, median_impute, quantile_bin,
                                    quantiles_long)
-from ..operators.reshape import one_hot, pivot_strict, wide_years_to_long, year_blocks
+from ..operators.reshape import concat_diagonal, one_hot, pivot_strict, wide_years_to_long, year_blocks
 from ..operators.windows import rank_within, standardize
 from ..sources.files import cast_lenient
 from . import analyses as C
@@ -378,8 +378,7 @@ def q_latest_value(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").cast("int").alias("year"), "o_orderkey",
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(F.col("o_orderstatus")).alias("status"))
-    lat = latest(o, ["entity_id"], ["status"], by=["year", "o_orderkey"])
-    return lat.join(o.groupBy("entity_id").agg(F.max("year").alias("year")), "entity_id")
+    return latest(o, ["entity_id"], ["status", "year"], by=["year", "o_orderkey"])
 
 
 @query("cohort_or_target", with_o("""
@@ -744,7 +743,7 @@ tv AS (""" + " UNION ALL ".join(
     f"SELECT '{m}' AS metric, (SELECT {m} FROM peers WHERE entity_id = (SELECT id FROM target)) AS target_value"
     for m in fx.O_ALL_METRICS) + """)
 SELECT box.*, tv.target_value,
-       CASE WHEN position(' of ' IN box.metric) > 0 THEN box.metric ELSE box.metric END AS label
+       regexp_replace(box.metric, '^.* of ', '') AS label
 FROM box LEFT JOIN tv ON box.metric = tv.metric
 """))
 def q_target_vs_box(spark, sf_dir):
@@ -1050,6 +1049,150 @@ def q_nested_counts(spark, sf_dir):
     return out.withColumn("value2", F.when(F.col("level2") == "member", F.lower("value2")).otherwise(F.col("value2")))
 
 
+# Cluster tables on given labels: the nearest of the literal centres.  These are the tables of
+# the cluster analyses without the fit, so SQL can express them.
+
+GIVEN_SQL = """,
+d AS (SELECT *,
+   urgent * urgent + high * high AS d0,
+   (urgent - 150000.0) * (urgent - 150000.0) + (high - 150000.0) * (high - 150000.0) AS d1,
+   (urgent - 300000.0) * (urgent - 300000.0) + (high - 50000.0) * (high - 50000.0) AS d2 FROM peers),
+g AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM d),
+tc AS (SELECT cluster FROM g WHERE entity_id = (SELECT id FROM target))
+"""
+
+
+def _given(spark, sf_dir):
+    _, peers, target = o_peers(spark, sf_dir)
+    return assign_nearest(peers, NEAREST_CENTRES, columns=["urgent", "high"]), target
+
+
+@query("cluster_members_given", with_o(GIVEN_SQL + "SELECT cluster, entity_id, entity_name, total_with / 1000.0 AS total_with FROM g"))
+def q_cluster_members_given(spark, sf_dir):
+    return C.cluster_members(_given(spark, sf_dir)[0], "entity_id", "entity_name", "total_with")
+
+
+@query("cluster_summary_given", with_o(GIVEN_SQL + """,
+e AS (SELECT quantile_cont(total_without, 0.25) AS q1, quantile_cont(total_without, 0.5) AS q2,
+             quantile_cont(total_without, 0.75) AS q3 FROM g)
+SELECT cluster, entity_id, entity_name, '$' || format('{:,}', CAST(floor(total_without) AS BIGINT)) AS total_funding,
+  CASE WHEN total_without <= q1 THEN 1 WHEN total_without <= q2 THEN 2 WHEN total_without <= q3 THEN 3 ELSE 4 END AS funding_quartile,
+  row_number() OVER (PARTITION BY cluster ORDER BY total_without DESC NULLS LAST, entity_id) AS rank_in_cluster
+FROM g, e
+"""))
+def q_cluster_summary_given(spark, sf_dir):
+    """C12 (amounts floored before they become text, so that no rounding rule decides)."""
+    g = quantile_bin(_given(spark, sf_dir)[0], ["total_without"], index=True)
+    whole = g.withColumn("amount", F.floor("total_without").cast("double")).withColumn("order", col("total_without"))
+    ranked = C.cluster_summary(whole.drop("total_without").withColumnRenamed("order", "total_without"), "entity_id", "entity_name",
+                               "total_without", "total_without_quartile", shown="amount")
+    return ranked
+
+
+@query("cluster_sizes_given", with_o(GIVEN_SQL + "SELECT cluster, count(*) AS size FROM g GROUP BY cluster"))
+def q_cluster_sizes_given(spark, sf_dir):
+    """C14: the size of every cluster."""
+    return C.cluster_sizes(_given(spark, sf_dir)[0])
+
+
+@query("target_cluster_given", with_o(GIVEN_SQL + """
+SELECT g.cluster, count(*) OVER () AS cluster_size, row_number() OVER (ORDER BY total_with, entity_id) AS position,
+       entity_id, entity_name, total_with
+FROM g JOIN tc ON g.cluster = tc.cluster QUALIFY position <= 5
+"""))
+def q_target_cluster_given(spark, sf_dir):
+    g, target = _given(spark, sf_dir)
+    return C.target_cluster(g, "entity_id", target, "entity_name", by="total_with")
+
+
+@query("cluster_card_given", with_o(GIVEN_SQL + """,
+inside AS (SELECT g.* FROM g JOIN tc ON g.cluster = tc.cluster),
+lng AS (SELECT 'segment' AS variable, segment AS value FROM inside WHERE segment IS NOT NULL
+        UNION ALL SELECT 'region', region FROM inside WHERE region IS NOT NULL
+        UNION ALL SELECT 'status', status FROM inside WHERE status IS NOT NULL),
+cnt AS (SELECT variable, value, count(*) AS n FROM lng GROUP BY 1, 2),
+md AS (SELECT variable, value FROM cnt QUALIFY row_number() OVER (PARTITION BY variable ORDER BY n DESC, value) = 1)
+SELECT (SELECT cluster FROM tc) AS cluster, (SELECT value FROM md WHERE variable = 'segment') AS segment,
+       (SELECT value FROM md WHERE variable = 'region') AS region, (SELECT value FROM md WHERE variable = 'status') AS status,
+       round(avg(urgent), 4) AS urgent, round(avg(total_with), 4) AS total_with FROM inside
+"""))
+def q_cluster_card_given(spark, sf_dir):
+    g, target = _given(spark, sf_dir)
+    card = C.cluster_card(g, "entity_id", target, ["segment", "region", "status"], ["urgent", "total_with"])
+    return card.withColumns({m: r4(m) for m in ("urgent", "total_with")})
+
+
+@query("cluster_box_given", with_o(GIVEN_SQL + """,
+q AS (SELECT cluster, quantile_cont(total_with, 0.25) AS q1, quantile_cont(total_with, 0.5) AS median,
+             quantile_cont(total_with, 0.75) AS q3 FROM g GROUP BY cluster),
+b AS (SELECT g.cluster, 'total_with' AS metric, count(*) AS n, round(avg(total_with), 4) AS mean, min(total_with) AS min, max(total_with) AS max,
+             min(total_with) FILTER (WHERE total_with >= q1 - 1.5 * (q3 - q1)) AS lower_whisker,
+             max(total_with) FILTER (WHERE total_with <= q3 + 1.5 * (q3 - q1)) AS upper_whisker,
+             count(*) FILTER (WHERE total_with < q1 - 1.5 * (q3 - q1) OR total_with > q3 + 1.5 * (q3 - q1)) AS n_outliers
+      FROM g JOIN q ON g.cluster = q.cluster GROUP BY g.cluster)
+SELECT b.*, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, (SELECT cluster FROM tc) AS target_cluster,
+       (SELECT total_with FROM g WHERE entity_id = (SELECT id FROM target)) AS target_value
+FROM b JOIN q ON b.cluster = q.cluster
+"""))
+def q_cluster_box_given(spark, sf_dir):
+    g, target = _given(spark, sf_dir)
+    return _round_box(C.cluster_box(g, "total_with", "entity_id", target))
+
+
+@query("cluster_scatter_given", with_o(GIVEN_SQL + "SELECT entity_id, entity_name, urgent, high, cluster, total_with FROM g"))
+def q_cluster_scatter_given(spark, sf_dir):
+    return C.cluster_scatter(_given(spark, sf_dir)[0], "entity_id", "entity_name", "total_with", pcs=("urgent", "high"))
+
+
+@query("lloyd_steps", with_o("""
+, x AS (SELECT entity_id, urgent / 1000.0 AS u, high / 1000.0 AS h FROM profile),
+""" + ",\n".join(f"""
+a{i} AS (SELECT x.*, arg_min(c, (x.u - cu) * (x.u - cu) + (x.h - ch) * (x.h - ch)) AS c FROM x, {prev} GROUP BY ALL),
+m{i} AS (SELECT c, avg(u) AS cu, avg(h) AS ch FROM a{i} GROUP BY c)""" for i, prev in (
+    (1, "(VALUES (0, 0.0, 0.0), (1, 150.0, 150.0), (2, 300.0, 50.0)) v(c, cu, ch)"), (2, "m1"), (3, "m2"))) + """
+SELECT c AS cluster, round(cu, 6) AS urgent, round(ch, 6) AS high FROM m3
+""".replace("\n, x AS", ",\nx AS", 1)).replace("\n, x AS", ",\nx AS", 1))
+def q_lloyd_steps(spark, sf_dir):
+    """M3: three Lloyd steps from given centres, in the batched loop of the fits."""
+    import numpy as np
+
+    p = fx.profile_o(spark, sf_dir).select(F.array(F.col("urgent") / 1000, F.col("high") / 1000).alias("x"))
+    fit = lloyd(cut_lineage(p), [Fit(3, 0, np.array(NEAREST_CENTRES) / 1000)], max_iter=3, tol=0.0)[0]
+    return spark.createDataFrame([(i, round(float(u), 6), round(float(h), 6)) for i, (u, h) in enumerate(fit.centres)],
+                                 "cluster int, urgent double, high double")
+
+
+@query("quantiles_by_group_null", with_o("""
+, s AS (SELECT CASE WHEN region = 'ASIA' THEN NULL ELSE region END AS region, urgent FROM profile)
+""".replace("\n, s AS", ",\ns AS", 1) + " UNION ALL ".join(
+    f"SELECT region, 'urgent' AS variable, CAST({p} AS DOUBLE) AS prob, round(quantile_cont(urgent, {p}), 6) AS value, count(urgent) AS n FROM s GROUP BY region"
+    for p in (0.1, 0.5, 0.9))))
+def q_quantiles_by_group_null(spark, sf_dir):
+    """A17 by a group column that holds NULL."""
+    p = fx.profile_o(spark, sf_dir).withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
+    return quantiles_long(p, ["urgent"], [0.1, 0.5, 0.9], by=["region"]).withColumn("value", F.round("value", 6))
+
+
+@query("quantiles_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, CAST({p} AS DOUBLE) AS prob, round(quantile_cont({c}, {p}), 6) AS value, count({c}) AS n FROM lineitem"
+    for c in ("l_extendedprice", "l_quantity") for p in (0.01, 0.5, 0.999)))
+def q_quantiles_lineitem(spark, sf_dir):
+    """A17 over all line items."""
+    out = quantiles_long(fx.table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.999])
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("median_impute_int", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey * 2 + o_orderkey % 2 END AS x FROM orders)
+SELECT o_orderkey, coalesce(CAST(x AS DOUBLE), (SELECT quantile_cont(x, 0.5) FROM o)) AS x FROM o
+""")
+def q_median_impute_int(spark, sf_dir):
+    """X8 on an integer column: the median may lie between two integers."""
+    k = F.col("o_orderkey")
+    o = fx.table(spark, sf_dir, "orders").select(k, F.when(k % 3 != 0, k * 2 + k % 2).alias("x"))
+    return median_impute(o, ["x"])
+
+
 # 12. Model fits (no SQL form: rows-only in the driver, invariants in the tests) -------------
 
 # Numeric clustering runs on the "active features": every source except the agriculture and
@@ -1170,14 +1313,30 @@ def q_kmeans_vectors(spark, sf_dir):
 # 13. Remaining inventory operators, each on whole tables ----------------------------------
 
 @query("strip_suffix", "WITH " + REGISTRY_LONG_SQL.strip() + """
-SELECT entity_id, entity_name, "Quantity (units)", "Orders" FROM reglong WHERE year = (SELECT min(year) FROM yrs)
+SELECT entity_id, entity_name, "Quantity (units)", "Orders", year FROM reglong
 """)
 def q_strip_suffix(spark, sf_dir):
-    """P2 + P1: keep the first year's block of the wide registry and strip its suffix."""
+    """P2 + P1 + P4: each year's block of the wide registry with its suffix stripped and its year
+    as a constant column, stacked."""
     reg = fx.registry_wide_l(spark, sf_dir)
-    first = min(year_blocks(reg.columns))  # X1 on the column names: no job
-    block = [c for c in reg.columns if c.endswith(f"(HD{first})")]
-    return strip_suffix(order_columns(reg, ["entity_id", "entity_name"], block))
+    blocks = []
+    for year in year_blocks(reg.columns):  # X1 on the column names: no job
+        block = [c for c in reg.columns if c.endswith(f"(HD{year})")]
+        blocks.append(add_literal(strip_suffix(order_columns(reg, ["entity_id", "entity_name"], block)), "year", year))
+    return concat_diagonal(blocks)
+
+
+@query("diagonal_union", "WITH " + REGISTRY_LONG_SQL.strip() + """
+SELECT entity_id, entity_name, year, "Quantity (units)",
+       CASE WHEN year = (SELECT max(year) FROM yrs) THEN NULL ELSE "Orders" END AS "Orders" FROM reglong
+""")
+def q_diagonal_union(spark, sf_dir):
+    """The union form of wide to long, on a registry whose newest year lacks an attribute."""
+    reg = fx.registry_wide_l(spark, sf_dir)
+    newest = max(year_blocks(reg.columns))
+    reg = reg.drop(f"Orders (HD{newest})")
+    return wide_years_to_long(reg, ["entity_id", "entity_name"], method="union").select(
+        "entity_id", "entity_name", "year", "Quantity (units)", "Orders")
 
 
 @query("split_target", with_o("""
@@ -1326,6 +1485,22 @@ def q_registry_stability(spark, sf_dir):
 
 
 
+@query("panel_reread", ORACLE["build_panel"])
+def q_panel_reread(spark, sf_dir):
+    """The whole panel, written by year and read again: every year and every column."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.files import read_panel, write_panel
+
+    panel = QUERIES["build_panel"](spark, sf_dir)
+    path = scratch_path(spark, f"panel-{uuid.uuid4().hex}")
+    write_panel(panel, path)
+    out = cut_lineage(read_panel(spark, path).select(panel.columns))
+    _delete(spark, path)
+    return out
+
+
 @query("panel_roundtrip", with_l(REGISTRY_LONG_SQL.strip() + f""",
 fixed AS (
   SELECT coalesce(o.entity_id, TRY_CAST(f.entity_id_raw AS BIGINT)) AS entity_id, f.entity_name, f.year,
@@ -1359,7 +1534,14 @@ def q_panel_roundtrip(spark, sf_dir):
     write_panel(panel, path)
     years = [int(p.split("=")[1]) for p in _partition_dirs(spark, path, "year")]
     back = read_panel(spark, path, years=[max(years)])
-    return _double_metrics(back.select("entity_id", "year", "Quantity (units)", *fx.PART_TYPES), fx.PART_TYPES)
+    out = cut_lineage(_double_metrics(back.select("entity_id", "year", "Quantity (units)", *fx.PART_TYPES), fx.PART_TYPES))
+    _delete(spark, path)
+    return out
+
+
+def _delete(spark, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def _partition_dirs(spark, path: str, column: str) -> list[str]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,36 +43,37 @@ def read_headerless(spark: SparkSession, path: str | Sequence[str], names: Seque
                     skip_rows: int = 0, sep: str = ",") -> DataFrame:
     """S3: a sheet without header: every line is data, the caller names the columns.
 
-    ``skip_rows`` drops the first lines of each file by line position, which
-    is a per-file property, so it is taken from the file's own row index rather
-    than from a global order.
+    ``skip_rows`` drops the first physical lines of each file, blank ones included.  They all lie
+    in the split that starts at byte 0, so only that split's lines are numbered; the others
+    pass straight through.  A split that holds fewer lines than that raises (raise
+    ``spark.sql.files.maxPartitionBytes`` then).  Blank lines are no rows, as in the CSV reader; a
+    quoted field does not span lines.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.option("header", False).option("sep", sep).schema(schema).csv(path)
     if skip_rows <= 0:
-        return df
-    # The first lines of a file are all in the split that starts at byte 0, so number
-    # rows only within each (file, split): a group is one split (bounded by
-    # spark.sql.files.maxPartitionBytes), never a whole file.
-    from pyspark.sql import Window
-
-    df = (df.withColumn("_file", F.input_file_name())
-            .withColumn("_block", F.input_file_block_start())
-            .withColumn("_pos", F.monotonically_increasing_id()))
-    w = Window.partitionBy("_file", "_block").orderBy("_pos")
-    df = df.withColumn("_rn", F.row_number().over(w))
-    return df.where((F.col("_block") > 0) | (F.col("_rn") > skip_rows)).drop("_file", "_block", "_pos", "_rn")
+        return spark.read.option("header", False).option("sep", sep).schema(schema).csv(path)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"))
+    first = Window.partitionBy("_file").orderBy("_at")
+    head = lines.where("_block = 0").withColumn("_at", F.monotonically_increasing_id())
+    head = head.withColumn("_line", F.row_number().over(first)).withColumn("_lines", F.count(F.lit(1)).over(Window.partitionBy("_file")))
+    short = F.raise_error(F.lit(f"read_headerless: a file's first split has fewer than {skip_rows} lines"))
+    kept = head.where(F.when(F.col("_lines") < skip_rows, short).otherwise(F.col("_line") > skip_rows)).select("value")
+    rest = lines.where("_block > 0").select("value")
+    parsed = kept.unionByName(rest).where(F.trim("value") != "").select(
+        F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r"))
+    return parsed.select("r.*")
 
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("year",),
                 fmt: str = "parquet", mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
     """Write the panel, partitioned by year so later reads prune whole years.
 
-    No repartition by year: one year is a tenth of the panel, and a shuffle on it
-    would put that tenth in one task.  Each task writes its own rows, at most one
-    file per year it holds (the writer sorts by the partition column itself), and
+    Rows are rebalanced on the partition columns first: a year goes to as few tasks as its
+    size asks for, and AQE splits a large one, so there are not (tasks x years) files;
     ``maxRecordsPerFile`` bounds file size.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -95,8 +96,3 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     if years is not None:
         df = df.where(F.col(year_col).isin(list(years)))
     return df
-
-
-def col_of(name: str) -> Column:
-    """Column reference that survives names with dots, spaces or parentheses."""
-    return F.col(f"`{name}`") if not name.startswith("`") else F.col(name)
