@@ -74,56 +74,28 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - scores[:, None], -50, 50)))
 
 
-def select_features(docs: list[tuple[int, Counter]]) -> dict[str, float]:
-    """The telling features and their ``z``, the most telling first."""
-    n = Counter(y for y, _ in docs)
-    in_toxic, in_other = Counter(), Counter()
-    for y, own in docs:
-        (in_toxic if y else in_other).update(own.keys())
-    out = {}
-    for f in {*in_toxic, *in_other}:
-        a, b = in_toxic[f], in_other[f]
-        if a + b >= MIN_DOCS:
-            p, rate = a / max(n[1], 1) - b / max(n[0], 1), (a + b) / (n[0] + n[1])
-            z = p / np.sqrt(max(rate * (1 - rate), 1e-9) * (1 / max(n[1], 1) + 1 / max(n[0], 1)))
-            if abs(z) >= MIN_Z:
-                out[f] = float(z)
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_FEATURES])
-
-
-def grade(docs: list[tuple[int, Counter]], chosen: dict[str, float]) -> np.ndarray:
-    """0 for what is not toxic; 1 to 3 by terciles of the occurrences of telling words."""
-    telling = [f for f, z in chosen.items() if z > 0]
-    heavy = np.array([sum(own[f] for f in telling if f in own) if y else 0 for y, own in docs], float)
-    toxic = np.array([y for y, _ in docs]) == 1
+def grade(heavy: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for what is not toxic; 1 to 3 by terciles of ``heavy``, the occurrences of telling features."""
     cuts = np.quantile(heavy[toxic], [1 / 3, 2 / 3]) if toxic.any() else [0, 0]
     return np.where(toxic, 1 + (heavy > cuts[0]) + (heavy > cuts[1]), 0)
 
 
-def fit_ordinal(docs: list[tuple[int, Counter]]) -> OrdinalModel:
-    """Fit on (toxic 0/1, features) by gradient steps on the penalised log-likelihood.
+def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float]) -> OrdinalModel:
+    """Fit on (toxic 0/1, occurrences of chosen features) by gradient steps on the penalised
+    log-likelihood; ``chosen`` has the ``z`` of each feature.
 
     With one label only, or no telling feature, nothing is toxic."""
-    if len({y for y, _ in docs}) < 2:
+    if len({y for y, _ in docs}) < 2 or not chosen:
         return OrdinalModel({}, [50.0] * (GRADES - 1))
-    chosen = select_features(docs)
-    if not chosen:
-        return OrdinalModel({}, [50.0] * (GRADES - 1))
-    names = list(chosen)
+    names = sorted(chosen)
     at = {f: k for k, f in enumerate(names)}
-    row, col, val = [], [], []
-    for k, (_, own) in enumerate(docs):
-        for f in own.keys() & at.keys():
-            row.append(k)
-            col.append(at[f])
-            val.append(own[f])
-    order = np.lexsort((col, row))
-    row, col = np.array(row, np.int64)[order], np.array(col, np.int64)[order]
-    val = np.log1p(np.array(val, float)[order])
-    y = grade(docs, chosen)
+    cells = sorted((k, at[f], n) for k, (_, own) in enumerate(docs) for f, n in own.items())
+    row, col, times = (np.array([c[j] for c in cells], np.int64) for j in range(3))
+    val = np.log1p(times.astype(float))
+    toxic, telling = np.array([y for y, _ in docs]) == 1, np.array([chosen[f] > 0 for f in names])
+    y = grade(np.bincount(row, times * telling[col], len(docs)), toxic)
     n, m, cuts = len(docs), len(names), GRADES - 1
-    w, first, gaps = np.zeros(m), 0.0, np.zeros(cuts - 1)  # thresholds: first, then steps of exp(gap)
-    params = np.concatenate([w, [first], gaps])
+    params = np.zeros(m + cuts)  # weights, the first threshold, then logarithms of the steps to the next ones
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
         w, t = params[:m], params[m] + np.concatenate([[0], np.cumsum(np.exp(params[m + 1:]))])
@@ -156,17 +128,48 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     by_hash = [F.xxhash64("_key"), F.col("_key")]
     taken = keys.where("_toxic = 1").orderBy(*by_hash).limit(sample).union(keys.where("_toxic = 0").orderBy(*by_hash).limit(sample))
     chosen = {r["_key"]: r["_toxic"] for r in taken.collect()}  # at most 2 * sample
-    table = docs.sparkSession.sparkContext.broadcast(chosen)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    n1 = sum(chosen.values())
+    n0 = len(chosen) - n1
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def sampled(batch: pa.RecordBatch) -> Iterator[tuple[object, int, str | None]]:
+        for k, v in enumerate(batch.column(0).to_pylist()):
+            if v in shared.value:
+                yield v, shared.value[v], batch.column(1)[k].as_py()
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Toxic and other documents of the task with each feature."""
+        seen = (Counter(), Counter())
+        for batch in batches:
+            for _, y, t in sampled(batch):
+                seen[1 - y].update(features(t).keys())
+        names = sorted({*seen[0], *seen[1]})
+        for at in range(0, len(names), 10_000):
+            some = names[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[f] for f in some], pa.int64()) for c in seen)],
+                                             ["feature", "a", "b"])
+
+    rate = (F.col("a") + F.col("b")) / max(n0 + n1, 1)
+    spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    telling = (rows.mapInArrow(frequencies, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+               .where(F.col("a") + F.col("b") >= MIN_DOCS)
+               .select("feature", ((F.col("a") / max(n1, 1) - F.col("b") / max(n0, 1)) / spread).alias("z"))
+               .where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES))
+    weights = {r["feature"]: r["z"] for r in telling.collect()} if n0 and n1 else {}
+    if not weights:
+        return fit_ordinal([], {})
+    table = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [k for k, v in enumerate(batch.column(0).to_pylist()) if v in table.value]
-            yield batch.take(pa.array(keep, pa.int64()))
+            found = [(str(v), y, {f: n for f, n in features(t).items() if f in table.value}) for v, y, t in sampled(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v for v, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.int32()),
+                 pa.array([list(own.items()) for _, _, own in found], pa.map_(pa.string(), pa.int64()))], ["key", "toxic", "own"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(only, f"key {kind}, text string").collect()
-    rows.sort(key=lambda r: (r["key"], r["text"] or ""))
-    return fit_ordinal([(chosen[r["key"]], features(r["text"])) for r in rows])
+    docs_ = [(r["key"], r["toxic"], sorted(r["own"].items())) for r in rows.mapInArrow(occurrences, "key string, toxic int, own map<string,bigint>").collect()]
+    return fit_ordinal([(y, dict(own)) for _, y, own in sorted(docs_)], weights)
 
 
 def judge(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
