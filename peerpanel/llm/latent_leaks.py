@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,27 +37,26 @@ TERMS, RANK, OVERSAMPLE = 256, 96, 16
 MIN_COSINE = 0.6
 VERBATIM, PARAPHRASE, MIN_ANSWER, ANSWER_WORDS = 0.9, 0.65, 0.75, 8
 ITEM_BLOCK = 2000
+#: Rows of a task's matrix that are sent together.
+BLOCK = 32
+BLOCKS = "block int, part int, values array<double>"
 #: Words whose hash a task remembers.
 MAX_WORDS = 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’¿¡-–—…"
 
 
-class WordHash:
-    """32-bit hashes of lower-case words without punctuation around them."""
+class WordHash(dict):
+    """32-bit hashes of lower-case words without punctuation around them, remembered by word."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh32_intdigest((word.strip(PUNCTUATION) or word).encode())
+        return value
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        known, words = self.known, (text or "").lower().split()
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            bare = w.strip(PUNCTUATION)
-            known[w] = xxhash.xxh32_intdigest((bare or w).encode())
-        return np.fromiter((known[w] for w in words), np.uint32, len(words))
+        words = (text or "").lower().split()
+        if len(self) > MAX_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
 
 
 def hashed(docs: DataFrame, text: str) -> DataFrame:
@@ -93,19 +93,25 @@ def counts(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[np.ndarray
         yield np.concatenate(held)
 
 
-def summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum, over tasks, of rows (bucket, part, values): a matrix of ``TERMS`` rows.  In two steps, so
-    that the tasks of a very large job don't meet in one group a bucket."""
-    schema = "bucket int, part int, values array<double>"
+def blocks_of(values: np.ndarray) -> pa.RecordBatch:
+    """A task's matrix as rows (block, part, values) of ``BLOCK`` rows of it each."""
+    flat = [values[at:at + BLOCK].ravel() for at in range(0, len(values), BLOCK)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(len(flat)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(flat), pa.int32()),
+         pa.array(flat, pa.list_(pa.float64()))], ["block", "part", "values"])
+
 
+def summed(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum over tasks of ``blocks_of`` their matrices (``TERMS`` rows).  In two steps, so that the
+    tasks of a very large job don't meet in one group a block."""
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": rows["bucket"][:1], "part": rows["part"][:1], "values": [np.sum(np.stack(rows["values"]), axis=0)]})
+        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1], "values": [np.sum(np.stack(rows["values"]), axis=0)]})
 
-    first = parts.withColumn("part", F.col("part") % 64).groupBy("bucket", "part").applyInPandas(add, schema)
-    total = first.withColumn("part", F.lit(0)).groupBy("bucket", "part").applyInPandas(add, schema)
+    first = parts.withColumn("part", F.col("part") % 8).groupBy("block", "part").applyInPandas(add, BLOCKS)
+    total = first.withColumn("part", F.lit(0)).groupBy("block", "part").applyInPandas(add, BLOCKS)
     out = np.zeros((TERMS, width))
-    for r in total.collect():  # TERMS rows
-        out[r["bucket"]] = r["values"]
+    for r in total.collect():  # TERMS rows in all
+        out[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.reshape(r["values"], (-1, width))
     return out
 
 
@@ -125,12 +131,6 @@ def fit(ids: DataFrame, seed: int = 0) -> LatentModel:
     Without passages the vectors are random, which leaves the cosine as a hashed word overlap."""
     rank, rng = RANK, np.random.default_rng(seed)
     only = ids.select("_ids")
-    schema = "bucket int, part int, values array<double>"
-
-    def rows_of(values: np.ndarray) -> pa.RecordBatch:
-        part = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([part] * len(values), pa.int32()),
-                                           pa.array(list(values), pa.list_(pa.float64()))], ["bucket", "part", "values"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((TERMS, 2))
@@ -138,9 +138,9 @@ def fit(ids: DataFrame, seed: int = 0) -> LatentModel:
             out[:, 0] += (c > 0).sum(axis=0)
             out[:, 1] += len(c)
         if out.any():
-            yield rows_of(out)
+            yield blocks_of(out)
 
-    found = summed(only.mapInArrow(frequencies, schema), 2)
+    found = summed(only.mapInArrow(frequencies, BLOCKS), 2)
     passages = found[:, 1].max()
     idf = np.log((passages + 1) / (found[:, 0] + 1)) + 1e-3
     if not passages:
@@ -157,9 +157,9 @@ def fit(ids: DataFrame, seed: int = 0) -> LatentModel:
                 c *= weight
                 out += c.T @ (c @ right)
             if out.any():
-                yield rows_of(out)
+                yield blocks_of(out)
 
-        return summed(only.mapInArrow(task, schema), block.shape[1])
+        return summed(only.mapInArrow(task, BLOCKS), block.shape[1])
 
     basis, _ = np.linalg.qr(apply(rng.standard_normal((TERMS, min(TERMS, rank + OVERSAMPLE)))))
     small = basis.T @ apply(basis)
