@@ -5,8 +5,10 @@ thresholds ``t_0 < t_1 < ...``.  The expected severity is the sum of these proba
 document is toxic when ``P(grade > 0)`` is at least a half.
 
 Features are a document's lower-case words and the beginnings of its longer words, so that
-inflected forms share weight; the value is ``log(1 + occurrences)``.  The most
-telling ones (largest ``z`` of the difference in document frequency) get a weight.
+inflected forms share weight; the value is ``log(1 + occurrences)``.  The telling
+ones get a weight: those in at least ``MIN_DOCS`` documents of a label whose smoothed share of documents
+differs between the labels by ``MIN_LOG`` on the logarithmic scale.  The rule does not depend on the number of
+labelled rows; how much a feature counts is left to the penalised fit.
 
 The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` toxic and as
 many other documents, those with the smallest hash of their key.  Everything else covers all
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 SAMPLE = 4000
 #: Lengths of word beginnings that are features, and the largest number of weighted features.
 BEGINNINGS = (4, 5, 6)
-MAX_FEATURES = 2000
-#: A feature is telling from this ``z``, and must be in so many documents of the sample.
-MIN_Z, MIN_DOCS = 8.0, 5
+MAX_FEATURES = 20_000
+#: A feature is telling from this logarithm of the ratio of its shares, and must be in so many documents
+#: of the label that it tells.
+MIN_LOG, MIN_DOCS = 2.0, 2
 GRADES = 4
 RIDGE = 1e-4
 STEPS = 400
@@ -82,7 +85,7 @@ def grade(heavy: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float]) -> OrdinalModel:
     """Fit on (toxic 0/1, occurrences of chosen features) by gradient steps on the penalised
-    log-likelihood; ``chosen`` has the ``z`` of each feature.
+    log-likelihood; ``chosen`` has the logarithm of the ratio of shares of each feature.
 
     With one label only, or no telling feature, nothing is toxic."""
     if len({y for y, _ in docs}) < 2 or not chosen:
@@ -150,13 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([c[f] for f in some], pa.int64()) for c in seen)],
                                              ["feature", "a", "b"])
 
-    rate = (F.col("a") + F.col("b")) / max(n0 + n1, 1)
-    spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     telling = (rows.mapInArrow(frequencies, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-               .where(F.col("a") + F.col("b") >= MIN_DOCS)
-               .select("feature", ((F.col("a") / max(n1, 1) - F.col("b") / max(n0, 1)) / spread).alias("z"))
-               .where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES))
-    weights = {r["feature"]: r["z"] for r in telling.collect()} if n0 and n1 else {}
+               .select("feature", ratio.alias("ratio"), F.when(ratio > 0, F.col("a")).otherwise(F.col("b")).alias("n"))
+               .where((F.col("n") >= MIN_DOCS) & (F.abs("ratio") >= MIN_LOG)).orderBy(F.desc(F.abs("ratio")), "feature").limit(MAX_FEATURES))
+    weights = {r["feature"]: r["ratio"] for r in telling.collect()} if n0 and n1 else {}
     if not weights:
         return fit_ordinal([], {})
     table = docs.sparkSession.sparkContext.broadcast(weights)

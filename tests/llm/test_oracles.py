@@ -169,3 +169,19 @@ def test_pipeline_equals_plain_stages(spark, docs):
     items = [f" {' '.join(plain(b))} " for _, b in given("SELECT item_id, text FROM benchmark").fetchall()]
     left = [(i, t) for i, t in left if not any(b in f" {' '.join(plain(t))} " for b in items)]
     check_packing(Q["pipeline"](spark, SF).collect(), left)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxic_documents_of_every_language_are_found(spark, sf):
+    """Whatever the number of labelled rows: features of a small table tell too."""
+    from peerpanel.llm import toxicity
+    from peerpanel.llm.common import table
+
+    frame, labels = table(spark, f"/root/testdata/{sf}", "documents"), table(spark, f"/root/testdata/{sf}", "labels")
+    judged = toxicity.judge(frame, toxicity.fit(frame, labels)).withColumnRenamed("toxic", "found").join(labels, "doc_id")
+    found, clean = defaultdict(list), []
+    for r in judged.select("lang", "found", "toxic").collect():
+        (found[r["lang"]] if r["toxic"] else clean).append(r["found"])
+    print(sf, {lang: (sum(x), len(x)) for lang, x in found.items()}, (sum(clean), len(clean)))
+    assert len(found) >= 3 and all(sum(x) >= 0.8 * len(x) for x in found.values()), found
+    assert sum(clean) <= 0.02 * len(clean)
