@@ -11,8 +11,9 @@ differs between the labels by ``MIN_LOG`` on the logarithmic scale.  The rule do
 labelled rows; how much a feature counts is left to the penalised fit.
 
 The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` toxic and as
-many other documents, those with the smallest hash of their key.  Everything else covers all
-rows.  Labels have two values, so severity grades within the toxic sample come from the number
+many other documents, those with the smallest hash of their key; each stands for as many labelled rows
+of its label as there are to one in the sample, so the cut means the same at every size.  Everything else
+covers all rows.  Labels have two values, so severity grades within the toxic sample come from the number
 of occurrences of telling features, cut at its terciles: grade 0 is not toxic, 1 to 3 are mild
 to severe.
 """
@@ -83,9 +84,10 @@ def grade(heavy: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (heavy > cuts[0]) + (heavy > cuts[1]), 0)
 
 
-def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float]) -> OrdinalModel:
+def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float], rows_of: tuple[float, float] = (1, 1)) -> OrdinalModel:
     """Fit on (toxic 0/1, occurrences of chosen features) by gradient steps on the penalised
-    log-likelihood; ``chosen`` has the logarithm of the ratio of shares of each feature.
+    log-likelihood; ``chosen`` has the logarithm of the ratio of shares of each feature,
+    ``rows_of`` how many rows a document of each label stands for.
 
     With one label only, or no telling feature, nothing is toxic."""
     if len({y for y, _ in docs}) < 2 or not chosen:
@@ -98,6 +100,8 @@ def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float]
     toxic, telling = np.array([y for y, _ in docs]) == 1, np.array([chosen[f] > 0 for f in names])
     y = grade(np.bincount(row, times * telling[col], len(docs)), toxic)
     n, m, cuts = len(docs), len(names), GRADES - 1
+    weight = np.where(toxic, rows_of[1], rows_of[0])
+    weight = weight / weight.mean()
     params = np.zeros(m + cuts)  # weights, the first threshold, then logarithms of the steps to the next ones
     mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
@@ -107,7 +111,7 @@ def fit_ordinal(docs: list[tuple[int, dict[str, int]]], chosen: dict[str, float]
         upper = np.where(y == 0, 1.0, s[np.arange(n), np.maximum(y - 1, 0)])
         lower = np.where(y == cuts, 0.0, s[np.arange(n), np.minimum(y, cuts - 1)])
         p = np.maximum(upper - lower, 1e-12)
-        d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
+        d_upper, d_lower = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
         d_score = d_upper - d_lower
         d_t = np.array([(d_lower[y == k]).sum() - (d_upper[y == k + 1]).sum() for k in range(cuts)])
         grad = np.concatenate([
@@ -131,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     by_hash = [F.xxhash64("_key"), F.col("_key")]
     taken = keys.where("_toxic = 1").orderBy(*by_hash).limit(sample).union(keys.where("_toxic = 0").orderBy(*by_hash).limit(sample))
     chosen = {r["_key"]: r["_toxic"] for r in taken.collect()}  # at most 2 * sample
+    labelled = {r["_toxic"]: r["count"] for r in keys.groupBy("_toxic").count().collect()}
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
     n1 = sum(chosen.values())
     n0 = len(chosen) - n1
@@ -170,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                  pa.array([list(own.items()) for _, _, own in found], pa.map_(pa.string(), pa.int64()))], ["key", "toxic", "own"])
 
     docs_ = [(r["key"], r["toxic"], sorted(r["own"].items())) for r in rows.mapInArrow(occurrences, "key string, toxic int, own map<string,bigint>").collect()]
-    return fit_ordinal([(y, dict(own)) for _, y, own in sorted(docs_)], weights)
+    held = Counter(y for _, y, _ in docs_)
+    return fit_ordinal([(y, dict(own)) for _, y, own in sorted(docs_)], weights, tuple(labelled[y] / held[y] for y in (0, 1)))
 
 
 def judge(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

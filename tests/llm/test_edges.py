@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +360,14 @@ def test_stages_on_edge_cases(spark, docs, none, labels, tmp_path):
         empty = stage(spark, none, str(tmp_path))
         assert empty.count() == 0, name
         assert name == "packing" or empty.columns == none.columns
+
+
+def test_toxicity_cut_does_not_depend_on_the_sample(spark):
+    """A weak feature, in 20 % of 400 toxic and 2.5 % of 9600 other documents, tells no toxic document (25 %),
+    nor where the sample takes as many toxic as other documents."""
+    rows = [(k, f"w{k % 7} " + ("mild" if (k % 5 == 0 if k < 400 else k % 40 == 0) else "") + (" vile" if k < 400 and k % 5 > 2 else ""), int(k < 400)) for k in range(10_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for sample in (20_000, 400):
+        model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), sample=sample)
+        weak, strong = model.exceed(np.array([model.score("w1 mild"), model.score("w1 vile vile")]))[:, 0]
+        assert 0.1 < weak < 0.5 < strong, (sample, weak, strong)
