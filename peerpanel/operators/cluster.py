@@ -5,14 +5,16 @@ over the vectors, in which each task assigns its rows to the centres of every fi
 has not converged and adds up sums and counts; Spark adds the tasks' parts.  So the
 number of passes is that of the slowest fit, not the sum over fits.  What reaches the driver is model
 sized: k centres of d numbers for each fit, a d x d covariance, and a bounded sample of
-rows that the starting centres are chosen from.  Vectors are checkpointed into the
+distinct vectors that the starting centres are chosen from.  Vectors are checkpointed into the
 cluster's shared checkpoint folder first, so a lost executor does not replay the whole
 upstream plan per iteration.
 """
 
 from __future__ import annotations
 
+import heapq
 import warnings
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .._names import col
 from ..session import cut_lineage
 
-# Starting centres are chosen (k-means++) from at most this many rows, those with the
-# smallest hash of their vector: the same rows however the data is partitioned.
+# Starting centres are chosen (k-means++) from at most this many distinct vectors (or the largest k),
+# those with the smallest hash, weighted by their rows: the same however the data is partitioned.
 START_ROWS = 4000
 _SUMS = "fit int, cluster int, part int, total array<double>, n long, cost double"
 
@@ -52,14 +54,34 @@ def _vectors(df: DataFrame, features: str, checkpoint: bool) -> DataFrame:
     return cut_lineage(out) if checkpoint else out
 
 
-def _start(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the sample: each further centre with probability by its squared distance.
+def _sample(data: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` distinct vectors with the smallest hashes and the rows of each.
+
+    A task holds the smallest of its own, so only these are shuffled."""
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            held.update((h, tuple(x)) for h, x in zip(batch["h"], batch["x"], strict=True))
+            if len(held) > 2 * size:  # what goes is beyond the smallest for good
+                held = Counter({k: held[k] for k in heapq.nsmallest(size, held)})
+        rows = heapq.nsmallest(size, held)
+        yield pd.DataFrame({"h": [h for h, _ in rows], "x": [list(x) for _, x in rows], "n": [held[k] for k in rows]})
+
+    x = F.transform("x", lambda v: v + F.lit(0.0))  # -0.0 and 0.0 are equal
+    parts = data.select(x.alias("x")).select(F.xxhash64("x").alias("h"), "x").mapInPandas(smallest, "h long, x array<double>, n long")
+    rows = parts.groupBy("h", "x").agg(F.sum("n").alias("n")).orderBy("h", "x").limit(size).collect()
+    return np.array([r["x"] for r in rows], float), np.array([r["n"] for r in rows], float)
+
+
+def _start(rows: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the weighted sample: each further centre with probability by its squared distance.
     A distance counts as zero within rounding; without distinct rows left fewer centres come back."""
     rng = np.random.default_rng(seed)
-    chosen = [rows[rng.integers(len(rows))]]
+    chosen = [rows[rng.choice(len(rows), p=weights / weights.sum())]]
     nearest = ((rows - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k and nearest.sum() > 1e-18:
-        chosen.append(rows[rng.choice(len(rows), p=nearest / nearest.sum())])
+        share = nearest * weights
+        chosen.append(rows[rng.choice(len(rows), p=share / share.sum())])
         nearest = np.minimum(nearest, ((rows - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
@@ -132,11 +154,10 @@ def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
 
 def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> dict[int, Fit]:
     """The fit with the lowest inertia (lowest seed on a tie) of each k, from arrays in ``x``."""
-    first = F.xxhash64("x")
-    sample = np.array([r["x"] for r in data.orderBy(first, "x").limit(START_ROWS).collect()], float)
+    sample, weights = _sample(data, max(START_ROWS, *(k for k, _ in specs)))
     if not len(sample):
         raise ValueError("k-means needs rows")
-    fits = lloyd(data, [Fit(k, seed, _start(sample, k, seed)) for k, seed in specs], max_iter, tol)
+    fits = lloyd(data, [Fit(k, seed, _start(sample, weights, k, seed)) for k, seed in specs], max_iter, tol)
     best: dict[int, Fit] = {}
     for f in sorted(fits, key=lambda f: (f.cost, f.seed)):
         best.setdefault(f.k, f)

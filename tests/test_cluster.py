@@ -110,3 +110,12 @@ def test_kmeans_with_fewer_distinct_rows_than_centres(spark):
 
     df = spark.createDataFrame([(i, Vectors.dense([float(i % 2)])) for i in range(10)], ["k", "features"])
     assert kmeans(df, 4).select("cluster").distinct().count() == 2
+
+
+def test_kmeans_on_many_copies_of_few_vectors(spark):
+    """Ten vectors of 1000 rows each: the rows with the smallest hashes alone hold at most five of them."""
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(i, Vectors.dense([float(i % 10), float(i % 10 == 3)])) for i in range(10_000)], ["k", "features"])
+    out = kmeans(df, 8, restarts=2).groupBy("cluster").count().collect()
+    assert len(out) == 8 and sum(r["count"] for r in out) == 10_000
