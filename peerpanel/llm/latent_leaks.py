@@ -244,15 +244,16 @@ class Search:
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in blocks of ``ITEM_BLOCK``, in the order of their key; null keys are left out."""
+    """The items in blocks of ``ITEM_BLOCK``, in the order of their key and text; null keys and texts are left out."""
     word_hash, last = WordHash(), None
-    rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL").dropDuplicates()
+    rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     while True:
-        block = (rows if last is None else rows.where(F.col("key") > last)).orderBy("key", "text").limit(ITEM_BLOCK).collect()
+        after = F.lit(True) if last is None else (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("text") > last["text"]))
+        block = rows.where(after).orderBy("key", "text").limit(ITEM_BLOCK).collect()
         if not block:
             return
         yield [(r["key"], word_hash(r["text"])) for r in block]
-        last = block[-1]["key"]
+        last = block[-1]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
@@ -288,7 +289,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found; columns as they are."""
+    """The rows of ``docs`` in which no item is found, whatever its key (also null); columns as they are."""
+    items = items.select(F.lit(0).alias(item_key), text)  # each text once
     model = fit(materialise(hashed(docs.select(text), text)))
     names = docs.columns
     for block in item_blocks(items, item_key, text):

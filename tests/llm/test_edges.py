@@ -371,3 +371,18 @@ def test_toxicity_cut_does_not_depend_on_the_sample(spark):
         model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), sample=sample)
         weak, strong = model.exceed(np.array([model.score("w1 mild"), model.score("w1 vile vile")]))[:, 0]
         assert 0.1 < weak < 0.5 < strong, (sample, weak, strong)
+
+
+def test_leaks_of_a_key_with_many_texts_and_of_null_keys(spark, monkeypatch):
+    """Texts of one key go over several blocks."""
+    import random
+
+    rng = random.Random(5)
+    sentence = lambda n: [f"{rng.choice('bdfgklm')}{rng.choice('aeiou')}{rng.choice('nrstl')}{rng.randrange(30)}" for _ in range(n)]
+    own = [sentence(40) for _ in range(6)]
+    rows = [(k, " ".join(sentence(80) + t + sentence(60))) for k, t in enumerate(own)] + [(100 + k, " ".join(sentence(200))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(None if k == 5 else 7, " ".join(t)) for k, t in enumerate(own)], "item_id long, text string")
+    monkeypatch.setattr(latent_leaks, "ITEM_BLOCK", 2)
+    assert sorted(r["doc_id"] for r in latent_leaks.find_leaks(frame, items).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in latent_leaks.without_leaks(frame, items).collect()) == [100 + k for k in range(40)]
