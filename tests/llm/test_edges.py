@@ -386,3 +386,15 @@ def test_leaks_of_a_key_with_many_texts_and_of_null_keys(spark, monkeypatch):
     monkeypatch.setattr(latent_leaks, "ITEM_BLOCK", 2)
     assert sorted(r["doc_id"] for r in latent_leaks.find_leaks(frame, items).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r["doc_id"] for r in latent_leaks.without_leaks(frame, items).collect()) == [100 + k for k in range(40)]
+
+
+def test_article_in_a_marked_wrapper():
+    """An open head, a form around the page and names with a marked part do not take the article along."""
+    article = "<article><p>The whole text of the page</p><div class='share'>no</div></article>"
+    wrapped = [f"<html><head><title>t</title><meta charset=utf-8><body>{article}", f"<head><link rel=x>{article}", f"<form action=x><input>Search {article} no</form>",
+               f"<div class='page has-sidebar'>{article}</div>", f"<div id='no-header'>{article}</div>", f"<div class='overlay'>no<div class='content'>{article}</div>no</div>"]
+    for page in wrapped:
+        assert host_text.main_text(host_text.page_blocks(page), None) == "The whole text of the page", page
+    assert host_text.main_text(host_text.page_blocks("<head><title>t</title>Plain text<p>and more"), None) == "Plain text and more"
+    for page in ("<nav><article>no</article></nav>", "<form>no</form>", "<article><div class='related'><article>no</article></div></article>", "<form hidden><main>no</main></form>"):
+        assert host_text.main_text(host_text.page_blocks(page), None) == "", page
