@@ -10,7 +10,8 @@ Spark; the driver sees ``TERMS`` rows whatever the corpus.
 A text's latent vector is the sum of its words' vectors, each divided by its singular value, so
 that frequent directions don't drown the others.  Every document is searched with windows
 of about each item's length that overlap by three quarters; windows whose cosine with the item is at
-least ``MIN_COSINE`` are candidates.  For these the longest common subsequence of words with
+least ``MIN_COSINE`` are candidates; it is so low that hardly any paraphrase which the checks accept is lost, and
+candidates with too few of the item's words around cost a set operation.  For the others the longest common subsequence of words with
 the item is found in the window and half its length around.  A candidate is a leak if the
 subsequence covers ``VERBATIM`` of the item, or ``PARAPHRASE`` of it and the item's answer (its last
 ``ANSWER_WORDS`` words) is there for ``MIN_ANSWER`` too.
@@ -20,6 +21,7 @@ Items are searched in blocks of ``ITEM_BLOCK``, each block against all documents
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from .common import materialise
 
 PASSAGE = 48
 TERMS, RANK, OVERSAMPLE = 256, 96, 16
-MIN_COSINE = 0.6
+MIN_COSINE = 0.3
 VERBATIM, PARAPHRASE, MIN_ANSWER, ANSWER_WORDS = 0.9, 0.65, 0.75, 8
 ITEM_BLOCK = 2000
 #: Rows of a task's matrix that are sent together.
@@ -189,10 +191,13 @@ class Search:
     def __init__(self, model: LatentModel, items: list[tuple[int, np.ndarray]]) -> None:
         self.model = model
         self.items = [(key, ids.tolist()) for key, ids in items if len(ids)]
+        self.times = [Counter(ids) for _, ids in self.items]
+        self.distinct = [set(ids) for _, ids in self.items]
         self.by_window: dict[int, tuple[list[int], np.ndarray]] = {}
         groups: dict[int, list[int]] = {}
-        for k, (_, ids) in enumerate(self.items):
-            groups.setdefault(max(4, 1 << round(np.log2(len(ids)))), []).append(k)
+        self.window = [max(4, 1 << round(np.log2(len(ids)))) for _, ids in self.items]
+        for k, window in enumerate(self.window):
+            groups.setdefault(window, []).append(k)
         for window, members in groups.items():
             v = np.array([model.words(np.array(self.items[k][1])).sum(axis=0) for k in members])
             v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
@@ -227,8 +232,15 @@ class Search:
         if not len(ids):
             return []
         words = ids.tolist()
+        near: dict[tuple[int, int], set[int]] = {}
         for k, start, end, cosine in self.candidates(ids):
             item = self.items[k][1]
+            if (start, self.window[k]) not in near:  # half the longest item of a window is under 3 / 4 of the window
+                wide = max(4, self.window[k] * 3 // 4)
+                near[start, self.window[k]] = set(words[max(0, start - wide):end + wide])
+            # a subsequence has at most the item's words that are there
+            if sum(map(self.times[k].__getitem__, self.distinct[k] & near[start, self.window[k]])) < PARAPHRASE * len(item):
+                continue
             around = max(1, len(item) // 2)
             text = words[max(0, start - around):end + around]
             share = common_subsequence(item, text) / len(item)

@@ -185,3 +185,29 @@ def test_toxic_documents_of_every_language_are_found(spark, sf):
     print(sf, {lang: (sum(x), len(x)) for lang, x in found.items()}, (sum(clean), len(clean)))
     assert len(found) >= 3 and all(sum(x) >= 0.8 * len(x) for x in found.values()), found
     assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_planted_paraphrases_are_found(spark, docs):
+    """Items with 25 % of their words replaced, in real documents, that the checks accept."""
+    from peerpanel.llm import latent_leaks as leaks
+    from peerpanel.llm.common import table
+
+    rng, word_hash = np.random.default_rng(4), leaks.WordHash()
+    items = given("SELECT item_id, text FROM benchmark ORDER BY item_id").fetchall()
+    texts = [t.split() for _, t in docs if t and 100 < len(t.split()) < 2000]
+    vocabulary = np.array([w for t in texts[:50] for w in t])
+    planted, want = [], set()
+    for k in range(400):
+        j, text = items[k % len(items)]
+        words = [str(rng.choice(vocabulary)) if rng.random() < 0.25 else w for w in text.split()]
+        own, changed = word_hash(text).tolist(), word_hash(" ".join(words)).tolist()
+        if leaks.common_subsequence(own, changed) < leaks.PARAPHRASE * len(own) or leaks.common_subsequence(own[-8:], changed[-8:]) < 6:
+            continue
+        around = texts[int(rng.integers(len(texts)))]
+        at = int(rng.integers(len(around)))
+        planted.append((1_000_000 + k, " ".join([*around[:at], *words, *around[at:]])))
+        want.add((1_000_000 + k, j))
+    frame = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(frame, table(spark, SF, "benchmark")).collect()}
+    print(len(want), len(want & got))
+    assert len(want & got) >= 0.99 * len(want)
