@@ -398,3 +398,10 @@ def test_article_in_a_marked_wrapper():
     assert host_text.main_text(host_text.page_blocks("<head><title>t</title>Plain text<p>and more"), None) == "Plain text and more"
     for page in ("<nav><article>no</article></nav>", "<form>no</form>", "<article><div class='related'><article>no</article></div></article>", "<form hidden><main>no</main></form>"):
         assert host_text.main_text(host_text.page_blocks(page), None) == "", page
+
+
+def test_boilerplate_of_a_host_with_two_pages_goes(spark):
+    shared = "Read our weekly letter with many words for every single reader of this site today"
+    rows = [(k, "http://a.net/x", f"<body><div>{shared}</div><section>Own text of page number {k} with some words</section></body>") for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).checkpoint()
+    assert sorted(r["text"] for r in host_text.extract(pages).collect()) == [f"Own text of page number {k} with some words" for k in range(2)]
