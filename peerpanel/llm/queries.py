@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_text, latent_leaks, packing, preferences, quality_rules, simhash, token_counts, toxicity, url_rules, warc_zip
+from . import (hard_negatives, host_text, latent_leaks, line_dedup, packing, preferences, prefix_trie, quality_rules, simhash, token_counts, toxicity,
+               url_rules, warc_zip)
 from .common import table
 
 #: Fixed values of the queries' contracts.
@@ -80,8 +81,34 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, by exact integer scores."""
+    rows = table(spark, sf_dir, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.where(finite).select("vec_id", moved.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, "vec_id", "label", "vector", n_positives=5, n_negatives=10, low=30, high=90)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations: a few turns of each twentieth one, then a conversation's own."""
+    own = prefix_trie.paths_of(table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    heads = own.where(base == F.col("conv_id")).select(F.col("conv_id").alias("base"), F.slice("path", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    none = F.array().cast(f"array<{prefix_trie.TURN}>")
+    rebuilt = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("path", h + 1, F.size("path")))
+    return prefix_trie.trie(own.join(heads, base == F.col("base"), "left").select("conv_id", rebuilt.alias("path")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that go since ten documents or more hold them."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_latent_leaks, op2_preferences, op3_simhash, op4_toxicity, op5_packing, op6_host_text, op7_url_rules, op8_warc_zip,
-                                   op9_token_counts, op10_quality_rules)}
+                                   op9_token_counts, op10_quality_rules, op11_hard_negatives, op12_prefix_trie, op13_line_dedup)}
 
 _WARC_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -161,4 +188,50 @@ SELECT pair_id, prefix_turns,
 FROM m GROUP BY pair_id, prefix_turns
 """
 
-ORACLE = {"op2_preferences": _PREFERENCE_SQL, "op8_warc_zip": _WARC_SQL, "op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}
+_NEGATIVE_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
+_LINE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT *, list_transform(ls, lambda x: translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM d),
+e AS (SELECT r, doc_id, unnest(ls) AS l, unnest(ks) AS key, generate_subscripts(ls, 1) AS i FROM k),
+f AS (SELECT key FROM e WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM e LEFT JOIN f ON e.key = f.key GROUP BY r
+"""
+
+_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS m,
+                  len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 4 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS part, k, m FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND k <= h
+      UNION ALL SELECT c.conv_id, 1, k, m FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+p AS (SELECT c.conv_id, coalesce(string_agg(m, '' ORDER BY part, k), '') AS path FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+w AS (SELECT DISTINCT m, w FROM t),
+x AS (SELECT conv_id, path, unnest(range(0, length(path) // 32 + 1)) AS depth FROM p),
+n AS (SELECT path[1:32 * depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length(path) = 32 * depth), '')) AS ends_sha256 FROM x GROUP BY ALL),
+kids AS (SELECT node[1:32 * (depth - 1)] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, coalesce((n_convs - 1) * w.w, 0) AS own FROM n LEFT JOIN kids USING (node) LEFT JOIN w ON w.m = right(node, 32) AND depth > 0),
+u AS (SELECT node[1:32 * d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN u USING (node) LEFT JOIN n up ON v.depth > 0 AND up.node = v.node[1:32 * (v.depth - 1)]
+"""
+
+ORACLE = {"op11_hard_negatives": _NEGATIVE_SQL, "op12_prefix_trie": _TRIE_SQL, "op13_line_dedup": _LINE_SQL, "op2_preferences": _PREFERENCE_SQL, "op8_warc_zip": _WARC_SQL, "op7_url_rules": _URL_SQL, "op10_quality_rules": _quality_sql()}

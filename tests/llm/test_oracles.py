@@ -16,7 +16,7 @@ Q, SQL = E.queries(), E.oracle_sql()
 
 def given(sql):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con.execute(sql)
 
@@ -26,9 +26,9 @@ def docs():
     return given("SELECT doc_id, text FROM documents").fetchall()
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     numbers = {m[1] for m in (re.match(r"op(\d+)_", n) for n in Q) if m}
-    assert numbers == {str(n) for n in range(1, 11)}
+    assert numbers == {str(n) for n in range(1, 14)}
     assert "pipeline" in Q
 
 
