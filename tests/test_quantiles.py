@@ -76,3 +76,30 @@ def test_integer_median_need_not_be_whole(spark):
     out = median_impute(df, ["x"])
     assert dict(out.dtypes)["x"] == "double"
     assert sorted(r["x"] for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+
+
+def test_order_bits_keep_every_double_and_its_order(spark):
+    from peerpanel.operators.quantiles import from_order_bits, with_order_bits
+
+    rng = np.random.default_rng(0)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    vals = np.concatenate([rng.integers(0, 2**64, 4000, dtype=np.uint64).view(np.float64), rng.normal(size=500), powers, -powers,
+                           np.nextafter(powers, 0), [0.0, np.inf, -np.inf, 5e-324, 1.7976931348623157e308]])
+    vals = vals[~np.isnan(vals)]
+    df = spark.createDataFrame([(float(v), float(v)) for v in vals], "v double, `a b` double")
+    rows = with_order_bits(df, ["a b"]).withColumn("back", from_order_bits("`a b`")).collect()
+    assert all(r["v"] == r["back"] for r in rows)
+    ordered = sorted(rows, key=lambda r: r["v"])
+    assert all((x["v"] < y["v"]) == (x["a b"] < y["a b"]) for x, y in zip(ordered, ordered[1:]))
+
+
+def test_hot_value_and_narrow_range(spark):
+    """A value with a third of all rows, beside values that differ in their last bits only."""
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([np.full(3000, 7.25), 1e9 + np.arange(3000) * 2.0**-20, -rng.random(3000)])
+    rng.shuffle(vals)
+    df = spark.createDataFrame([(float(v), int(k % 2)) for k, v in enumerate(vals)], "x double, g int")
+    ps = [0.0, 0.01, 0.3333, 0.5, 0.6667, 0.9, 0.999, 1.0]
+    for write in (True, False):
+        got = {r["prob"]: r["value"] for r in quantiles_long(df, ["x"], ps, write=write).collect()}
+        assert [got[p] for p in ps] == pytest.approx(list(np.quantile(vals, ps)), abs=1e-15, rel=1e-15)
