@@ -1,42 +1,54 @@
 """K-means, elbow sweep, nearest-centre assignment, two-component projection (M3-M7).
 
-All fits of a call (every k with every restart) run in one loop: an iteration is one pass
-over the vectors, in which each task assigns its rows to the centres of every fit that
-has not converged and adds up sums and counts; Spark adds the tasks' parts.  So the
-number of passes is that of the slowest fit, not the sum over fits.  What reaches the driver is model
-sized: k centres of d numbers for each fit, a d x d covariance, and a bounded sample of
-distinct vectors that the starting centres are chosen from.  Vectors are checkpointed into the
-cluster's shared checkpoint folder first, so a lost executor does not replay the whole
-upstream plan per iteration.
+The rows are first reduced to distinct vectors with their numbers, written once to the cluster's shared checkpoint
+folder: copies cost nothing, and no result depends on how rows are partitioned or ordered.
+
+Starting centres (k-means||, Bahmani et al. 2012): over all vectors, a few rounds draw candidates with probability by number
+and squared distance to the candidates so far; each candidate is weighted by the rows nearest
+to it, and k-means++ runs on the weighted candidates only.  A draw is a race: a vector's time is a
+uniform number from its hash, the seed and the round, turned exponential with its rate, and the first ones win, so a
+round is one pass and draws as many as it should.
+
+All fits of a call (every k with every restart) run in one loop: an iteration is one pass in which tasks assign their
+rows and emit sums, which Spark adds up.  A row keeps, per fit, its centre, an upper bound of the distance to it and a
+lower bound of the distance to any other (Hamerly 2010).  Bounds are written with the rows after the 1st, 2nd, 4th, 8th .. pass; in
+between they widen by what the centres moved since.  A row whose bounds do not meet keeps its centre
+and is not compared.  What reaches the driver is model sized: candidates, k centres of d numbers for each fit,
+a d x d covariance.
 """
 
 from __future__ import annotations
 
-import heapq
+import sys
+import uuid
 import warnings
-from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._names import col
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
-# Starting centres are chosen (k-means++) from at most this many distinct vectors (or the largest k),
-# those with the smallest hash, weighted by their rows: the same however the data is partitioned.
-START_ROWS = 4000
-_SUMS = "fit int, cluster int, part int, total array<double>, n long, cost double"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
+#: Rounds of drawing, and candidates of a round for each centre of the largest k.
+ROUNDS, OVERSAMPLE = 4, 2
+#: Bounds are single precision, moved apart by this share.
+SLACK = 1e-6
+_STATE = "x array<double>, n long, near array<smallint>, upper array<float>, lower array<float>"
+_SUMS = "fit int, sums array<double>"
 
 
 @dataclass
 class Fit:
-    """One (k, seed): its centres, their inertia and whether it converged."""
+    """One (k, seed): its centres, their inertia, whether it converged, and the distances each pass computed."""
 
     k: int
     seed: int
@@ -44,108 +56,251 @@ class Fit:
     cost: float = float("inf")
     converged: bool = False
     iterations: int = 0
+    distances: list[int] = field(default_factory=list)
 
 
-def _vectors(df: DataFrame, features: str, checkpoint: bool) -> DataFrame:
-    """The vectors as arrays, written once.  A NaN raises: it would spoil every centre."""
-    x = vector_to_array(F.col(features))
+def _vectors(df: DataFrame, features: str) -> DataFrame:
+    """Distinct vectors as arrays ``x`` with their number of rows ``n``, written once.  A NaN raises: it would
+    spoil every centre."""
+    x = F.transform(vector_to_array(F.col(features)), lambda v: v + F.lit(0.0))  # -0.0 and 0.0 are equal
     bad = F.raise_error(F.lit(f"k-means: {features} holds NaN; fill missing values first"))
-    out = df.select(F.when(F.exists(x, lambda v: F.isnan(v)), bad).otherwise(x).alias("x"))
-    return cut_lineage(out) if checkpoint else out
-
-
-def _sample(data: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` distinct vectors with the smallest hashes and the rows of each.
-
-    A task holds the smallest of its own, so only these are shuffled."""
-    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    out = df.select(F.when(F.exists(x, lambda v: F.isnan(v)), bad).otherwise(x).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, a column per centre."""
+    out = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :]
+    return np.maximum(out, 0, out=out)
+
+
+def _mean(data: DataFrame) -> np.ndarray:
+    """The mean vector."""
+    each = data.select("n", F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.sum(F.col("v") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    return np.array([r["s"] / r["n"] for r in sorted(each.collect())], float)
+
+
+def _uniform(hashes: np.ndarray, seed: int, round_: int) -> np.ndarray:
+    """A number in (0, 1) for each hash, another for each seed and round."""
+    x = hashes.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + round_ * 0xD1342543DE82EF95 + 1) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+
+def candidates(data: DataFrame, seeds: Sequence[int], k: int, mean: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each seed, vectors drawn from all of ``data`` (less the mean) and the rows nearest to each."""
+    context = data.sparkSession.sparkContext
+    hashed = data.select("x", "n", F.xxhash64("x").alias("h"))
+    chosen = {s: np.zeros((0, len(mean))) for s in seeds}
+    for round_ in range(ROUNDS + 1):
+        most = OVERSAMPLE * k if round_ else 1
+        shared = context.broadcast((chosen, mean))
+
+        def race(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_, most=most) -> Iterator[pa.RecordBatch]:
+            sets, shift = shared.value
+            first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, n = _matrix(batch.column(0)) - shift, batch.column(1).to_numpy().astype(float)
+                for s, c in sets.items():
+                    rate = n * (_squares(x, c).min(axis=1) if len(c) else 1.0)
+                    with np.errstate(divide="ignore"):
+                        time = np.where(rate > 1e-18, -np.log(_uniform(batch.column(2).to_numpy(), s, round_)) / rate, np.inf)
+                    best = np.argsort(time, kind="stable")[:most]
+                    best = best[np.isfinite(time[best])]
+                    times, rows = first.get(s, (np.zeros(0), np.zeros((0, x.shape[1]))))
+                    times, rows = np.concatenate([times, time[best]]), np.concatenate([rows, x[best]])
+                    keep = np.argsort(times, kind="stable")[:most]
+                    first[s] = times[keep], rows[keep]
+            for s, (times, rows) in first.items():
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(times), pa.int64()), pa.array(times), pa.array(list(rows), pa.list_(pa.float64()))], ["seed", "time", "x"])
+
+        order = Window.partitionBy("seed").orderBy("time", "x")  # at most ``most`` rows a seed and task
+        won = hashed.mapInArrow(race, "seed long, time double, x array<double>").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        rows: dict[int, list] = {}
+        for r in sorted(won.collect(), key=lambda r: (r["seed"], r["rank"])):
+            rows.setdefault(r["seed"], []).append(r["x"])
+        chosen = {s: np.concatenate([c, np.array(rows[s], float)]) if s in rows else c for s, c in chosen.items()}
+
+    shared = context.broadcast((chosen, mean))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, shift = shared.value
+        weights = {s: np.zeros(len(c)) for s, c in sets.items()}
         for batch in batches:
-            held.update((h, tuple(x)) for h, x in zip(batch["h"], batch["x"], strict=True))
-            if len(held) > 2 * size:  # what goes is beyond the smallest for good
-                held = Counter({k: held[k] for k in heapq.nsmallest(size, held)})
-        rows = heapq.nsmallest(size, held)
-        yield pd.DataFrame({"h": [h for h, _ in rows], "x": [list(x) for _, x in rows], "n": [held[k] for k in rows]})
+            if batch.num_rows:
+                x, n = _matrix(batch.column(0)) - shift, batch.column(1).to_numpy()
+                for s, c in sets.items():
+                    weights[s] += np.bincount(_squares(x, c).argmin(axis=1), n, len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.int32()), pa.array(list(weights.values()), pa.list_(pa.float64()))], ["fit", "sums"])
+
+    weights = _added(data.select("x", "n").mapInArrow(weigh, _SUMS))
+    return {s: (c, weights[s]) for s, c in chosen.items()}
+
+
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The tasks' arrays added up by Spark, for each ``fit``."""
+    each = parts.select("fit", F.posexplode("sums").alias("at", "v")).groupBy("fit", "at").agg(F.sum("v").alias("v")).toArrow()
+    fit, at, v = (each.column(c).to_numpy() for c in ("fit", "at", "v"))
+    out = {int(f): np.zeros(int(at[fit == f].max()) + 1) for f in np.unique(fit)}
+    for f, values in out.items():
+        values[at[fit == f]] = v[fit == f]
+    return out
 
-    x = F.transform("x", lambda v: v + F.lit(0.0))  # -0.0 and 0.0 are equal
-    parts = data.select(x.alias("x")).select(F.xxhash64("x").alias("h"), "x").mapInPandas(smallest, "h long, x array<double>, n long")
-    rows = parts.groupBy("h", "x").agg(F.sum("n").alias("n")).orderBy("h", "x").limit(size).collect()
-    return np.array([r["x"] for r in rows], float), np.array([r["n"] for r in rows], float)
 
+def start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Weighted k-means++ on the candidates, then a few steps of weighted k-means on them.
 
-def _start(rows: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the weighted sample: each further centre with probability by its squared distance.
-    A distance counts as zero within rounding; without distinct rows left fewer centres come back."""
+    Of several draws for a centre the one that helps most is taken; the centres are distinct."""
     rng = np.random.default_rng(seed)
-    chosen = [rows[rng.choice(len(rows), p=weights / weights.sum())]]
-    nearest = ((rows - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k and nearest.sum() > 1e-18:
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    nearest = _squares(points, chosen[0][None, :])[:, 0]
+    nearest[(points == chosen[0]).all(axis=1)] = 0
+    while len(chosen) < k:
         share = nearest * weights
-        chosen.append(rows[rng.choice(len(rows), p=share / share.sum())])
-        nearest = np.minimum(nearest, ((rows - chosen[-1]) ** 2).sum(axis=1))
-    return np.array(chosen)
+        if not share.sum() > 0:
+            raise ValueError(f"k-means needs {k} distinct vectors, there are {len(chosen)}")
+        tried = rng.choice(len(points), size=2 + int(np.log(k)), p=share / share.sum())
+        after = np.minimum(nearest[None, :], _squares(points, points[tried]).T)
+        best = int((after * weights).sum(axis=1).argmin())
+        chosen.append(points[tried[best]])
+        nearest = after[best]
+        nearest[(points == chosen[-1]).all(axis=1)] = 0
+    centres = np.array(chosen)
+    for _ in range(10):
+        near = _squares(points, centres).argmin(axis=1)
+        own = np.bincount(near, weights, k)
+        if not (own > 0).all():
+            return np.array(chosen)
+        centres = np.stack([np.bincount(near, weights * x, k) for x in points.T], axis=1) / own[:, None]
+    return centres
+
+
+def _steps(batches: Iterator[pa.RecordBatch], fits: dict[int, np.ndarray], shift: np.ndarray, saved: tuple | None, keep: bool) -> Iterator[pa.RecordBatch]:
+    """A task's part of a pass: sums for each fit and, with ``keep``, its rows with their bounds.
+
+    ``saved`` has the fits whose bounds come along with the rows, and their centres then."""
+    fit_ids = list(fits)
+    held = {f: np.zeros(len(c) * (len(shift) + 1) + 2) for f, c in fits.items()}
+    apart, moved = {}, {}
+    for f, c in fits.items():
+        between = np.sqrt(_squares(c, c))
+        np.fill_diagonal(between, np.inf)
+        apart[f] = between.min(axis=1) / 2
+        if saved:
+            moved[f] = np.sqrt(((c - saved[1][f]) ** 2).sum(axis=1))
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        x, n = _matrix(batch.column(0)) - shift, batch.column(1).to_numpy().astype(float)
+        if saved:
+            nears, uppers, lowers = (_matrix(batch.column(j)) for j in (2, 3, 4))
+        new = [np.zeros((rows, len(fits)), kind) for kind in (np.int16, np.float32, np.float32)] if keep else None
+        weighted, square = x * n[:, None], float(((x**2).sum(axis=1) * n).sum())
+        for place, (f, c) in enumerate(fits.items()):
+            k = len(c)
+            if saved:
+                at = saved[0].index(f)
+                near = nears[:, at].astype(np.int64)
+                upper = uppers[:, at] + moved[f][near]
+                lower = lowers[:, at] - moved[f].max()
+                look = np.flatnonzero(upper * (1 + SLACK) >= np.maximum(lower, apart[f][near]) * (1 - SLACK))
+            else:
+                near, upper, lower = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
+                look = np.arange(rows)
+            if len(look):
+                far = _squares(x[look], c)
+                near[look] = far.argmin(axis=1)
+                two = np.partition(far, 1, axis=1)[:, :2] if k > 1 else np.stack([far[:, 0], np.full(len(look), np.inf)], axis=1)
+                upper[look], lower[look] = np.sqrt(two[:, 0]), np.sqrt(two[:, 1])
+            sums = held[f]
+            for j in range(x.shape[1]):
+                sums[j * k:(j + 1) * k] += np.bincount(near, weighted[:, j], k)
+            sums[-k - 2:-2] += np.bincount(near, n, k)
+            sums[-2] += square
+            sums[-1] += len(look) * k
+            if keep:
+                new[0][:, place], new[1][:, place], new[2][:, place] = near, upper * (1 + SLACK), lower * (1 - SLACK)
+        if keep:
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in (_matrix(batch.column(0)), *new)]
+            yield pa.RecordBatch.from_arrays([lists[0], batch.column(1), *lists[1:],
+                                              pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.float64()))], ["x", "n", "near", "upper", "lower", "fit", "sums"])
+    sums = [pa.array(fit_ids, pa.int32()), pa.array([held[f] for f in fit_ids], pa.list_(pa.float64()))]
+    if keep:
+        kinds = (pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(fits), t) for t in kinds), *sums], ["x", "n", "near", "upper", "lower", "fit", "sums"])
+    else:
+        yield pa.RecordBatch.from_arrays(sums, ["fit", "sums"])
 
 
-def partial_sums(rows: np.ndarray, fits: dict[int, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, int, float]]:
-    """(fit, cluster, sum, count, cost) of ``rows`` at the centres of each fit."""
-    square = (rows**2).sum(axis=1)
-    for f, centres in fits.items():
-        distance = square[:, None] - 2 * rows @ centres.T + (centres**2).sum(axis=1)[None, :]
-        nearest = distance.argmin(axis=1)
-        cost = np.maximum(distance[np.arange(len(rows)), nearest], 0)
-        for c in np.unique(nearest):
-            own = nearest == c
-            yield f, int(c), rows[own].sum(axis=0), int(own.sum()), float(cost[own].sum())
+class _Rows:
+    """The rows as the passes read them, with bounds from the last time they were written."""
 
+    def __init__(self, data: DataFrame) -> None:
+        self.spark, self.read = data.sparkSession, data
+        self.saved: tuple | None = None
+        self.path: str | None = None
 
-def _pass(data: DataFrame, fits: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[np.ndarray, int, float]]:
-    """Sum, count and cost of every cluster of every fit: one pass over the data."""
-    shared = data.sparkSession.sparkContext.broadcast(fits)
+    def run(self, fits: dict[int, np.ndarray], shift: np.ndarray, keep: bool) -> dict[int, np.ndarray]:
+        """One pass over the rows at the fits' centres; with ``keep`` it writes new bounds."""
+        shared = self.spark.sparkContext.broadcast((fits, shift, self.saved))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _steps(batches, *shared.value, keep)
 
-        part, held = TaskContext.get().partitionId() % 64, {}
-        for batch in batches:
-            if len(batch):
-                for f, c, total, n, cost in partial_sums(np.stack(batch["x"].to_numpy()), shared.value):
-                    old = held.get((f, c), (0.0, 0, 0.0))
-                    held[f, c] = old[0] + total, old[1] + n, old[2] + cost
-        yield pd.DataFrame([(f, c, part, list(t), n, cost) for (f, c), (t, n, cost) in held.items()],
-                           columns=["fit", "cluster", "part", "total", "n", "cost"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        return pd.DataFrame([(first["fit"], first["cluster"], first["part"], list(np.sum(np.stack(rows["total"].to_numpy()), axis=0)),
-                              rows["n"].sum(), rows["cost"].sum())], columns=rows.columns)
-
-    sums = data.mapInPandas(assign, _SUMS).groupBy("fit", "cluster", "part").applyInPandas(add, _SUMS)
-    out: dict[tuple[int, int], tuple[np.ndarray, int, float]] = {}
-    for r in sums.collect():  # at most 64 model-sized parts
-        old = out.get((r["fit"], r["cluster"]), (0.0, 0, 0.0))
-        out[r["fit"], r["cluster"]] = old[0] + np.array(r["total"]), old[1] + r["n"], old[2] + r["cost"]
-    return out
+        if not keep:
+            return _added(self.read.mapInArrow(task, _SUMS))
+        schema, path, old = f"{_STATE}, {_SUMS}", scratch_path(self.spark, f"kmeans-{uuid.uuid4().hex}"), self.path
+        self.read.mapInArrow(task, schema).write.parquet(path)
+        written = self.spark.read.schema(schema).parquet(path)
+        self.read, self.path, self.saved = written.where("fit IS NULL").select("x", "n", "near", "upper", "lower"), path, (list(fits), fits)
+        sums = _added(written.where("fit IS NOT NULL").select("fit", "sums"))
+        self.remove(old)
+        return sums
 
+    def remove(self, path: str | None) -> None:
+        if path:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e-4) -> list[Fit]:
+
+def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e-4, bounds: bool = True) -> list[Fit]:
     """Move the centres of all fits until none moves by more than ``tol`` or ``max_iter`` steps are
-    done.  An empty cluster keeps its centre.  ``cost`` is the inertia at the final centres."""
+    done.  An empty cluster keeps its centre.  ``cost`` is the inertia at the final centres.
+
+    ``data`` has arrays ``x`` and may have their number of rows ``n``.  Without ``bounds`` every pass compares all rows."""
+    rows = data if "n" in data.columns else data.withColumn("n", F.lit(1).cast("long"))
+    mean = _mean(rows)
+    state = _Rows(rows.select("x", "n"))
     active = dict(enumerate(fits))
     for step in range(max_iter + 1):
         if not active:
             break
-        sums = _pass(data, {i: f.centres for i, f in active.items()})
+        power = bounds and step > 0 and step & (step - 1) == 0 and step < max_iter
+        sums = state.run({i: f.centres - mean for i, f in active.items()}, mean, power)
         for i, f in list(active.items()):
-            own = {c: v for (j, c), v in sums.items() if j == i}
-            f.cost, f.iterations = sum(v[2] for v in own.values()), step
+            k, own = len(f.centres), sums[i]
+            total, n = own[:-k - 2].reshape(-1, k).T, own[-k - 2:-2]
+            now = f.centres - mean
+            f.cost = float(own[-2] - 2 * (now * total).sum() + (n * (now**2).sum(axis=1)).sum())
+            f.iterations = step
+            f.distances.append(int(own[-1]))
             moved = f.centres.copy()
-            for c, (total, n, _) in own.items():
-                moved[c] = total / n
+            moved[n > 0] = total[n > 0] / n[n > 0, None] + mean
             f.converged = bool(np.sqrt(((moved - f.centres) ** 2).sum(axis=1)).max() <= tol)
             if f.converged or step == max_iter:
                 del active[i]
             else:
                 f.centres = moved
+    state.remove(state.path)
     late = [(f.k, f.seed) for f in fits if not f.converged]
     if late and max_iter > 20:
         warnings.warn(f"k-means stopped at {max_iter} iterations without converging for (k, seed) in {late}", stacklevel=2)
@@ -153,11 +308,14 @@ def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
 
 
 def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> dict[int, Fit]:
-    """The fit with the lowest inertia (lowest seed on a tie) of each k, from arrays in ``x``."""
-    sample, weights = _sample(data, max(START_ROWS, *(k for k, _ in specs)))
-    if not len(sample):
+    """The fit with the lowest inertia (lowest seed on a tie) of each k, from distinct arrays in ``x`` with ``n`` rows each.
+    Fewer than k distinct vectors raise ``ValueError``."""
+    k, seeds = max(k for k, _ in specs), sorted({s for _, s in specs})
+    mean = _mean(data)
+    if not len(mean):
         raise ValueError("k-means needs rows")
-    fits = lloyd(data, [Fit(k, seed, _start(sample, weights, k, seed)) for k, seed in specs], max_iter, tol)
+    drawn = candidates(data, seeds, k, mean)
+    fits = lloyd(data, [Fit(k, seed, start(*drawn[seed], k, seed) + mean) for k, seed in specs], max_iter, tol)
     best: dict[int, Fit] = {}
     for f in sorted(fits, key=lambda f: (f.cost, f.seed)):
         best.setdefault(f.k, f)
@@ -165,11 +323,11 @@ def fit_many(data: DataFrame, specs: Sequence[tuple[int, int]], max_iter: int =
 
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, restarts: int = 10,
-               max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> tuple[np.ndarray, float]:
+               max_iter: int = 300, tol: float = 1e-4) -> tuple[np.ndarray, float]:
     """M3 fit: (centres, inertia) of the best of the seeds ``seed .. seed+restarts-1``."""
     if k < 2:
         raise ValueError("k-means needs k >= 2; use inertia_k1 for k = 1")
-    data = _vectors(df, features, checkpoint)
+    data = _vectors(df, features)
     best = fit_many(data, [(k, seed + r) for r in range(max(1, restarts))], max_iter, tol)[k]
     return best.centres, best.cost
 
@@ -186,10 +344,10 @@ def relabel_order(centres: Sequence[np.ndarray]) -> list[int]:
 
 
 def kmeans(df: DataFrame, k: int, features: str = "features", out: str = "cluster", seed: int = 42,
-           restarts: int = 10, max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> DataFrame:
+           restarts: int = 10, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """M3: fit (with restarts) and assign each row its nearest centre; clusters are numbered by
     :func:`relabel_order`."""
-    centres, _ = fit_kmeans(df, k, features, seed, restarts, max_iter, tol, checkpoint)
+    centres, _ = fit_kmeans(df, k, features, seed, restarts, max_iter, tol)
     order = relabel_order(centres)
     ordered = [centres[order.index(i)] for i in range(len(centres))]
     return assign_nearest(df, ordered, vector=features, out=out)
@@ -204,18 +362,15 @@ def inertia_k1(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 def elbow(df: DataFrame, ks: Iterable[int], features: str = "features", seed: int = 42, restarts: int = 10,
-          max_iter: int = 300, tol: float = 1e-4, checkpoint: bool = True) -> DataFrame:
+          max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """M4: inertia for each k (k = 1 in closed form).  Returns (k, inertia)."""
     spark = df.sparkSession
     ks = list(ks)
-    data = _vectors(df, features, checkpoint)
+    data = _vectors(df, features)
     specs = [(k, seed + r) for k in ks if k >= 2 for r in range(max(1, restarts))]
     rows = [(k, f.cost) for k, f in sorted(fit_many(data, specs, max_iter, tol).items())] if specs else []
-    if 1 in ks:
-        from pyspark.ml.functions import array_to_vector
-
-        one = data.select(array_to_vector("x").alias(features))
-        rows = [(1, float(inertia_k1(one, features).first()["inertia"])), *rows]
+    if 1 in ks:  # one centre is the mean
+        rows = [(1, lloyd(data, [Fit(1, 0, _mean(data)[None, :])], max_iter=0)[0].cost), *rows]
     return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
 
 

@@ -105,11 +105,12 @@ def test_kmeans_refuses_nan(spark):
         kmeans(df, 2)
 
 
-def test_kmeans_with_fewer_distinct_rows_than_centres(spark):
+def test_kmeans_with_fewer_distinct_rows_than_centres_raises(spark):
     from pyspark.ml.linalg import Vectors
 
     df = spark.createDataFrame([(i, Vectors.dense([float(i % 2)])) for i in range(10)], ["k", "features"])
-    assert kmeans(df, 4).select("cluster").distinct().count() == 2
+    with pytest.raises(ValueError, match="distinct"):
+        kmeans(df, 4)
 
 
 def test_kmeans_on_many_copies_of_few_vectors(spark):
@@ -119,3 +120,60 @@ def test_kmeans_on_many_copies_of_few_vectors(spark):
     df = spark.createDataFrame([(i, Vectors.dense([float(i % 10), float(i % 10 == 3)])) for i in range(10_000)], ["k", "features"])
     out = kmeans(df, 8, restarts=2).groupBy("cluster").count().collect()
     assert len(out) == 8 and sum(r["count"] for r in out) == 10_000
+
+
+def test_seeding_finds_a_cluster_of_a_ten_thousandth_of_the_rows(spark):
+    """Four rows of 40,000 lie far out; the 4000 rows with the smallest hashes hold none of them."""
+    from peerpanel.operators.cluster import _mean, _vectors, candidates
+    from peerpanel.operators.features import assemble
+
+    rng = np.random.default_rng(0)
+    pts = np.concatenate([rng.normal(0, 1, (39_996, 3)), rng.normal(300, 0.1, (4, 3))])
+    df = assemble(spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in pts], "a double, b double, c double"), ["a", "b", "c"])
+    data = _vectors(df, "features")
+    by_hash = data.orderBy(F.xxhash64("x")).limit(4000)
+    assert by_hash.where(F.col("x")[0] > 100).count() == 0
+    for n in (1, 5):
+        mean = _mean(data)
+        drawn = candidates(data.repartition(n), [1, 2, 3], 2, mean)
+        assert all(((points + mean)[:, 0] > 100).any() and weights.sum() == 40_000 for points, weights in drawn.values())
+    centres, _ = fit_kmeans(df, 2, restarts=2)
+    assert sorted(round(float(c[0]) / 100) for c in centres) == [0, 3]
+
+
+def test_bounds_give_the_centres_of_plain_lloyd_with_fewer_distances(spark):
+    from peerpanel.operators.cluster import Fit, lloyd
+    from peerpanel.session import cut_lineage
+
+    rng = np.random.default_rng(4)
+    pts = np.concatenate([rng.normal(c, 1.5, (400, 4)) for c in rng.uniform(0, 20, (8, 4))]) + 1e4
+    data = cut_lineage(spark.createDataFrame([(p.tolist(), int(n)) for p, n in zip(pts, rng.integers(1, 4, len(pts)))], "x array<double>, n long").repartition(3))
+    fits = lambda: [Fit(k, k, pts[rng_.choice(len(pts), k, replace=False)]) for k, rng_ in ((k, np.random.default_rng(k)) for k in (2, 8, 12))]
+    plain, bound = lloyd(data, fits(), tol=0.0, bounds=False), lloyd(data, fits(), tol=0.0)
+    for a, b in zip(plain, bound):
+        assert a.iterations == b.iterations and np.abs(a.centres - b.centres).max() <= 1e-9 * np.abs(a.centres).max()
+        assert a.cost == pytest.approx(b.cost, rel=1e-9)
+        assert set(a.distances) == {len(pts) * a.k}
+    long = max(bound, key=lambda f: f.iterations)
+    assert long.distances[-1] < 0.5 * long.distances[0] and sum(long.distances) < 0.8 * len(pts) * long.k * len(long.distances)
+
+
+def test_kmeans_on_executors_without_the_package(tmp_path):
+    """The package is on the driver's path only, and tasks start in a folder without it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from pyspark.ml.linalg import Vectors
+from peerpanel.operators.cluster import kmeans
+df = s.createDataFrame([(i, Vectors.dense([float(i % 5), float(i % 3)])) for i in range(60)], ["k", "features"])
+print("clusters", kmeans(df, 3, restarts=2).select("cluster").distinct().count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "clusters 3" in done.stdout, done.stderr[-2000:]
