@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_folder
 
 MIN_REVISIT = 100
-#: Payload bytes after which a task goes on with a new package, and bytes a read range has at least.
+#: Payload bytes after which a task goes on with a new package, and bytes a read range has at most (or one record).
 PACKAGE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
+#: Archive bytes a reading task has at most, about.
+TASK_BYTES = 128 << 20
 DATE = "2000-01-01T00:00:00Z"
 # Fixed names and numbers of the formats.
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -68,20 +70,18 @@ def record(kind: str, key: int | None, url: str | None, payload: bytes, digest:
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of the gzip members in ``data``."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        if not member.eof:
-            raise ValueError("a record ends early")
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, rest[:int(headers["content-length"])]
+def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers by lower-case name, block) of a gzip member."""
+    reader = zlib.decompressobj(31)
+    raw = reader.decompress(member) + reader.flush()
+    if not reader.eof:
+        raise ValueError("a record ends early")
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return headers, rest[:int(headers["content-length"])]
 
 
 def zip_members(f, size: int) -> dict[str, tuple[int, int]]:
@@ -206,7 +206,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, starts, lengths = [], [], []
+            found: list[tuple] = []  # path, first byte, and where in the range its records begin and end
             for path in batch.column(0).to_pylist():
                 system, local = file_system(path)
                 with system.open_input_file(local) as f:
@@ -214,28 +214,29 @@ def read_archives(packages: DataFrame) -> DataFrame:
                     base, _ = members[DATA_MEMBER]
                     at, n = members[INDEX_MEMBER]
                     f.seek(at)
-                    start = end = 0
-                    for line in f.read(n).decode().splitlines():
-                        entry = json.loads(line.partition(" ")[2])
-                        end = entry["offset"] + entry["length"]
-                        if end - start >= RANGE_BYTES:
-                            paths.append(path), starts.append(base + start), lengths.append(end - start)
-                            start = end
-                    if end > start:
-                        paths.append(path), starts.append(base + start), lengths.append(end - start)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], ["path", "start", "length"])
+                    entries = (json.loads(line.partition(" ")[2]) for line in f.read(n).decode().splitlines())
+                    start, cuts = 0, []
+                    for begin, end in sorted((e["offset"], e["offset"] + e["length"]) for e in entries):
+                        if not cuts or end - start > RANGE_BYTES:
+                            start, cuts = begin, []
+                            found.append((path, base + start, cuts))
+                        cuts += [begin - start, end - start]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 3
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["path", "start", "cuts"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, local = file_system(path)
                 with system.open_input_file(local) as f:
                     f.seek(start)
-                    data = f.read(length)
+                    data = f.read(cuts[-1])
                 rows = []
-                for head, block in parse_records(data):
+                for begin, end in zip(cuts[::2], cuts[1::2], strict=True):
+                    head, block = parse_record(data[begin:end])
                     http, _, payload = block.partition(b"\r\n\r\n")
                     sha = head["warc-payload-digest"].partition(":")[2]
                     whole = head["warc-type"] == "response"
@@ -251,7 +252,11 @@ def read_archives(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    found = packages.select("path").mapInArrow(ranges, "path string, start long, length long").repartition("path", "start")
+    found = materialise(packages.select("path").mapInArrow(ranges, "path string, start long, cuts array<long>"))
+    # as many tasks as the bytes ask for, and as the session wants where there are ranges enough
+    size = found.agg(F.count("*").alias("ranges"), F.sum(F.element_at("cuts", -1)).alias("bytes")).first()
+    tasks = max(1, min(size["ranges"], max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // TASK_BYTES)))
+    found = found.repartition(tasks)
     return found.mapInArrow(read, "key long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
