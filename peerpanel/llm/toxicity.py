@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Largest number of labelled documents of each label in the fit.
 SAMPLE = 4000
-#: Lengths of word beginnings that are features, and the largest number of weighted features.
+#: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
-MAX_FEATURES = 20_000
 #: A feature is telling from this logarithm of the ratio of its shares, and must be in so many documents
 #: of the label that it tells.
 MIN_LOG, MIN_DOCS = 2.0, 2
@@ -128,29 +129,27 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on at most ``sample`` documents of each label.
 
     Rows of ``labels`` with a null key or label are left out; of several labels of a key the
-    largest counts."""
+    largest counts.  Of several rows of a key the smallest text is fitted, and each row counts in its label's weight."""
     truth = (labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col(key).alias("_key")).agg(F.when(F.max("toxic") > 0, 1).otherwise(0).alias("_toxic")))
     keys = docs.select(F.col(key).alias("_key")).join(truth, "_key").select("_key", "_toxic")
     by_hash = [F.xxhash64("_key"), F.col("_key")]
-    taken = keys.where("_toxic = 1").orderBy(*by_hash).limit(sample).union(keys.where("_toxic = 0").orderBy(*by_hash).limit(sample))
-    chosen = {r["_key"]: r["_toxic"] for r in taken.collect()}  # at most 2 * sample
+    distinct = keys.distinct()
+    sampled = materialise(distinct.where("_toxic = 1").orderBy(*by_hash).limit(sample)
+                          .union(distinct.where("_toxic = 0").orderBy(*by_hash).limit(sample)))  # at most 2 * sample rows
+    size = {r["_toxic"]: r["count"] for r in sampled.groupBy("_toxic").count().collect()}
     labelled = {r["_toxic"]: r["count"] for r in keys.groupBy("_toxic").count().collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    n1 = sum(chosen.values())
-    n0 = len(chosen) - n1
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def sampled(batch: pa.RecordBatch) -> Iterator[tuple[object, int, str | None]]:
-        for k, v in enumerate(batch.column(0).to_pylist()):
-            if v in shared.value:
-                yield v, shared.value[v], batch.column(1)[k].as_py()
+    n0, n1 = size.get(0, 0), size.get(1, 0)
+    of = sampled.select(F.col("_key").alias("of"), F.col("_toxic").alias("toxic"))
+    # the texts of the sample only, one for each key, written once for both passes
+    rows = materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(of), F.col("key") == F.col("of"))
+                       .groupBy("key", "toxic").agg(F.min("text").alias("text")))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Toxic and other documents of the task with each feature."""
         seen = (Counter(), Counter())
         for batch in batches:
-            for _, y, t in sampled(batch):
+            for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen[1 - y].update(features(t).keys())
         names = sorted({*seen[0], *seen[1]})
         for at in range(0, len(names), 10_000):
@@ -161,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     telling = (rows.mapInArrow(frequencies, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
                .select("feature", ratio.alias("ratio"), F.when(ratio > 0, F.col("a")).otherwise(F.col("b")).alias("n"))
-               .where((F.col("n") >= MIN_DOCS) & (F.abs("ratio") >= MIN_LOG)).orderBy(F.desc(F.abs("ratio")), "feature").limit(MAX_FEATURES))
+               .where((F.col("n") >= MIN_DOCS) & (F.abs("ratio") >= MIN_LOG)))  # features of a bounded number of texts
     weights = {r["feature"]: r["ratio"] for r in telling.collect()} if n0 and n1 else {}
     if not weights:
         return fit_ordinal([], {})
@@ -169,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(str(v), y, {f: n for f, n in features(t).items() if f in table.value}) for v, y, t in sampled(batch)]
+            found = [(str(v), y, {f: n for f, n in features(t).items() if f in table.value})
+                     for v, y, t in zip(*(batch.column(c).to_pylist() for c in ("key", "toxic", "text")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, _, _ in found], pa.string()), pa.array([y for _, y, _ in found], pa.int32()),
                  pa.array([list(own.items()) for _, _, own in found], pa.map_(pa.string(), pa.int64()))], ["key", "toxic", "own"])
