@@ -39,9 +39,17 @@ def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) as a preference pair, for every k."""
-    conv = F.col("conv_id")
-    out = preferences.format_preferences(table(spark, sf_dir, "conversations"), F.shiftright(conv, 1), conv.bitwiseAND(F.lit(1)) == 0)
+    """Two preference pairs for every k.  2k: conversations 2k (chosen) and 2k + 1 (rejected); 2k + 1: conversation 2k as it
+    is (chosen), and with its last turn replaced by the last turn of conversation 2k + 1 (rejected)."""
+    turns = table(spark, sf_dir, "conversations")
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("end")).withColumnRenamed("conv_id", "of")
+    conv, last = F.col("conv_id"), F.col("turn").eqNullSafe(F.col("end"))
+    even = conv.bitwiseAND(F.lit(1)) == 0
+    side = lambda offset, chosen: F.struct(F.lit(offset).alias("offset"), F.lit(chosen).alias("chosen"))
+    sides = (F.when(even & last, F.array(side(0, True), side(1, True))).when(even, F.array(side(0, True), side(1, True), side(1, False)))
+             .when(last, F.array(side(0, False), side(1, False))).otherwise(F.array(side(0, False))))
+    rows = turns.join(ends, conv == F.col("of")).select(*turns.columns, F.inline(sides))
+    out = preferences.format_preferences(rows, conv - conv.bitwiseAND(F.lit(1)) + F.col("offset"), F.col("chosen"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select(F.col("pair").alias("pair_id"), "prefix_turns", "prompt", "chosen", "rejected",
                       text("chosen_spans").alias("chosen_mask"), text("rejected_spans").alias("rejected_mask"))
@@ -170,8 +178,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _B, _E = preferences.BEGIN, preferences.END.replace("\n", "")
 _PREFERENCE_SQL = f"""
-WITH t AS (SELECT DISTINCT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
+WITH l AS (SELECT *, turn IS NOT DISTINCT FROM max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT *, conv_id - (conv_id & 1) AS pair_id, conv_id & 1 AS side FROM l
+      UNION ALL SELECT *, conv_id + 1, 0 FROM l WHERE conv_id & 1 = 0
+      UNION ALL SELECT *, conv_id - (conv_id & 1) + 1, 1 FROM l WHERE (conv_id & 1 = 1) = last),
+t AS (SELECT DISTINCT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM s),
 o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k,
              '{_B}' || role || chr(10) || text || '{_E}' || chr(10) AS r FROM t),
 p AS (SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k))::INT AS prefix_turns
