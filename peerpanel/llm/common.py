@@ -30,6 +30,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Bitmaps of 4 KB, for 32,768 places each, that are broadcast at most.
+MAX_BITMAPS = 16_384
+
+
+def at_places(placed: DataFrame, row: str, places: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose ``row`` (a place from ``monotonically_increasing_id``) is in column ``place`` of
+    ``places``; the columns are those of ``placed``.
+
+    The places are folded into bitmaps, an eighth of a byte a row, so the rows themselves (with their texts) are not shuffled
+    as long as the bitmaps may be broadcast; beyond that rows and places are joined."""
+    bits, bucket = free_name(placed, "_bits"), free_name(placed, "_bucket")
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    bit = F.col("place").bitwiseAND(F.lit(32767))
+    maps = materialise(places.groupBy(F.shiftright("place", 15).alias(bucket)).agg(F.bitmap_construct_agg(bit).alias(bits)))
+    at = placed[quoted(row)]
+    if maps.count() > MAX_BITMAPS:
+        return placed.join(places, at == places["place"], "left_semi")
+    byte = f"conv(hex(substring({bits}, int(({quoted(row)} & 32767) >> 3) + 1, 1)), 16, 10)"
+    joined = placed.join(F.broadcast(maps), F.shiftright(at, 15) == maps[bucket])
+    return joined.where(F.expr(f"(int({byte}) >> int({quoted(row)} & 7)) & 1 = 1")).select(*(placed[quoted(c)] for c in placed.columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` names it
     (also inside lambdas, where an expression would be computed once per element)."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 from .url_rules import host_of
 
 #: Tokens of the shortest repeated substring, and pages it must be found in.
@@ -45,13 +45,31 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising spon
     share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar skip tags""".split())
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
+#: What a name that begins with one of the above goes on with, as in ``comment-list``; ``has-sidebar`` and ``ad-free`` are no such names.
+CONTAINERS = frozenset("""area banner bar block box container content feed footer form header inner items left links list menu modal nav notice panel popup
+    posts right section slot thread top unit widget wrap wrapper""".split())
+
+# Possessive all through: what an unfinished tag or an open quote has matched is not tried again, so a page is read in linear time.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|math|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\s+|/|[^\s\"'>]+|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-z!?][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+    r"|<(script|style|noscript|template|title|svg|math|xmp|noembed|noframes)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>"
+    r"|</?[a-z!?][^>]*+(?:>|\Z)", re.IGNORECASE | re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+_NOT_SHOWN = re.compile(r"display\s*+:\s*+none", re.IGNORECASE)
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a start tag by lower-case name; of a repeated one the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def named_like_chrome(name: str) -> bool:
+    first, _, rest = name.partition("-")
+    return name in CHROME_NAMES or (first in CHROME_NAMES and rest.rpartition("-")[2] in CONTAINERS)
 
 
 def element_kind(tag: str, attributes: str, in_main: bool) -> str:
@@ -59,24 +77,22 @@ def element_kind(tag: str, attributes: str, in_main: bool) -> str:
 
     ``wrap`` is chrome that an ``article`` or ``main`` inside turns off: a form, or an element outside
     of the article that is only named like chrome."""
+    own = attributes_of(attributes) if attributes.strip() else {}
+    hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(own.get("style", "")) is not None
     if tag == "form" and not in_main:
-        return "chrome" if _HIDDEN.search(attributes) else "wrap"
+        return "chrome" if hidden else "wrap"
     if tag in CHROME or (tag == "header" and not in_main):
         return "chrome"
-    names: set[str] = set()
-    if attributes.strip():
-        if _HIDDEN.search(attributes) and tag not in ("html", "body"):
-            return "chrome"
-        for m in _ATTRIBUTE.finditer(attributes):
-            names.update((m[2] or m[3] or m[4] or "").lower().split())
+    if hidden and tag not in ("html", "body"):
+        return "chrome"
+    names = {n for a in ("class", "id", "role") for n in own.get(a, "").lower().split()}
     if tag in MAIN:
         return "main" if not names & {"comment", "comments"} else "chrome"
-    if tag in ("html", "body", "h1"):
+    if tag in INLINE or tag in ("html", "body", "h1"):  # a name on a part of a sentence says how it looks
         return ""
-    found = names & CHROME_NAMES
-    if found - ({"header"} if in_main else set()):
+    if any(named_like_chrome(n) and not (in_main and n.partition("-")[0] == "header") for n in names):
         return "chrome" if in_main else "wrap"
-    return "main" if names & MAIN_NAMES and tag not in INLINE else ""
+    return "main" if names & MAIN_NAMES else ""
 
 
 def page_blocks(page: str | None) -> list[tuple[str, str]]:
@@ -202,9 +218,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     ``pages`` with the new names are replaced.  Rows are told apart by their place in
     ``pages``, which must read the same twice (write a computed frame first).
     """
-    rows = (pages.drop(*(c for c in ("text", "n_chars") if c != html)).withColumnRenamed(html, "_html")
-            .withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", host_of(F.col(url))))
-    array = suffix_array(rows)
+    own = pages.drop(*(c for c in ("text", "n_chars") if c != html))
+    row, host, page = (free_name(own, c) for c in ("_row", "_host", "_html"))
+    rows = (own.withColumnRenamed(html, page).withColumn(row, F.monotonically_increasing_id())
+            .withColumn(host, host_of(F.col(page if url == html else url))))
+    parts = (row, host, page)
+    array = suffix_array(rows.select(*parts))
     repeated = materialise(
         array.select("host", "key", "stream").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
         .where(F.col("n") >= MIN_PAGES).select(F.col("host").alias("_at_host"), F.col("key").alias("_key")))
@@ -213,10 +232,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                kept = [j for j, p in enumerate(part.column("_html").to_pylist()) if undecided(page_blocks(p))]
+                kept = [j for j, p in enumerate(part.column(page).to_pylist()) if undecided(page_blocks(p))]
                 yield part.take(pa.array(kept, pa.int64()))
 
-    keep = [f for f in rows.schema.fields if f.name not in ("_html", "_row", "_host")]
+    at = free_name(rows, "_at")
+    keep = [f for f in rows.schema.fields if f.name not in parts]
     names = [f.name for f in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string, n_chars long"])
 
@@ -225,9 +245,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                blocks = [page_blocks(p) for p in part.column("_html").to_pylist()]
-                if "_at" in part.schema.names:
-                    found = [main_text(b, at) for b, at in zip(blocks, part.column("_at").to_pylist(), strict=True)]
+                blocks = [page_blocks(p) for p in part.column(page).to_pylist()]
+                if at in part.schema.names:
+                    found = [main_text(b, where) for b, where in zip(blocks, part.column(at).to_pylist(), strict=True)]
                 else:
                     kept = [j for j, b in enumerate(blocks) if not undecided(b)]
                     part, found = part.take(pa.array(kept, pa.int64())), [main_text(blocks[j], None) for j in kept]
@@ -236,15 +256,15 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     # only pages with text that markup leaves open are shuffled with their html
     left_open = rows.mapInArrow(open_only, rows.schema)
-    covered = (suffix_array(left_open)
+    covered = (suffix_array(left_open.select(*parts))
                .join(repeated, (F.col("host") == F.col("_at_host")) & (F.col("key") == F.col("_key")), "left_semi")
-               .groupBy(F.col("row").alias("_of")).agg(F.collect_list("at").alias("_at")))  # at most a page's tokens
-    resolved = left_open.join(covered, F.col("_row") == F.col("_of"), "left").select(*names, "_html", "_at")
-    return rows.select(*names, "_html").mapInArrow(texts, schema).unionByName(resolved.mapInArrow(texts, schema))
+               .groupBy(F.col("row").alias("of")).agg(F.collect_list("at").alias("at")))  # at most a page's tokens
+    resolved = left_open.join(covered, left_open[row] == covered["of"], "left").select(*(left_open[c] for c in (*names, page)), covered["at"].alias(at))
+    return rows.select(*names, page).mapInArrow(texts, schema).unionByName(resolved.mapInArrow(texts, schema))
 
 
 def suffix_array(rows: DataFrame) -> DataFrame:
-    """(row, host, key, at, stream): a row per suffix of a page's stream; the key is its first ``RUN`` tokens."""
+    """(row, host, key, at, stream) from (row, host, html): a row per suffix of a page's stream; the key is its first ``RUN`` tokens."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -253,7 +273,7 @@ def suffix_array(rows: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 200):
                 out: list[list] = [[], [], [], [], []]
                 part = batch.slice(k, 200)
-                for row, host, page in zip(*(part.column(c).to_pylist() for c in ("_row", "_host", "_html")), strict=True):
+                for row, host, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     tokens = [t for _, t in stream(page_blocks(page))]
                     digest = xxhash.xxh64_intdigest("\x01".join(tokens)) >> 1
                     for p in range(max(1, len(tokens) - RUN + 1) if tokens else 0):
@@ -263,4 +283,4 @@ def suffix_array(rows: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["row", "host", "key", "at", "stream"])
 
-    return rows.select("_row", "_host", "_html").mapInArrow(suffixes, "row long, host string, key long, at int, stream long")
+    return rows.mapInArrow(suffixes, "row long, host string, key long, at int, stream long")
