@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, literal_table, materialise, words
+from .common import at_places, free_name, let, literal_table, materialise, words
 
 WINDOW = 5
 #: The base rule: too few words, or over this per cent of words in repeated windows.
@@ -163,8 +163,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, columns as they are.
 
-    Rows are told apart by their place in ``docs``, which must read the same twice (a table does)."""
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    small = placed.select("_row", F.col(key), F.col(stratum), "text")
-    judged = judge(small, labels, stratum, key).where("kept").select(F.col("_row").alias("_kept"))
-    return placed.join(judged, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
+    Rows are told apart by their place in ``docs``, which must read the same twice (a table does); texts are not shuffled."""
+    row = free_name(docs, "_row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    small = placed.select(F.col(row).alias("place"), F.col(key).alias("key"), F.col(stratum).alias("stratum"), "text")
+    judged = judge(small, labels.withColumnRenamed(key, "key"), "stratum", "key").where("kept").select("place")
+    return at_places(placed, row, judged).select(docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import at_places, free_name, materialise
 from .components import connected_components
 
 BITS = 64
@@ -130,10 +130,10 @@ def one_of_each(docs: DataFrame, shingle_words: int, max_bits: int, key: str = "
     """One row of each component, as it is in ``docs``: the one with the smallest ``key`` (null last).
 
     Rows that share this key are told apart by their place in ``docs``, which must read the same
-    twice (a table does).  Only fingerprints and places are shuffled, and the texts of the chosen
-    rows' partitions are read again."""
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    hashed = materialise(fingerprints(placed.select(F.col(key).alias("_key"), "_row", text), shingle_words, text))
-    first = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("k"), F.col("_row").alias("row"))
-    chosen = components_of(hashed, max_bits, first).select(F.col("component.row").alias("_chosen")).distinct()
-    return placed.join(materialise(chosen), F.col("_row") == F.col("_chosen"), "left_semi").select(docs.columns)
+    twice (a table does).  Only fingerprints and places are shuffled; the texts are read again."""
+    row = free_name(docs, "_row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    hashed = materialise(fingerprints(placed.select(F.col(key).alias("_key"), F.col(row).alias("_place"), text), shingle_words, text))
+    first = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("k"), F.col("_place").alias("row"))
+    chosen = materialise(components_of(hashed, max_bits, first).select(F.col("component.row").alias("place")).distinct())
+    return at_places(placed, row, chosen).select(docs.columns)
