@@ -405,3 +405,116 @@ def test_boilerplate_of_a_host_with_two_pages_goes(spark):
     rows = [(k, "http://a.net/x", f"<body><div>{shared}</div><section>Own text of page number {k} with some words</section></body>") for k in range(2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).checkpoint()
     assert sorted(r["text"] for r in host_text.extract(pages).collect()) == [f"Own text of page number {k} with some words" for k in range(2)]
+
+
+def test_unfinished_tags_and_open_quotes_take_linear_time():
+    import time
+
+    n = 1_000_000
+    for page in ("<p>x</p><a href=" + "b" * n, '<p>x</p><a href="' + "b" * n, "<p>" + '<a x="1 ' * (n // 8), "<p a='" + " b=' c=\"" * (n // 8), "a <b " + "c " * (n // 2), "<a" + " " * n,
+                 "<a " + "x=1 " * (n // 4) + '"', "<!--" * (n // 4), "<script " * (n // 8), "<p " + "= " * (n // 2), "<" * n, "<a " + "k='v' " * (n // 6)):
+        began = time.process_time()
+        host_text.page_blocks(page)
+        assert time.process_time() - began < 1, page[:20]
+
+
+def test_words_in_attribute_values_and_inline_names_are_no_markup():
+    text = lambda page: host_text.main_text(host_text.page_blocks(page), None)
+    assert text('<p title="the hidden gem">Text</p>') == "Text"
+    assert text('<div class="flex hidden md:block">Text</div>') == "Text"
+    assert text('<p title="class=ad">Text</p>') == "Text"
+    assert text('<article><p>a <span class="token comment">b</span> <a class="promo">great</a> c</p></article>') == "a b great c"
+    assert text('<article><p>x</p><div class="comment-list">no</div><div class="cookie-banner">no</div></article><div class="related-posts">no</div>') == "x"
+    assert text('<p hidden>no</p><p aria-hidden="true">no</p><p style="display: none">no</p>yes') == "yes"
+    assert text('<div class="ad-free">yes</div><div class="has-sidebar"><main>m</main></div>') == "yes m"
+
+
+def test_columns_named_like_our_own_stay(spark, labels):
+    """Inputs with the names the operators give to places, hosts and pages."""
+    docs = spark.createDataFrame(ROWS, DOCS).withColumns({c: F.lit(-5) for c in ("_row", "place", "kept", "_key", "__row", "bits", "bucket")}).repartition(3).checkpoint()
+    for out in (quality_rules.keep(docs, labels), simhash.one_of_each(docs, 3, 2)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r["_row"] == r["place"] == r["__row"] == -5 for r in rows)
+    names = {c: F.lit(-5) for c in ("_row", "_host", "_html", "_at", "row", "key", "at", "of")}
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<p>one two</p>"), (2, "http://a.net/y", "<article>three</article>")], "page_id long, url string, html string").withColumns(names).checkpoint()
+    got = {r["page_id"]: r for r in host_text.extract(pages).collect()}
+    assert [got[k]["text"] for k in (1, 2)] == ["one two", "three"] and all(got[k][c] == -5 for k in (1, 2) for c in names)
+
+
+def test_places_by_bitmaps_and_by_a_join(spark, monkeypatch):
+    from peerpanel.llm import common
+
+    frame = spark.range(0, 70_000, 1, 2).select("id", F.lit("x").alias("text")).checkpoint()
+    placed = frame.withColumn("p`l", F.monotonically_increasing_id())
+    places = placed.where("id % 3 = 1 OR id IN (0, 32767, 32768, 69999)").select(F.col("`p``l`").alias("place"))
+    want = sorted(x for x in range(70_000) if x % 3 == 1 or x in (0, 32767, 32768, 69999))
+    assert sorted(r["id"] for r in common.at_places(placed, "p`l", places).collect()) == want
+    monkeypatch.setattr(common, "MAX_BITMAPS", 0)
+    assert sorted(r["id"] for r in common.at_places(placed, "p`l", places).collect()) == want
+
+
+def test_many_small_records_of_a_range(spark, monkeypatch, tmp_path):
+    """Ranges smaller than a record, and one range for all; records are cut by the index."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.concat(F.lit("t"), F.col("id") % 7).alias("html")).repartition(2).checkpoint()
+    written = warc_zip.write_archives(pages, f"file:{tmp_path}/a")
+    for size in (1, 5000, 1 << 30):
+        monkeypatch.setattr(warc_zip, "RANGE_BYTES", size)
+        got = warc_zip.read_archives(written).collect()
+        assert sorted((r["key"], bytes(r["payload"])) for r in got) == [(k, b"t%d" % (k % 7)) for k in range(3000)]
+
+
+def test_toxicity_of_a_hot_key(spark):
+    """A key with very many rows is one document of the sample."""
+    rows = [(7, f"vile text {k % 3}", 1) for k in range(3000)] + [(100 + k, "kind words here", 0) for k in range(60)] + [(200 + k, "vile vile", 1) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic").distinct())
+    assert model.exceed(np.array([model.score("vile")]))[0, 0] > 0.5 > model.exceed(np.array([model.score("kind words")]))[0, 0]
+
+
+def test_leaks_have_the_shares_of_a_plain_search(spark):
+    """Every window of every text against every item by plain dynamic programming; text keys."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "nrstlm"]
+    items = {f"item {j}": [rng.choice(vocabulary) for _ in range(rng.choice([9, 30, 44, 70]))] for j in range(12)}
+    docs, planted = [], set()
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 150, 400]))]
+        if k % 2:
+            j = f"item {k % 12}"
+            own = [rng.choice(vocabulary) if rng.random() < (k % 5) * 0.06 else w for w in items[j]]
+            at = rng.randrange(len(words))
+            words[at:at] = own
+        docs.append((k, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in latent_leaks.find_leaks(frame, spark.createDataFrame([(j, " ".join(t)) for j, t in items.items()], "item_id string, text string")).collect()}
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    for k, text in docs:
+        words = text.split()
+        for j, item in items.items():
+            span, half = max(4, 1 << round(np.log2(len(item)))), max(1, len(item) // 2)
+            best = (0, 0)
+            for start in range(0, max(1, len(words) - span + span // 4), span // 4):
+                part = words[max(0, start - half):start + span + half]
+                if len(set(part) & set(item)) > 0.3 * len(item):
+                    best = max(best, (longest(item, part) / len(item), longest(item[-8:], part) / len(item[-8:])))
+            accepted = best[0] >= 0.9 or (best[0] >= 0.65 and best[1] >= 0.75)
+            if (k, j) in found:
+                r = found[k, j]
+                assert r["lcs_share"] <= best[0] + 1e-9 and (r["lcs_share"] >= 0.9 or (r["lcs_share"] >= 0.65 and r["answer_share"] >= 0.75))
+                assert accepted or r["lcs_share"] >= 0.65
+            else:
+                assert not accepted or best[0] < 0.75, (k, j, best)  # only weak paraphrases may be lost to the cosine
+            if accepted and best[0] >= 0.75:
+                planted.add((k, j))
+    assert len(planted) > 15

@@ -211,3 +211,8 @@ def test_planted_paraphrases_are_found(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(frame, table(spark, SF, "benchmark")).collect()}
     print(len(want), len(want & got))
     assert len(want & got) >= 0.99 * len(want)
+
+
+def test_pairs_share_turns(spark):
+    n = [r["prefix_turns"] for r in Q["op2_preferences"](spark, SF).collect()]
+    assert sum(n) > len(n) and any(x == 0 for x in n)
