@@ -10,13 +10,14 @@ Spark; the driver sees ``TERMS`` rows whatever the corpus.
 A text's latent vector is the sum of its words' vectors, each divided by its singular value, so
 that frequent directions don't drown the others.  Every document is searched with windows
 of about each item's length that overlap by three quarters; windows whose cosine with the item is at
-least ``MIN_COSINE`` are candidates; it is so low that hardly any paraphrase which the checks accept is lost, and
-candidates with too few of the item's words around cost a set operation.  For the others the longest common subsequence of words with
+least ``MIN_COSINE`` are candidates; it is so low that hardly any paraphrase which the checks accept is lost.
+A bitmap of the words around a window bounds how many of the item's words can be there, for many candidates at
+once; those with too few can't be accepted and go.  For the others the longest common subsequence of words with
 the item is found in the window and half its length around.  A candidate is a leak if the
 subsequence covers ``VERBATIM`` of the item, or ``PARAPHRASE`` of it and the item's answer (its last
 ``ANSWER_WORDS`` words) is there for ``MIN_ANSWER`` too.
 
-Items are searched in blocks of ``ITEM_BLOCK``, each block against all documents.
+All items are searched in one pass; only beyond ``ITEM_BLOCK`` items there is a pass for each block of so many.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialise
 
@@ -38,7 +40,10 @@ PASSAGE = 48
 TERMS, RANK, OVERSAMPLE = 256, 96, 16
 MIN_COSINE = 0.3
 VERBATIM, PARAPHRASE, MIN_ANSWER, ANSWER_WORDS = 0.9, 0.65, 0.75, 8
-ITEM_BLOCK = 2000
+#: Items that are broadcast together, and cosines that are computed at once.
+ITEM_BLOCK, COSINES = 20_000, 1 << 22
+#: Bits of a bitmap of words, and words of texts that are searched at once (or one text).
+BITS, GROUP_WORDS = 1024, 32_768
 #: Rows of a task's matrix that are sent together.
 BLOCK = 32
 BLOCKS = "block int, part int, values array<double>"
@@ -185,15 +190,27 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - v.bit_count()
 
 
+def bitmaps(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows a bitmap of the words ``ids`` in it."""
+    out = np.zeros((n, BITS // 64), np.uint64)
+    bit = ids % BITS
+    np.bitwise_or.at(out, (rows, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
 class Search:
     """A block of items, ready to be looked for in documents."""
 
-    def __init__(self, model: LatentModel, items: list[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, model: LatentModel, items: list[tuple[object, np.ndarray]]) -> None:
         self.model = model
         self.items = [(key, ids.tolist()) for key, ids in items if len(ids)]
         self.times = [Counter(ids) for _, ids in self.items]
-        self.distinct = [set(ids) for _, ids in self.items]
-        self.by_window: dict[int, tuple[list[int], np.ndarray]] = {}
+        lengths = np.array([len(ids) for _, ids in self.items], np.int64)
+        everything = np.array([x for _, ids in self.items for x in ids], np.uint32)
+        self.bits = bitmaps(np.repeat(np.arange(len(lengths)), lengths), everything, len(lengths))
+        # bits that must be around: the words that share a bit with another of the item count as there
+        self.least = np.ceil(PARAPHRASE * lengths - 1e-9) - (lengths - np.bitwise_count(self.bits).sum(axis=1))
+        self.by_window: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         groups: dict[int, list[int]] = {}
         self.window = [max(4, 1 << round(np.log2(len(ids)))) for _, ids in self.items]
         for k, window in enumerate(self.window):
@@ -201,61 +218,98 @@ class Search:
         for window, members in groups.items():
             v = np.array([model.words(np.array(self.items[k][1])).sum(axis=0) for k in members])
             v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
-            self.by_window[window] = members, np.ascontiguousarray(v.T, np.float32)
-
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, end, cosine) of the windows that are like an item."""
-        vectors, blocks = self.model.words(ids), {}
+            self.by_window[window] = np.array(members), np.ascontiguousarray(v.T, np.float32)
+
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, item, first word, end, cosine) of the windows that are like an item and may hold enough of its words.
+
+        The texts stand one after the other, each followed by room for three blocks, so no window reaches into the next."""
+        # sums and bitmaps of so many words; a window is four of them, and twice as many words are two of them
+        finest, largest = min(self.by_window, default=4) // 4, max(self.by_window, default=4) // 4
+        lengths = np.array([len(x) for x in texts], np.int64)
+        coarse = -(-lengths // largest) + 3
+        first = (np.cumsum(coarse) - coarse) * largest  # a text's first place
+        at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        ids, n = np.concatenate(texts), int(coarse.sum()) * largest // finest
+        vectors = np.zeros((n * finest, self.model.vectors.shape[1]), np.float32)
+        vectors[at] = self.model.words(ids)
+        if finest > 1:
+            vectors = vectors.reshape(n, finest, -1).sum(axis=1)
+        blocks, maps = {finest: vectors}, {finest: bitmaps(at // finest, ids, n)}
+        step = finest
+        while step < largest:
+            b, m = blocks[step], maps[step]
+            step *= 2
+            blocks[step], maps[step] = b[0::2] + b[1::2], m[0::2] | m[1::2]
         for window, (members, right) in self.by_window.items():
             step = window // 4
-            if step not in blocks:  # sums of so many words; a window is four of them
-                n = -(-len(ids) // step)
-                padded = np.zeros((n * step, vectors.shape[1]), np.float32)
-                padded[:len(ids)] = vectors
-                blocks[step] = padded.reshape(n, step, -1).sum(axis=1)
-            b = blocks[step]
-            if len(b) > 4:
-                w = b[:-3] + b[1:-2] + b[2:-1] + b[3:]
-            else:
-                w = b.sum(axis=0, keepdims=True)
-            for at in range(0, len(w), 8192):
-                part = w[at:at + 8192]
-                cosine = (part @ right) / (np.linalg.norm(part, axis=1, keepdims=True) + 1e-9)
-                for row, column in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
-                    start = (at + int(row)) * step
-                    yield members[column], start, min(start + window, len(ids)), float(cosine[row, column])
-
-    def leaks(self, ids: np.ndarray) -> list[tuple[int, int, int, float, float, float]]:
-        """(item key, first word, words, cosine, share in order, share of the answer) of each item
+            b, m = blocks[step], maps[step]
+            # a window begins with each block of a text but its last three, and with the first one
+            begins = np.maximum(1, -(-lengths // step) - 3) * (lengths > 0)
+            of = np.repeat(np.arange(len(texts)), begins)
+            place = first[of] // step + np.arange(len(of)) - np.repeat(np.cumsum(begins) - begins, begins)
+            w = b[:-3] + b[1:-2]
+            w += b[2:-1]
+            w += b[3:]
+            # words of a window and three quarters of it around, which is more than half of any item it stands for
+            around = np.zeros((len(w), m.shape[1]), np.uint64)
+            for shift in range(-3, 7):
+                low, high = max(0, -shift), min(len(w), len(m) - shift)
+                around[low:high] |= m[low + shift:high + shift]
+            size = max(64, COSINES // len(members))
+            for start in range(0, len(place), size):
+                part = w[place[start:start + size]]
+                norm = np.sqrt(np.einsum("ij,ij->i", part, part)) + 1e-9
+                inner = part @ right
+                rows, columns = np.nonzero(inner >= (MIN_COSINE * norm)[:, None])
+                for some in range(0, len(rows), 1 << 16):
+                    r, c = rows[some:some + (1 << 16)], columns[some:some + (1 << 16)]
+                    item = members[c]
+                    there = np.bitwise_count(around[place[start + r]] & self.bits[item]).sum(axis=1, dtype=np.int16)
+                    for k in np.flatnonzero(there >= self.least[item]):
+                        text = int(of[start + r[k]])
+                        word = int(place[start + r[k]]) * step - int(first[text])
+                        yield text, int(item[k]), word, min(word + window, int(lengths[text])), float(inner[r[k], c[k]] / norm[r[k]])
+
+    def leaks(self, texts: list[np.ndarray]) -> list[list[tuple[object, int, int, float, float, float]]]:
+        """For each text (item key, first word, words, cosine, share in order, share of the answer) of each item
         found, at its best window."""
-        best: dict[int, tuple] = {}
-        if not len(ids):
-            return []
-        words = ids.tolist()
-        near: dict[tuple[int, int], set[int]] = {}
-        for k, start, end, cosine in self.candidates(ids):
-            item = self.items[k][1]
-            if (start, self.window[k]) not in near:  # half the longest item of a window is under 3 / 4 of the window
-                wide = max(4, self.window[k] * 3 // 4)
-                near[start, self.window[k]] = set(words[max(0, start - wide):end + wide])
-            # a subsequence has at most the item's words that are there
-            if sum(map(self.times[k].__getitem__, self.distinct[k] & near[start, self.window[k]])) < PARAPHRASE * len(item):
-                continue
-            around = max(1, len(item) // 2)
-            text = words[max(0, start - around):end + around]
-            share = common_subsequence(item, text) / len(item)
-            if share < PARAPHRASE:
-                continue
-            tail = item[-ANSWER_WORDS:]
-            answer = common_subsequence(tail, text) / len(tail)
-            if share >= VERBATIM or answer >= MIN_ANSWER:
-                found = (share, answer, cosine, -start, end - start)
-                if found > best.get(k, ()):
-                    best[k] = found
-        return [(self.items[k][0], -f[3], f[4], f[2], f[0], f[1]) for k, f in sorted(best.items())]
-
-
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+        out: list[list[tuple]] = []
+        for group in self.groups(texts):
+            best: list[dict[int, tuple]] = [{} for _ in group]
+            for t, k, start, end, cosine in self.candidates(group):
+                item = self.items[k][1]
+                around = max(1, len(item) // 2)
+                text = group[t][max(0, start - around):end + around].tolist()
+                # a subsequence has at most the item's words that are there
+                if sum(map(self.times[k].__getitem__, self.times[k].keys() & set(text))) < PARAPHRASE * len(item):
+                    continue
+                share = common_subsequence(item, text) / len(item)
+                if share < PARAPHRASE:
+                    continue
+                tail = item[-ANSWER_WORDS:]
+                answer = common_subsequence(tail, text) / len(tail)
+                if share >= VERBATIM or answer >= MIN_ANSWER:
+                    found = (share, answer, cosine, -start, end - start)
+                    if found > best[t].get(k, ()):
+                        best[t][k] = found
+            out += [[(self.items[k][0], -f[3], f[4], f[2], f[0], f[1]) for k, f in sorted(x.items())] for x in best]
+        return out
+
+    def groups(self, texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        """The texts in groups that are searched at once."""
+        held, n = [], 0
+        for x in texts:
+            held.append(x)
+            n += len(x)
+            if n >= GROUP_WORDS:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, np.ndarray]]]:
     """The items in blocks of ``ITEM_BLOCK``, in the order of their key and text; null keys and texts are left out."""
     word_hash, last = WordHash(), None
     rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").dropDuplicates()
@@ -273,25 +327,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     ``docs``, at its best window.
 
     Null or empty texts hold nothing and empty items are found nowhere.  Repeated rows are searched
-    each.  A key given to several items counts as one item for each text of it."""
+    each.  A key given to several items counts as one item for each text of it; item keys may be of any type that sorts."""
     ids = materialise(hashed(docs.select(key, text), text))
     model = fit(ids)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` long, first_word long, n_words long, cosine double, lcs_share double, answer_share double"
+    item_kind = items.schema[item_key].dataType
+    schema = f"`{key}` {kind}, `{item_key}` {item_kind.simpleString()}, first_word long, n_words long, cosine double, lcs_share double, answer_share double"
     found = None
     for block in item_blocks(items, item_key, text):
         shared = docs.sparkSession.sparkContext.broadcast((model, block))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, out_kind = Search(*shared.value), None
+            own = Search(*shared.value)
             for batch in batches:
                 rows, places = [], []
-                for k, raw in enumerate(batch.column("_ids").to_pylist()):
-                    for leak in own.leaks(np.frombuffer(raw, np.uint32)):
-                        places.append(k)
-                        rows.append(leak)
+                for k, leaks in enumerate(own.leaks([np.frombuffer(raw, np.uint32) for raw in batch.column("_ids").to_pylist()])):
+                    places += [k] * len(leaks)
+                    rows += leaks
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                kinds = (to_arrow_type(item_kind), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(places, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
                                                  [key, item_key, "first_word", "n_words", "cosine", "lcs_share", "answer_share"])
 
@@ -311,8 +365,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id",
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, word_hash = Search(*shared.value), WordHash()
             for batch in batches:
-                kept = [k for k, t in enumerate(batch.column(text).to_pylist()) if not own.leaks(word_hash(t))]
-                yield batch.take(pa.array(kept, pa.int64())).select(names)
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    kept = [k for k, leaks in enumerate(own.leaks([word_hash(t) for t in part.column(text).to_pylist()])) if not leaks]
+                    yield part.take(pa.array(kept, pa.int64())).select(names)
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
