@@ -13,8 +13,10 @@ All fits of a call (every k with every restart) run in one loop: an iteration is
 rows and emit sums, which Spark adds up.  A row keeps, per fit, its centre, an upper bound of the distance to it and a
 lower bound of the distance to any other (Hamerly 2010).  Bounds are written with the rows after the 1st, 2nd, 4th, 8th .. pass; in
 between they widen by what the centres moved since.  A row whose bounds do not meet keeps its centre
-and is not compared.  What reaches the driver is model sized: candidates, k centres of d numbers for each fit,
-a d x d covariance.
+and is not compared.
+
+Components come from block Krylov iteration on rows that are centred algebraically, so sparse rows stay sparse.  What
+reaches the driver is model sized: candidates, k centres of d numbers for each fit, a few blocks of d x (k + 10) numbers.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -374,13 +376,72 @@ def elbow(df: DataFrame, ks: Iterable[int], features: str = "features", seed: in
     return spark.createDataFrame([(int(k), float(c)) for k, c in rows], "k int, inertia double")
 
 
+#: Centres x dimensions that are written into the plan as literals; beyond, centres are broadcast.
+LITERALS = 2000
+#: Centres and rows that are compared at once.
+CENTRES, ROWS = 128, 256
+
+
+class NearestCentres:
+    """Centres in the order of their norms, searched outwards from a row's own norm.
+
+    Norms differ by no more than vectors do, so the search ends where the norms are further apart than
+    the best centre so far."""
+
+    def __init__(self, centres: np.ndarray) -> None:
+        norms = np.sqrt((centres**2).sum(axis=1))
+        self.order = np.argsort(norms, kind="stable")
+        self.centres, self.norms = centres[self.order], norms[self.order]
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the nearest centre, the smallest on a tie; squared distance) of each row."""
+        index, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+        norms = np.sqrt((x**2).sum(axis=1))
+        by_norm = np.argsort(norms, kind="stable")
+        for at in range(0, len(x), ROWS):
+            rows = by_norm[at:at + ROWS]
+            index[rows], distance[rows] = self._group(x[rows], norms[rows])
+        return index, distance
+
+    def _group(self, x: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of similar norm, by rising norm."""
+        k = len(self.centres)
+        low = high = int(np.searchsorted(self.norms, norms[len(norms) // 2]))
+        best, of = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        room = 1e-9 * (1 + norms[-1] ** 2)  # for rounding in what is only a bound
+        while low > 0 or high < k:
+            below = norms[0] - self.norms[low - 1] if low > 0 else np.inf  # least difference of norms on either side
+            above = self.norms[high] - norms[-1] if high < k else np.inf
+            reach = np.sqrt(best.max() + room)
+            if min(below, above) > reach:
+                break
+            if below <= above:
+                part = slice(max(0, low - CENTRES), low)
+                low = part.start
+            else:
+                part = slice(high, min(k, high + CENTRES))
+                high = part.stop
+            own, ids = self.centres[part], self.order[part]
+            near = _squares(x, own)
+            least = near.min(axis=1)
+            for r in np.flatnonzero(least <= best + room):
+                close = np.flatnonzero(near[r] <= least[r] + room)
+                exact = ((own[close] - x[r]) ** 2).sum(axis=1)
+                first = np.lexsort((ids[close], exact))[0]
+                if (exact[first], ids[close][first]) < (best[r], of[r]):
+                    best[r], of[r] = exact[first], ids[close][first]
+        return of, best
+
+
 def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] | None = None,
-                   vector: str | None = "features", out: str = "cluster", distance: str | None = None) -> DataFrame:
+                   vector: str | None = "features", out: str = "cluster", distance: str | None = None,
+                   literals: int = LITERALS) -> DataFrame:
     """M6: index of the nearest centre by squared Euclidean distance (smallest index on a tie).
 
-    Centres are literals (k x d numbers), so this is one projection:
-    ``array_min`` over ``struct(distance, index)``.  Either named ``columns`` or a
-    ``vector`` column supply the coordinates.
+    Either named ``columns`` or a ``vector`` column supply the coordinates.  At most ``literals`` numbers of centres are
+    literals of one projection (``array_min`` over ``struct(distance, index)``); with more the centres
+    are broadcast and searched by :class:`NearestCentres`.  A row with a NULL coordinate gets the index 0
+    either way, and a NULL distance.
     """
     if columns is not None:
         xs = [col(c).cast("double") for c in columns]
@@ -389,6 +450,12 @@ def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: S
         src = df.withColumn("__xs", vector_to_array(F.col(vector)))
         d = len(centres[0])
         xs = [F.col("__xs")[i] for i in range(d)]
+    if len(centres) * len(centres[0]) > literals:
+        best = _searched(df, np.array(centres, float))(F.array(*xs) if columns is not None else F.col("__xs"))
+        res = src.withColumn("__best", best).withColumn(out, F.col("__best")["j"])
+        if distance:
+            res = res.withColumn(distance, F.col("__best")["d"])
+        return res.drop("__best", "__xs") if columns is None else res.drop("__best")
     cands = []
     for j, c in enumerate(centres):
         dist = None
@@ -403,40 +470,170 @@ def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], columns: S
     return res.drop("__xs") if columns is None else res
 
 
-def centre_vectors(df: DataFrame, features: str = "features", out: str = "__centred") -> tuple[DataFrame, list[float]]:
-    """Add ``out``: the vectors minus the column means (a d-number statistic)."""
-    from pyspark.ml.feature import StandardScaler
+def _searched(df: DataFrame, centres: np.ndarray):
+    """A function of an array column: struct of ``d`` and ``j`` of the nearest centre."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    @F.arrow_udf("struct<d:double,j:int>")
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        search = NearestCentres(shared.value)
+        for batch in batches:
+            x = batch.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+            missing = np.isnan(x).any(axis=1)
+            j, d = search(np.where(missing[:, None], 0.0, x))
+            yield pa.StructArray.from_arrays([pa.array(d, mask=missing), pa.array(np.where(missing, 0, j), pa.int32())], ["d", "j"])
+
+    return nearest
+
+
+@dataclass
+class Components:
+    """Principal components: ``pc`` (d x k), ``explainedVariance`` (shares of the total variance), passes over the data."""
+
+    pc: DenseMatrix
+    explainedVariance: DenseVector
+    passes: int
+
+
+#: Dimensions up to which all directions are taken at once, directions beyond k otherwise, and passes at most.
+WHOLE, EXTRA, PASSES = 64, 10, 40
+
 
-    model = StandardScaler(inputCol=features, outputCol=out, withMean=True, withStd=False).fit(df)
-    return model.transform(df), [float(x) for x in model.mean.toArray()]
+def _sparse(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, index, value) of the entries of a column of unwrapped vectors, dense or sparse, and their length."""
+    kind, size, indices, values = (column.field(k) for k in range(4))
+    sparse = kind.to_numpy(zero_copy_only=False) == 0
+    lengths = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), lengths)
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # a dense vector's own positions
+    if sparse.any():
+        at[sparse[row]] = indices.flatten().to_numpy(zero_copy_only=False)
+    width = int(size.fill_null(0).to_numpy(zero_copy_only=False)[sparse].max()) if sparse.any() else int(lengths.max(initial=0))
+    return row, at, values.flatten().to_numpy(zero_copy_only=False), width
+
+
+class _Centred:
+    """The rows less their mean as an operator: ``A'A`` times a block of vectors, one pass each.
+
+    Rows stay sparse; the mean is taken off algebraically: ``(X - 1m')'(X - 1m')V = X'Z - m(1'Z)`` with ``Z = XV - 1(m'V)``."""
+
+    def __init__(self, df: DataFrame, features: str) -> None:
+        self.data = df.where(F.col(features).isNotNull()).select(F.unwrap_udt(F.col(features)).alias("x"))
+        self.context, self.passes = df.sparkSession.sparkContext, 0
+        first = self.data.select(F.coalesce(F.col("x")["size"], F.size(F.col("x")["values"])).alias("d")).agg(F.max("d").alias("d"), F.min("d").alias("low"), F.count("*").alias("n")).first()
+        if first["d"] != first["low"]:
+            raise ValueError(f"{features} holds vectors of different lengths")
+        self.d, self.n = first["d"] or 0, first["n"]
+        width = self.d
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, square = np.zeros(width), 0.0
+            for batch in batches:
+                _, at, v, _ = _sparse(batch.column(0))
+                total += np.bincount(at, v, width)
+                square += float((v**2).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(total, square)], pa.list_(pa.float64()))], ["fit", "sums"])
+
+        found = _added(self.data.mapInArrow(sums, _SUMS))[0]
+        self.mean = found[:-1] / max(1, self.n)
+
+    def variance(self) -> float:
+        """Sum of squares of the centred rows."""
+        shared = self.context.broadcast(self.mean)
+
+        def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mean, total = shared.value, 0.0
+            whole = float((mean**2).sum())
+            for batch in batches:
+                _, at, v, _ = _sparse(batch.column(0))
+                m = mean[at]
+                total += whole * batch.num_rows + float(((v - m) ** 2 - m**2).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([[total]], pa.list_(pa.float64()))], ["fit", "sums"])
+
+        return float(_added(self.data.mapInArrow(squares, _SUMS))[0][0])
+
+    def apply(self, block: np.ndarray) -> np.ndarray:
+        shared = self.context.broadcast((block, self.mean @ block))
+        self.passes += 1
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            right, shift = shared.value
+            d, q = right.shape
+            out, total = np.zeros((q, d)), np.zeros(q)
+            for batch in batches:
+                row, at, v, _ = _sparse(batch.column(0))
+                for c in range(q):
+                    z = np.bincount(row, v * right[at, c], batch.num_rows) - shift[c]
+                    out[c] += np.bincount(at, v * z[row], d)
+                    total[c] += z.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(range(q), pa.int32()), pa.array([np.append(out[c], total[c]) for c in range(q)], pa.list_(pa.float64()))], ["fit", "sums"])
+
+        found = _added(self.data.mapInArrow(task, _SUMS))
+        return np.stack([found[c][:-1] - self.mean * found[c][-1] for c in range(block.shape[1])], axis=1)
 
 
 def fit_pca(df: DataFrame, k: int = 2, features: str = "features"):
-    """M5/M7 fit: MLlib PCA (covariance of the centred data, eigenvectors on the driver:
-    d x d numbers).  Component signs are fixed so the largest-magnitude loading of each
-    component is positive (a stable rule; raw signs are arbitrary)."""
-    centred, mu = centre_vectors(df, features)
-    model = PCA(k=k, inputCol="__centred", outputCol="__pcs").fit(centred)
-    pc = model.pc.toArray()  # d x k
+    """M5/M7 fit: (components, ``df``, mean, signs) by block Krylov iteration on the implicitly centred rows.
+
+    A pass applies the covariance to a block of ``k + EXTRA`` directions (d x (k + EXTRA) numbers; all d of them for
+    d up to ``WHOLE``, which is the covariance itself); the leading directions are sought in the span
+    of all blocks so far, until they no longer change.  Sparse vectors stay sparse and no d x d matrix is made.
+    Component signs are fixed so the largest-magnitude loading of each component is positive (raw signs are arbitrary)."""
+    rows = _Centred(df, features)
+    d = rows.d
+    if not 1 <= k <= d:
+        raise ValueError(f"{k} components of vectors of length {d}")
+    block = np.eye(d) if d <= WHOLE else np.linalg.qr(np.random.default_rng(0).standard_normal((d, min(d, k + EXTRA))))[0]
+    basis, images = np.zeros((d, 0)), np.zeros((d, 0))
+    while True:
+        basis, images = np.hstack([basis, block]), np.hstack([images, rows.apply(block)])
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        values, turn = np.maximum(values[order], 0), turn[:, order]
+        left = np.sqrt(((images @ turn - basis @ turn * values) ** 2).sum(axis=0))
+        if basis.shape[1] >= d or (left <= 1e-10 * max(values[0], 1e-300)).all() or rows.passes >= PASSES:
+            break
+        block = images[:, -block.shape[1]:]
+        for _ in range(2):  # twice is enough
+            block = block - basis @ (basis.T @ block)
+        block, size = np.linalg.qr(block)
+        block = block[:, np.abs(np.diag(size)) > 1e-12 * max(values[0], 1e-300)][:, :d - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    pc = basis @ turn
+    total = rows.variance()
     signs = []
-    for j in range(pc.shape[1]):
+    for j in range(k):
         mags = np.abs(pc[:, j])
         # first loading within rounding of the largest magnitude: equal loadings
         # (two standardised features) must not flip on the last bit
         i = int(np.flatnonzero(mags >= mags.max() - 1e-9)[0])
         signs.append(1.0 if pc[i, j] >= 0 else -1.0)
-    return model, centred, mu, signs
+    shares = values / total if total > 0 else np.zeros(k)
+    return Components(DenseMatrix(d, k, pc.ravel(order="F").tolist()), DenseVector(shares.tolist()), rows.passes), df, rows.mean.tolist(), signs
 
 
 def pca_project(df: DataFrame, k: int = 2, features: str = "features",
                 names: Sequence[str] | None = None) -> DataFrame:
     """M5: centred projection on the first ``k`` components, as columns ``pc1``.. ``pck``
-    (the fitted model's transform of the centred vectors, with the sign rule applied)."""
-    model, centred, mu, signs = fit_pca(df, k, features)
+    (with the sign rule applied).  A NULL vector has NULL coordinates."""
+    model, _, mean, signs = fit_pca(df, k, features)
     names = list(names) if names else [f"pc{i + 1}" for i in range(k)]
-    proj = model.transform(centred)
-    arr = vector_to_array(F.col("__pcs"))
-    return proj.withColumns({n: arr[j] * F.lit(signs[j]) for j, n in enumerate(names)}).drop("__centred", "__pcs")
+    right = model.pc.toArray() * np.array(signs)
+    shared = df.sparkSession.sparkContext.broadcast((right, np.array(mean) @ right))
+
+    @F.arrow_udf("array<double>")
+    def projected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to, shift = shared.value
+        for batch in batches:
+            row, at, v, _ = _sparse(batch)
+            z = np.stack([np.bincount(row, v * to[at, c], len(batch)) for c in range(to.shape[1])], axis=1) - shift
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * to.shape[1]), pa.array(z.ravel()))
+
+    arr = F.when(F.col(features).isNotNull(), projected(F.unwrap_udt(F.col(features))))
+    out = df.withColumn("__pcs", arr)
+    return out.withColumns({n: F.col("__pcs")[j] for j, n in enumerate(names)}).drop("__pcs")
 
 
 def pca_explained(df: DataFrame, k: int = 2, features: str = "features") -> DataFrame:

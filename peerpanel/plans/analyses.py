@@ -320,9 +320,8 @@ def cluster_card(clustered: DataFrame, key: str, target, attrs: Sequence[str], m
 def cluster_box(clustered: DataFrame, metric: str, key: str, target, cluster: str = "cluster") -> DataFrame:
     """C17: box statistics of one metric per cluster, with the target's cluster and value."""
     box = box_stats(clustered, [metric], by=[cluster])
-    hit = col(key) == value(target)
-    t = clustered.agg(F.max_by(col(cluster), F.when(hit, F.lit(1))).alias("target_cluster"),
-                      F.max_by(col(metric).cast("double"), F.when(hit, F.lit(1))).alias("target_value"))
+    t = clustered.where(col(key) == value(target)).agg(F.max(col(cluster)).alias("target_cluster"),
+                                                       F.max(col(metric).cast("double")).alias("target_value"))
     return box.crossJoin(bounded(t))
 
 

@@ -6,9 +6,10 @@ input and gives unstable types across files.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,25 +44,78 @@ def read_headerless(spark: SparkSession, path: str | Sequence[str], names: Seque
                     skip_rows: int = 0, sep: str = ",") -> DataFrame:
     """S3: a sheet without header: every line is data, the caller names the columns.
 
-    ``skip_rows`` drops the first physical lines of each file, blank ones included.  They all lie
-    in the split that starts at byte 0, so only that split's lines are numbered; the others
-    pass straight through.  A split that holds fewer lines than that raises (raise
-    ``spark.sql.files.maxPartitionBytes`` then).  Blank lines are no rows, as in the CSV reader; a
-    quoted field does not span lines.
+    ``skip_rows`` drops the first physical lines of each file, blank ones included, wherever splits begin.  Blank
+    lines are no rows, as in the CSV reader.  A quoted field may hold line ends, and a split may begin inside of
+    one: a first pass counts lines and quotes of every split, whose running sums (a row per split, on the driver as the splits
+    are) tell where each split stands; a second pass marks the lines of each record.  Only records of several
+    lines are shuffled, to put their lines together.  Quotes come in pairs (``""`` inside of a field).
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    if skip_rows <= 0:
-        return spark.read.option("header", False).option("sep", sep).schema(schema).csv(path)
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"))
-    first = Window.partitionBy("_file").orderBy("_at")
-    head = lines.where("_block = 0").withColumn("_at", F.monotonically_increasing_id())
-    head = head.withColumn("_line", F.row_number().over(first)).withColumn("_lines", F.count(F.lit(1)).over(Window.partitionBy("_file")))
-    short = F.raise_error(F.lit(f"read_headerless: a file's first split has fewer than {skip_rows} lines"))
-    kept = head.where(F.when(F.col("_lines") < skip_rows, short).otherwise(F.col("_line") > skip_rows)).select("value")
-    rest = lines.where("_block > 0").select("value")
-    parsed = kept.unionByName(rest).where(F.trim("value") != "").select(
-        F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r"))
-    return parsed.select("r.*")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each split: its lines, whether its quotes are odd in number, whether they are after each of the first ``skip_rows``
+        lines, and the last line with an even and with an odd number of quotes before it."""
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for f, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.setdefault((f, b), [0, 0, [], -1, -1])
+                own[3 + own[1]] = own[0]
+                own[0] += 1
+                own[1] ^= v.count('"') & 1
+                if own[0] <= skip_rows:
+                    own[2].append(own[1])
+        rows = [(f, b, *own) for (f, b), own in held.items()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
+                                         ["file", "block", "lines", "odd", "skipped", "even_at", "odd_at"])
+
+    splits = lines.mapInArrow(count, "file string, block long, lines long, odd int, skipped array<int>, even_at long, odd_at long").collect()
+    places: dict[tuple, tuple] = {}
+    at = inside = carried = 0
+    for k, r in enumerate(sorted(splits, key=lambda r: (r["file"], r["block"]))):
+        if not k or r["file"] != before:
+            at, inside, carried = 0, 0, None
+        before = r["file"]
+        places[r["file"], r["block"]] = at, inside, carried
+        drop = max(0, min(skip_rows - at, r["lines"]))
+        gone = r["skipped"][drop - 1] if drop else 0
+        last = r["odd_at"] if inside ^ gone else r["even_at"]  # the last line that begins a record
+        if last >= drop:
+            carried = at + last
+        inside ^= gone ^ r["odd"]
+        at += r["lines"]
+    shared = spark.sparkContext.broadcast(places)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every kept line with the number of its record's first line, and whether it is all of the record."""
+        split, number, inside, record = None, 0, 0, None
+        for rows in batches:
+            out: list[tuple] = []
+            for f, b, v in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if split != (f, b):
+                    split = f, b
+                    number, inside, record = shared.value[split]
+                if number >= skip_rows:
+                    opened = inside
+                    if not opened:
+                        record = number
+                    inside ^= v.count('"') & 1
+                    out.append((f, record, number, not opened and not inside, v))
+                number += 1
+            if out:
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)],
+                                                 ["file", "record", "line", "whole", "value"])
+
+    marked = lines.mapInArrow(mark, "file string, record long, line long, whole boolean, value string")
+    joined = marked.where("NOT whole").groupBy("file", "record").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("value"))  # one record
+    records = marked.where("whole").select("value").unionByName(joined.select("value"))
+    text = F.regexp_replace("value", "\r$", "")
+    return records.select(text.alias("value")).where(F.trim("value") != "").select(F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
 
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] | None = ("year",),

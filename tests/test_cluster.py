@@ -177,3 +177,72 @@ print("clusters", kmeans(df, 3, restarts=2).select("cluster").distinct().count()
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "clusters 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_pca_of_fifty_thousand_one_hot_columns(spark):
+    """Sparse rows, compared with the closed form of the small side (rows x rows)."""
+    from pyspark.ml.linalg import Vectors
+
+    from peerpanel.operators.cluster import fit_pca
+
+    rng = np.random.default_rng(6)
+    d, n = 50_000, 400
+    rows, dense = [], np.zeros((n, d))
+    for i in range(n):
+        at = sorted({int(x) for x in rng.integers(10, d, 6)} | {int(rng.integers(0, 3)), 3 + int(i % 7 == 0)})
+        rows.append((i, Vectors.sparse(d, at, [1.0] * len(at)) if i % 50 else Vectors.dense(np.isin(np.arange(d), at).astype(float).tolist())))
+        dense[i, at] = 1.0
+    df = spark.createDataFrame([r for r in rows if r[0] % 50], ["k", "features"]).union(spark.createDataFrame([r for r in rows if not r[0] % 50], ["k", "features"]))
+    centred = dense - dense.mean(axis=0)
+    values, left = np.linalg.eigh(centred @ centred.T)
+    want = values[::-1][:2] / values.sum()
+    got = [r["explained_variance_ratio"] for r in pca_explained(df, 2).orderBy("component").collect()]
+    assert got == pytest.approx(list(want), rel=1e-8)
+    model, _, _, _ = fit_pca(df, 2)
+    assert model.passes < 40
+    out = {r["k"]: (r["pc1"], r["pc2"]) for r in pca_project(df, 2).select("k", "pc1", "pc2").collect()}
+    for c in range(2):
+        mine, theirs = np.array([out[i][c] for i in range(n)]), left[:, -1 - c] * np.sqrt(values[-1 - c])
+        assert min(np.abs(mine - theirs).max(), np.abs(mine + theirs).max()) < 1e-6
+
+
+def test_pca_far_from_the_origin_equals_numpy(spark):
+    from peerpanel.operators.features import assemble
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 70)) * np.linspace(3, 0.1, 70) + 500
+    names = [f"c{j}" for j in range(70)]
+    df = assemble(spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names)), names)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = [r["explained_variance_ratio"] for r in pca_explained(df, 5).orderBy("component").collect()]
+    assert got == pytest.approx(list(values[:5] / values.sum()), rel=1e-7)
+
+
+def test_many_centres_equal_the_literal_form(spark):
+    rng = np.random.default_rng(2)
+    centres = np.concatenate([rng.normal(0, 3, (200, 6)), rng.normal(40, 1, (100, 6)), np.zeros((3, 6))])
+    centres = np.concatenate([centres, centres[:20]])  # ties
+    pts = np.concatenate([rng.normal(0, 4, (500, 6)), rng.normal(40, 2, (200, 6)), centres[:30], np.zeros((2, 6))])
+    names = [f"c{j}" for j in range(6)]
+    rows = [tuple(map(float, r)) for r in pts] + [(None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    small = assign_nearest(df, centres.tolist(), columns=names, distance="d", literals=10**6).select(*names, "cluster", "d").collect()
+    large = assign_nearest(df, centres.tolist(), columns=names, distance="d", literals=0).select(*names, "cluster", "d").collect()
+    key = lambda r: tuple((x is None, x) for x in r[:6])
+    for a, b in zip(sorted(small, key=key), sorted(large, key=key)):
+        assert a["cluster"] == b["cluster"] and (a["d"] is None) == (b["d"] is None) and (a["d"] is None or a["d"] == pytest.approx(b["d"], rel=1e-9, abs=1e-9))
+
+
+def test_five_thousand_centres_of_64_numbers(spark):
+    from peerpanel.operators.cluster import NearestCentres
+    from peerpanel.operators.features import assemble
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (5000, 64)) * rng.uniform(0.2, 6, (5000, 1))
+    pts = centres[rng.integers(0, 5000, 600)] + rng.normal(0, 0.05, (600, 64))
+    names = [f"c{j}" for j in range(64)]
+    df = assemble(spark.createDataFrame([tuple(map(float, r)) for r in pts], ", ".join(f"{c} double" for c in names)), names)
+    got = [r["cluster"] for r in assign_nearest(df, centres, distance="d").select("cluster").collect()]
+    want = np.array([((p - centres) ** 2).sum(axis=1).argmin() for p in pts])
+    assert sorted(got) == sorted(want.tolist())
+    assert NearestCentres(centres)(pts)[0].tolist() == want.tolist()

@@ -61,3 +61,43 @@ def test_read_headerless_skips_per_file(spark, tmp_path):
     (d / "b.csv").write_text("junk b\n3,z\n")
     df = read_headerless(spark, str(d), ["id", "name"], skip_rows=1)
     assert sorted(r["id"] for r in df.collect()) == ["1", "2", "3"]
+
+
+def _sheet(rng, rows):
+    """A sheet with title lines (one with a lone quote), blank lines and fields with line ends, quotes and separators."""
+    text, want = 'A title with a 5" mark\n\nSecond title, with commas\n', []
+    for k in range(rows):
+        if k % 11 == 5:
+            text += "\n"
+        fields = []
+        for _ in range(3):
+            kind = rng.integers(6)
+            value = {0: f"v{k}", 1: "two\nlines", 2: 'say ""hi""', 3: "a,b", 4: "x" * int(rng.integers(1, 60)), 5: "end\n\nof\r\nline"}[int(kind)]
+            quoted = any(c in value for c in '\n,"')
+            text += ("," if fields else "") + (f'"{value}"' if quoted else value)
+            fields.append(value.replace('""', '"'))
+        text += "\r\n" if k % 5 == 0 else "\n"
+        want.append(tuple(fields))
+    return text, want
+
+
+def test_headerless_with_line_ends_in_fields_at_split_borders(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    wants = []
+    for name in ("a.csv", "b.csv"):
+        text, want = _sheet(rng, 150)
+        (tmp_path / name).write_bytes(text.encode())
+        wants += want
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for size in ("23", "64", "997", "128m"):  # also splits shorter than the skipped lines and than a record
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_headerless(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], ["a", "b", "c"], skip_rows=3).collect()
+            assert sorted(map(tuple, got)) == sorted(wants), size
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert read_headerless(spark, str(tmp_path / "a.csv"), ["a", "b", "c"], skip_rows=100_000).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
