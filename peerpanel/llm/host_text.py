@@ -95,6 +95,22 @@ def element_kind(tag: str, attributes: str, in_main: bool) -> str:
     return "main" if names & MAIN_NAMES else ""
 
 
+#: Kinds of the start tags met so far; pages repeat them.
+_KINDS: dict[tuple[str, str, bool], str] = {}
+
+
+def known_kind(tag: str, attributes: str, in_main: bool) -> str:
+    """``element_kind``, remembered for tags of ordinary length."""
+    if len(attributes) > 200:
+        return element_kind(tag, attributes, in_main)
+    kind = _KINDS.get((tag, attributes, in_main))
+    if kind is None:
+        if len(_KINDS) >= 10_000:
+            _KINDS.clear()
+        kind = _KINDS[tag, attributes, in_main] = element_kind(tag, attributes, in_main)
+    return kind
+
+
 def page_blocks(page: str | None) -> list[tuple[str, str]]:
     """(kind, text) of a page's blocks in order; kind is ``main``, ``chrome`` or nothing.
 
@@ -158,7 +174,7 @@ def page_blocks(page: str | None) -> list[tuple[str, str]]:
                 k -= 1
             if k >= 0 and stack[k][0] == "p":
                 cut(k)
-        kind = element_kind(tag, m[4] or "", depth["main"] > 0)
+        kind = known_kind(tag, m[4] or "", depth["main"] > 0)
         if kind:
             flush()
         if tag in MAIN and kind == "main" and not is_open["article"] and not is_open["main"]:
