@@ -22,6 +22,7 @@ from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text,
                                 zero_pad)
 from ..operators.aggregates import (club, cohort_means, count_by, dedupe, distinct_values, latest, modal_by_group,
                                     rollup_by, row_count, value_counts, value_shares)
+from ..operators.categories import category_dictionary, one_hot_places
 from ..operators.cluster import Fit, assign_nearest, elbow, inertia_k1, kmeans, lloyd, pca_explained, pca_project
 from ..operators.columns import (add_literal, label_cohort, order_columns, override_key, recode_binary, rescale, row_total,
                                  short_labels, strip_suffix)
@@ -811,6 +812,31 @@ def q_one_hot(spark, sf_dir):
     return one_hot(c, ["c_mktsegment", "c_nationkey"])
 
 
+CATEGORY_IDS_SQL = """
+long AS (SELECT 'o_orderpriority' AS variable, o_orderpriority AS value, NULL AS number FROM orders
+         UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), o_custkey FROM orders),
+ids AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY number, value) - 1 AS id, count
+        FROM (SELECT variable, value, number, count(*) AS count FROM long WHERE value IS NOT NULL GROUP BY 1, 2, 3))
+"""
+
+
+@query("category_ids", f"WITH {CATEGORY_IDS_SQL} SELECT variable, value, id, count FROM ids")
+def q_category_ids(spark, sf_dir):
+    return category_dictionary(fx.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"])
+
+
+@query("one_hot_places", f"""
+WITH {CATEGORY_IDS_SQL}
+SELECT o_orderkey, concat_ws(',', p.id, (SELECT count(DISTINCT o_orderpriority) FROM orders) + c.id) AS places
+FROM orders LEFT JOIN ids p ON p.variable = 'o_orderpriority' AND p.value = o_orderpriority
+LEFT JOIN ids c ON c.variable = 'o_custkey' AND c.value = CAST(o_custkey AS VARCHAR)
+""")
+def q_one_hot_places(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
+    places, _ = one_hot_places(o, ["o_orderpriority", "o_custkey"])
+    return places.select("o_orderkey", F.array_join("places", ",").alias("places"))
+
+
 MIXED_NUM = ["urgent", "high", "total_with"]
 
 
