@@ -11,13 +11,14 @@ Every query reads whole tables.  Targets and outliers are found from the data
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._names import col
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..functions.scalar import (code_labels, fill_unknown, last_of, money_text, percent_text, target_value,
                                 zero_pad)
 from ..operators.aggregates import (club, cohort_means, count_by, dedupe, distinct_values, latest, modal_by_group,
@@ -34,9 +35,10 @@ from ..operators.quantiles import (box_outliers, box_stats, cut_points, median,
                                    quantiles_long)
 from ..operators.reshape import concat_diagonal, one_hot, pivot_strict, wide_years_to_long, year_blocks
 from ..operators.windows import rank_within, standardize
-from ..sources.files import cast_lenient
+from ..sources.files import cast_lenient, read_panel
 from . import analyses as C
 from . import fixtures as fx
+from .upkeep import refresh_panel
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -812,6 +814,24 @@ def q_one_hot(spark, sf_dir):
     return one_hot(c, ["c_mktsegment", "c_nationkey"])
 
 
+@query("panel_refresh", """
+SELECT o_custkey AS entity_id, CAST(year(o_orderdate) AS INTEGER) AS year,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(count(*) AS DOUBLE) AS n
+FROM orders GROUP BY 1, 2
+""")
+def q_panel_refresh(spark, sf_dir):
+    """The panel of all orders, written when the urgent ones had no amount yet, refreshed with these."""
+    now = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("year"), "o_orderpriority",
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("n"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    path = scratch_path(spark, f"panel-{uuid.uuid4().hex}")
+    clubbed = lambda rows: club(rows, ["entity_id", "year"], values=["amount", "n"], as_double=True)
+    refresh_panel(now.where(~urgent), None, path, clubbed)
+    refresh_panel(now, now.where(urgent), path, clubbed)
+    return read_panel(spark, path).select("entity_id", "year", "amount", "n")
+
+
 CATEGORY_IDS_SQL = """
 long AS (SELECT 'o_orderpriority' AS variable, o_orderpriority AS value, NULL AS number FROM orders
          UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), o_custkey FROM orders),
