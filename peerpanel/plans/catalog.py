@@ -30,6 +30,8 @@ from ..operators.columns import (add_literal, label_cohort, order_columns, overr
 from ..operators.features import feature_columns, features_mixed, features_numeric
 from ..operators.filters import cohort_with_target, exclude, in_table, in_values, lookup, require_key, split_target
 from ..operators.joins import attach, flag_members, keep_members, left_join_suffix, panel_join
+from ..operators.late import latest_rows, pick_rows
+from ..operators.modes import modes_by_candidates
 from ..operators.ordering import order_by_category, preview, sort_by, top_k
 from ..operators.quantiles import (box_outliers, box_stats, cut_points, median, median_impute, quantile_bin,
                                    quantiles_long)
@@ -384,6 +386,15 @@ def q_latest_value(spark, sf_dir):
     return latest(o, ["entity_id"], ["status", "year"], by=["year", "o_orderkey"])
 
 
+@query("latest_by_late_fetch", ORACLE["latest_value"])
+def q_latest_by_late_fetch(spark, sf_dir):
+    """A2 as above, the aggregate seeing keys, order and places only."""
+    o = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").cast("int").alias("year"), "o_orderkey",
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(F.col("o_orderstatus")).alias("status"))
+    return latest_rows(o, "entity_id", ["status", "year"], by=["year", "o_orderkey"])
+
+
 @query("cohort_or_target", with_o("""
 SELECT entity_id, entity_name, member FROM peers
 """))
@@ -525,6 +536,34 @@ def q_modal_by_group(spark, sf_dir):
     return modal_by_group(fx.profile_o(spark, sf_dir), "region", ["segment", "status"])
 
 
+LINE_ATTRS = {"part": "l_partkey", "supplier": "l_suppkey", "quantity": "CAST(l_quantity AS INTEGER)", "status": "l_linestatus"}
+LINE_SQL = " UNION ALL ".join(f"SELECT l_returnflag, '{k}' AS variable, CAST({v} AS VARCHAR) AS value FROM lineitem "
+                              f"WHERE {v} IS NOT NULL" for k, v in LINE_ATTRS.items())
+
+
+def _line_attrs(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").select("l_returnflag", *[F.expr(v).alias(k) for k, v in LINE_ATTRS.items()])
+
+
+@query("modes_by_candidates", "WITH " + MODE_SQL.format(long=LINE_SQL) + "SELECT * FROM modes")
+def q_modes_by_candidates(spark, sf_dir):
+    """A10 on columns of line items with many values (parts, suppliers) and with few."""
+    return modes_by_candidates(_line_attrs(spark, sf_dir), list(LINE_ATTRS))
+
+
+@query("modes_by_candidates_grouped", f"""
+WITH lng AS ({LINE_SQL}),
+cnt AS (SELECT l_returnflag, variable, value, count(*) AS n FROM lng WHERE l_returnflag IS NOT NULL GROUP BY 1, 2, 3),
+tot AS (SELECT l_returnflag, variable, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, variable ORDER BY n DESC, value) AS rn FROM cnt)
+SELECT l_returnflag, variable, value AS mode, n AS mode_count, total, n / total AS mode_share
+FROM ranked JOIN tot USING (l_returnflag, variable) WHERE rn = 1
+""")
+def q_modes_by_candidates_grouped(spark, sf_dir):
+    """A11 by candidates, per return flag."""
+    return modes_by_candidates(_line_attrs(spark, sf_dir), list(LINE_ATTRS), "l_returnflag")
+
+
 @query("compare_categorical", with_o(f""",
 lng AS ({_long_attr_sql("(SELECT * FROM peers WHERE entity_id <> (SELECT id FROM target))")}),
 cnt AS (SELECT variable, value, count(*) AS count FROM lng GROUP BY 1, 2),
@@ -995,6 +1034,15 @@ def q_dedupe(spark, sf_dir):
     return dedupe(o, "o_custkey", ["o_orderkey"])
 
 
+@query("dedupe_by_late_fetch", """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents)
+WHERE rn = 1
+""")
+def q_dedupe_by_late_fetch(spark, sf_dir):
+    """A16 on wide rows: the first document of each source and language; the texts of other documents do not move."""
+    return pick_rows(fx.table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id")
+
+
 @query("text_functions", """
 SELECT p_partkey,
   string_split('Division of ' || p_type, ' of ')[-1] AS type_label,

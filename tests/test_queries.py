@@ -19,7 +19,7 @@ QUERIES = E.queries()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"]:
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings", "documents"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF_SMALL, t + '.parquet')}')")
     return con
 
