@@ -344,16 +344,21 @@ def cluster_profile_table(profile: DataFrame, key: str, metrics: Sequence[str],
     return profile.join(side, on=key)
 
 
+def cohort_features(profile: DataFrame, designation_col: str, label: str, key: str, metrics: Sequence[str],
+                    totals: Mapping[str, Sequence[str]], categorical: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """C19 up to the fit: the rows of one designation with their totals (P7), and their mixed features (M2)."""
+    cohort = profile.where(col(designation_col) == F.lit(label))
+    for tname, cols in totals.items():
+        cohort = row_total(cohort, tname, cols)
+    return cohort, features_mixed(cohort, key, list(metrics) + list(totals), categorical)
+
+
 def analyse_cohort(profile: DataFrame, designation_col: str, label: str, key: str, name: str,
                    metrics: Sequence[str], totals: Mapping[str, Sequence[str]], categorical: Sequence[str],
                    k: int = 3, seed: int = 42, restarts: int = 1) -> DataFrame:
     """One designation cohort: totals (P7), mixed features (M2), k-means (M3) and the
     projection (M5), returned as the scatter table (C18)."""
-    cohort = profile.where(col(designation_col) == F.lit(label))
-    for tname, cols in totals.items():
-        cohort = row_total(cohort, tname, cols)
-    all_metrics = list(metrics) + list(totals)
-    feats = features_mixed(cohort, key, all_metrics, categorical)
+    cohort, feats = cohort_features(profile, designation_col, label, key, metrics, totals, categorical)
     clustered = kmeans(feats, k, seed=seed, restarts=restarts)
     projected = pca_project(clustered, 2).select(col(key), "cluster", "pc1", "pc2")
     first_total = list(totals)[0]

@@ -37,7 +37,7 @@ from ..operators.quantiles import (box_outliers, box_stats, cut_points, median,
                                    quantiles_long)
 from ..operators.reshape import concat_diagonal, one_hot, pivot_strict, wide_years_to_long, year_blocks
 from ..operators.windows import rank_within, standardize
-from ..sources.files import cast_lenient, read_panel
+from ..sources.files import cast_lenient, read_headerless, read_panel
 from . import analyses as C
 from . import fixtures as fx
 from .upkeep import refresh_panel
@@ -1394,6 +1394,22 @@ def q_analyse_cohort(spark, sf_dir):
                             MIXED_CATEGORICAL, k=3)
 
 
+@query("cohort_features", with_o(""",
+cohort AS (SELECT * FROM profile WHERE status = 'F')
+SELECT entity_id, """ + _z_sql(fx.O_ALL_METRICS, "cohort") + ", "
+    + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, values in {
+        "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+        "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "status": ["F"]}.items() for v in values)
+    + " FROM cohort"))
+def q_cohort_features(spark, sf_dir):
+    """C19 up to the fit: the R1 cohort's totals and mixed features."""
+    p = C.recode_designation(o_profile(spark, sf_dir), "status", "F")
+    _, feats = C.cohort_features(p, "designation", "R1", "entity_id", fx.O_METRICS,
+                                 {"total_with": fx.O_TOTAL_WITH, "total_without": fx.O_TOTAL_WITHOUT}, MIXED_CATEGORICAL)
+    return feats.select("entity_id", *[F.round(c, 6).alias(c) if c in fx.O_ALL_METRICS else F.col(f"`{c}`")
+                                       for c in feature_columns(feats, "entity_id")])
+
+
 @query("kmeans_vectors")
 def q_kmeans_vectors(spark, sf_dir):
     """M3 + M5 on the 64-dimensional embeddings."""
@@ -1646,3 +1662,15 @@ def _partition_dirs(spark, path: str, column: str) -> list[str]:
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [st.getPath().getName() for st in fs.listStatus(hpath)
             if st.isDirectory() and st.getPath().getName().startswith(column + "=")]
+
+
+@query("headerless_sheet", "SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, text FROM documents")
+def q_headerless_sheet(spark, sf_dir):
+    """S3: the documents as sheets without header, two title lines a file, line ends and quotes inside of fields, read back."""
+    d = fx.table(spark, sf_dir, "documents")
+    fields = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in ["source", "lang", "text"]]
+    line = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[F.coalesce(f, F.lit("")) for f in fields])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1)) == 0  # of its file
+    path = scratch_path(spark, f"sheet-{uuid.uuid4().hex}")
+    d.select(F.concat(F.when(first, F.lit("Documents\nid, source, language, text\n")).otherwise(F.lit("")), line)).write.text(path)
+    return read_headerless(spark, path, ["id", "source", "lang", "text"], skip_rows=2)
