@@ -214,7 +214,7 @@ def encoder(tokenizer: str):
 
     Texts of plain Latin characters go to ``tiktoken`` when the same vocabulary is there as ranks,
     which gives the same ids about five times as fast; texts with other characters or a
-    special string go to ``tokenizers`` itself."""
+    special string go to ``tokenizers`` itself.  Ranks of another vocabulary raise."""
     import os
     import re
 
@@ -234,6 +234,11 @@ def encoder(tokenizer: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the .json writes as they are
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+    vocabulary = slow.get_vocab(with_added_tokens=False)
+    if any(vocabulary.get("".join(map(letters.__getitem__, token))) != rank for token, rank in ranks.items()):
+        raise ValueError(f"{ranks_path} does not belong to {path}")
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     special = "|".join(re.escape(t.content) for t in slow.get_added_tokens_decoder().values())
     odd = re.compile("[^\n\\x20-\\x7e\\xa1-\\u017f]" + (f"|{special}" if special else "")).search

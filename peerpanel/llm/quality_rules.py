@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, free_name, let, literal_table, materialise, words
+from .common import at_places, free_name, let, materialise, words
 
 WINDOW = 5
 #: The base rule: too few words, or over this per cent of words in repeated windows.
@@ -33,6 +33,8 @@ CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 #: Largest rate of good documents rejected, per stratum, and the chance that it is not kept.
 RISK = 0.03
 DELTA = 0.05
+#: Cutoffs of all strata are broadcast up to so many bytes; beyond that they are joined.
+MAX_RULE_BYTES = 64 << 20
 
 
 def repeated_words(word_list: Column) -> Column:
@@ -128,15 +130,14 @@ def certified_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DE
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str, risk: float, delta: float) -> DataFrame:
-    """(_stratum, a cutoff or null for each metric) as a table of literals: a row per stratum with a rule."""
+    """(_stratum, a cutoff or null for each metric), a row per stratum with a rule; broadcast where its size allows it."""
     truth = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
              .groupBy(F.col(key).alias("_key")).agg((F.min("quality") > 0).alias("good")))
     labelled = measured.join(truth, F.col(key) == F.col("_key")).select("stratum", "good", *METRICS)
-    of: dict[str, dict[str, float]] = {}
-    for r in certified_cutoffs(labelled, risk, delta).collect():  # at most len(METRICS) numbers a stratum
-        of.setdefault(r["stratum"], {})[r["metric"]] = r["cutoff"]
-    return literal_table(measured.sparkSession, [(s, *(x.get(m) for m in METRICS)) for s, x in of.items()],
-                         ", ".join(["_stratum string", *(f"_{m} double" for m in METRICS)]))
+    each = (F.max(F.when(F.col("metric") == m, F.col("cutoff"))).alias(f"_{m}") for m in METRICS)
+    rules = materialise(certified_cutoffs(labelled, risk, delta).groupBy(F.col("stratum").alias("_stratum")).agg(*each))
+    size = rules.agg(F.sum(F.octet_length("_stratum") + 8 * len(METRICS) + 64)).first()[0] or 0
+    return F.broadcast(rules) if size <= MAX_RULE_BYTES else rules
 
 
 def with_verdict(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -88,6 +88,21 @@ def test_fast_ids_equal_the_tokenizer():
     assert encode("a <|endoftext|> b") == slow.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
+def test_ranks_of_another_vocabulary_raise(tmp_path):
+    import os
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    os.symlink(path, tmp_path / "own.json")
+    lines = open(path.replace(".json", ".tiktoken"), "rb").read().split(b"\n")
+    (a, x), (b, y) = lines[700].split(), lines[900].split()
+    lines[700], lines[900] = a + b" " + y, b + b" " + x
+    (tmp_path / "own.tiktoken").write_bytes(b"\n".join(lines))
+    with pytest.raises(ValueError, match="does not belong"):
+        packing.encoder(str(tmp_path / "own.json"))
+
+
 def test_packing_plans():
     import random
 
@@ -147,6 +162,19 @@ def test_quality(docs, none, labels):
     assert sorted(r["doc_id"] for r in quality_rules.keep(docs, labels).collect()) == [1, 1, 5]
 
 
+def test_quality_rules_of_more_strata_than_may_be_broadcast(spark, monkeypatch):
+    n = 4000
+    bad = F.col("id") % 2 == 0
+    text = F.when(bad, F.lit("# a1 | b2 # c3 | d4 # e5 | f6 # g7 | h8")).otherwise(F.concat(F.lit("plain words of one clean text no "), F.col("id"), F.lit(" that stays here")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"),
+                                 F.when(F.col("id") % 4 < 3, "en").when(F.col("id") % 5 > 0, F.lit(None)).otherwise("fr").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (~bad).cast("int").alias("quality"))
+    want = sorted(map(repr, quality_rules.judge(docs, labels).collect()))
+    assert 0 < sum("kept=True" in r for r in want) < n
+    monkeypatch.setattr(quality_rules, "MAX_RULE_BYTES", 0)
+    assert sorted(map(repr, quality_rules.judge(docs, labels).collect())) == want
+
+
 def test_repeated_words(spark):
     import re
 
