@@ -254,7 +254,8 @@ class Search:
             # words of a window and three quarters of it around, which is more than half of any item it stands for
             around = np.zeros((len(w), m.shape[1]), np.uint64)
             for shift in range(-3, 7):
-                low, high = max(0, -shift), min(len(w), len(m) - shift)
+                low = max(0, -shift)
+                high = max(low, min(len(w), len(m) - shift))  # no rows where a few short texts are all there is
                 around[low:high] |= m[low + shift:high + shift]
             size = max(64, COSINES // len(members))
             for start in range(0, len(place), size):
