@@ -13,7 +13,8 @@ All fits of a call (every k with every restart) run in one loop: an iteration is
 rows and emit sums, which Spark adds up.  A row keeps, per fit, its centre, an upper bound of the distance to it and a
 lower bound of the distance to any other (Hamerly 2010).  Bounds are written with the rows after the 1st, 2nd, 4th, 8th .. pass; in
 between they widen by what the centres moved since.  A row whose bounds do not meet keeps its centre
-and is not compared.
+and is not compared.  Written rows are packed, a few at a time in a binary value, and later passes add up only the rows that
+changed their centre since.
 
 Components come from block Krylov iteration on rows that are centred algebraically, so sparse rows stay sparse.  What
 reaches the driver is model sized: candidates, k centres of d numbers for each fit, a few blocks of d x (k + 10) numbers.
@@ -44,8 +45,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 ROUNDS, OVERSAMPLE = 4, 2
 #: Bounds are single precision, moved apart by this share.
 SLACK = 1e-6
-_STATE = "x array<double>, n long, near array<smallint>, upper array<float>, lower array<float>"
+#: Numbers of vectors that are packed into one binary value, so that a batch of such values stays small.
+PACK = 256
+#: Centres up to which sums are a product of matrices, and share of the rows to be compared from which all are.
+FEW, MANY = 64, 0.5
+_STATE = "x binary, n binary, near binary, upper binary, lower binary"
 _SUMS = "fit int, sums array<double>"
+_NAMES = ["x", "n", "near", "upper", "lower", "fit", "sums"]
 
 
 @dataclass
@@ -185,60 +191,129 @@ def start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndar
     return centres
 
 
+def _packed(rows: np.ndarray, each: int) -> pa.Array:
+    """A matrix as binary values of ``each`` rows."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.minimum(np.arange(-(-len(rows) // each) + 1) * each, len(rows)) * (rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
+
+
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """The rows of all binary values of a column as a matrix."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind).reshape(-1, width)
+
+
+def _nearest(far: np.ndarray, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """For each column the place of its smallest number (the first on a tie), that number and, if asked for, the next one."""
+    near, best = np.zeros(far.shape[1], np.int64), far[0].copy()
+    next_ = np.full(far.shape[1], np.inf) if second else None
+    for j in range(1, len(far)):
+        if second:
+            np.minimum(next_, np.maximum(best, far[j]), out=next_)
+        np.putmask(near, far[j] < best, j)
+        np.minimum(best, far[j], out=best)
+    return near, best, next_
+
+
+def _add(total: np.ndarray, near: np.ndarray, rows: np.ndarray, sign: int = 1) -> None:
+    """Adds the rows to those of ``total`` that ``near`` names."""
+    if len(total) <= FEW:
+        total += sign * ((near == np.arange(len(total))[:, None]).astype(float) @ rows)
+    else:
+        for j in range(rows.shape[1]):
+            total[:, j] += sign * np.bincount(near, rows[:, j], len(total))
+
+
 def _steps(batches: Iterator[pa.RecordBatch], fits: dict[int, np.ndarray], shift: np.ndarray, saved: tuple | None, keep: bool) -> Iterator[pa.RecordBatch]:
-    """A task's part of a pass: sums for each fit and, with ``keep``, its rows with their bounds.
-
-    ``saved`` has the fits whose bounds come along with the rows, and their centres then."""
-    fit_ids = list(fits)
-    held = {f: np.zeros(len(c) * (len(shift) + 1) + 2) for f, c in fits.items()}
-    apart, moved = {}, {}
-    for f, c in fits.items():
-        between = np.sqrt(_squares(c, c))
-        np.fill_diagonal(between, np.inf)
-        apart[f] = between.min(axis=1) / 2
-        if saved:
-            moved[f] = np.sqrt(((c - saved[1][f]) ** 2).sum(axis=1))
+    """A task's part of a pass: sums for each fit and, with ``keep``, its rows with their bounds, packed.
+
+    ``saved`` has the fits whose bounds come along with the rows, and their centres then; the sums are those of the
+    rows that changed their centre since, taken off the old one and added to the new one."""
+    fit_ids, d = list(fits), len(shift)
+    sizes = [len(c) for c in fits.values()]
+    first = np.cumsum([0, *sizes[:-1]])  # a fit's first centre among those of all
+    every = np.concatenate(list(fits.values()))
+    minus, squares = -2 * every, (every**2).sum(axis=1)
+    totals, counted, square = [np.zeros((k, d + 1)) for k in sizes], np.zeros(len(fits)), 0.0
+    if saved:
+        at = [saved[0].index(f) for f in fit_ids]
+        apart, moved = np.zeros(len(every)), np.zeros(len(every))
+        for place, (f, c) in enumerate(fits.items()):
+            between = np.sqrt(_squares(c, c))
+            np.fill_diagonal(between, np.inf)
+            apart[first[place]:first[place] + len(c)] = between.min(axis=1) / 2
+            moved[first[place]:first[place] + len(c)] = np.sqrt(((c - saved[1][f]) ** 2).sum(axis=1))
+        farthest = np.maximum.reduceat(moved, first)
+    most = max(256, min(4096, (1 << 20) // len(every)))  # rows that are compared at once
     for batch in batches:
-        rows = batch.num_rows
-        if not rows:
+        if not batch.num_rows:
             continue
-        x, n = _matrix(batch.column(0)) - shift, batch.column(1).to_numpy().astype(float)
         if saved:
-            nears, uppers, lowers = (_matrix(batch.column(j)) for j in (2, 3, 4))
-        new = [np.zeros((rows, len(fits)), kind) for kind in (np.int16, np.float32, np.float32)] if keep else None
-        weighted, square = x * n[:, None], float(((x**2).sum(axis=1) * n).sum())
-        for place, (f, c) in enumerate(fits.items()):
-            k = len(c)
+            values, numbers = _unpacked(batch.column(0), np.float64, d), _unpacked(batch.column(1), np.int64, 1)[:, 0]
+            nears, uppers, lowers = (_unpacked(batch.column(j), kind, len(saved[0])) for j, kind in ((2, np.int16), (3, np.float32), (4, np.float32)))
+        else:
+            values, numbers = _matrix(batch.column(0)), batch.column(1).to_numpy()
+        new = [np.zeros((len(values), len(fits)), kind) for kind in (np.int16, np.float32, np.float32)] if keep else None
+        for start_ in range(0, len(values), most):
+            part = slice(start_, start_ + most)
+            x, n = values[part] - shift, numbers[part].astype(float)
             if saved:
-                at = saved[0].index(f)
-                near = nears[:, at].astype(np.int64)
-                upper = uppers[:, at] + moved[f][near]
-                lower = lowers[:, at] - moved[f].max()
-                look = np.flatnonzero(upper * (1 + SLACK) >= np.maximum(lower, apart[f][near]) * (1 - SLACK))
+                old = nears[part][:, at].astype(np.int64)
+                own = old + first
+                upper, lower = uppers[part][:, at] + moved[own], lowers[part][:, at] - farthest
+                look = upper * (1 + SLACK) >= np.maximum(lower, apart[own]) * (1 - SLACK)
+                shares = look.mean(axis=0)
             else:
-                near, upper, lower = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-                look = np.arange(rows)
-            if len(look):
-                far = _squares(x[look], c)
-                near[look] = far.argmin(axis=1)
-                two = np.partition(far, 1, axis=1)[:, :2] if k > 1 else np.stack([far[:, 0], np.full(len(look), np.inf)], axis=1)
-                upper[look], lower[look] = np.sqrt(two[:, 0]), np.sqrt(two[:, 1])
-            sums = held[f]
-            for j in range(x.shape[1]):
-                sums[j * k:(j + 1) * k] += np.bincount(near, weighted[:, j], k)
-            sums[-k - 2:-2] += np.bincount(near, n, k)
-            sums[-2] += square
-            sums[-1] += len(look) * k
+                shares = np.ones(len(fits))
+                square += float(((x**2).sum(axis=1) * n).sum())
+            whole = [j for j in range(len(fits)) if shares[j] > MANY]
+            if whole:
+                centres = np.concatenate([np.arange(first[j], first[j] + sizes[j]) for j in whole])
+                all_far = minus[centres] @ x.T
+                all_far += squares[centres][:, None]
             if keep:
-                new[0][:, place], new[1][:, place], new[2][:, place] = near, upper * (1 + SLACK), lower * (1 - SLACK)
+                norms = (x**2).sum(axis=1)
+            done, weighted = 0, None
+            for j, k in enumerate(sizes):
+                if shares[j] > MANY:
+                    some, of = slice(None), np.arange(len(x))
+                    far = all_far[done:done + k]
+                    done += k
+                elif shares[j] > 0:
+                    some = of = np.flatnonzero(look[:, j])
+                    far = minus[first[j]:first[j] + k] @ x[some].T + squares[first[j]:first[j] + k, None]
+                else:
+                    some = of = np.zeros(0, np.int64)
+                near, best, next_ = _nearest(far, keep) if len(of) else (of, None, None)
+                counted[j] += len(of) * k
+                if saved:
+                    was = old[some, j]
+                    other = np.flatnonzero(near != was)
+                    if len(other):
+                        rows = np.concatenate([x[of[other]], np.ones((len(other), 1))], axis=1) * n[of[other], None]
+                        _add(totals[j], near[other], rows)
+                        _add(totals[j], was[other], rows, -1)
+                else:
+                    if weighted is None:
+                        weighted = np.concatenate([x, np.ones((len(x), 1))], axis=1) * n[:, None]
+                    _add(totals[j], near, weighted)
+                if keep:
+                    if saved:
+                        for kept, now in zip(new, (old, upper, lower)):
+                            kept[part, j] = now[:, j] * (1 + SLACK if now is upper else 1 - SLACK if now is lower else 1)
+                    if len(of):
+                        new[0][part][some, j] = near
+                        new[1][part][some, j] = np.sqrt(np.maximum(best + norms[some], 0)) * (1 + SLACK)
+                        new[2][part][some, j] = np.sqrt(np.maximum(next_ + norms[some], 0)) * (1 - SLACK)
         if keep:
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in (_matrix(batch.column(0)), *new)]
-            yield pa.RecordBatch.from_arrays([lists[0], batch.column(1), *lists[1:],
-                                              pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.float64()))], ["x", "n", "near", "upper", "lower", "fit", "sums"])
-    sums = [pa.array(fit_ids, pa.int32()), pa.array([held[f] for f in fit_ids], pa.list_(pa.float64()))]
+            each = max(1, PACK // d)
+            packed = [_packed(v, each) for v in (values, numbers.reshape(-1, 1).astype(np.int64), *new)]
+            yield pa.RecordBatch.from_arrays([*packed, pa.nulls(len(packed[0]), pa.int32()), pa.nulls(len(packed[0]), pa.list_(pa.float64()))], _NAMES)
+    sums = [pa.array(fit_ids, pa.int32()), pa.array([np.append(t.ravel(), [square, c]) for t, c in zip(totals, counted)], pa.list_(pa.float64()))]
     if keep:
-        kinds = (pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.float32()), pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(fits), t) for t in kinds), *sums], ["x", "n", "near", "upper", "lower", "fit", "sums"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(fits), pa.binary()) for _ in range(5)), *sums], _NAMES)
     else:
         yield pa.RecordBatch.from_arrays(sums, ["fit", "sums"])
 
@@ -249,6 +324,7 @@ class _Rows:
     def __init__(self, data: DataFrame) -> None:
         self.spark, self.read = data.sparkSession, data
         self.saved: tuple | None = None
+        self.base: dict[int, np.ndarray] = {}
         self.path: str | None = None
 
     def run(self, fits: dict[int, np.ndarray], shift: np.ndarray, keep: bool) -> dict[int, np.ndarray]:
@@ -258,15 +334,19 @@ class _Rows:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _steps(batches, *shared.value, keep)
 
+        def whole(sums: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+            """With the sums when the bounds were written, of which the tasks sent the changes; the last number is the pass's own."""
+            return {f: v + np.append(self.base[f][:-1], 0.0) if f in self.base else v for f, v in sums.items()}
+
         if not keep:
-            return _added(self.read.mapInArrow(task, _SUMS))
+            return whole(_added(self.read.mapInArrow(task, _SUMS)))
         schema, path, old = f"{_STATE}, {_SUMS}", scratch_path(self.spark, f"kmeans-{uuid.uuid4().hex}"), self.path
         self.read.mapInArrow(task, schema).write.parquet(path)
         written = self.spark.read.schema(schema).parquet(path)
         self.read, self.path, self.saved = written.where("fit IS NULL").select("x", "n", "near", "upper", "lower"), path, (list(fits), fits)
-        sums = _added(written.where("fit IS NOT NULL").select("fit", "sums"))
+        self.base = whole(_added(written.where("fit IS NOT NULL").select("fit", "sums")))
         self.remove(old)
-        return sums
+        return self.base
 
     def remove(self, path: str | None) -> None:
         if path:
@@ -290,7 +370,8 @@ def lloyd(data: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
         sums = state.run({i: f.centres - mean for i, f in active.items()}, mean, power)
         for i, f in list(active.items()):
             k, own = len(f.centres), sums[i]
-            total, n = own[:-k - 2].reshape(-1, k).T, own[-k - 2:-2]
+            both = own[:-2].reshape(k, -1)
+            total, n = both[:, :-1], both[:, -1]
             now = f.centres - mean
             f.cost = float(own[-2] - 2 * (now * total).sum() + (n * (now**2).sum(axis=1)).sum())
             f.iterations = step

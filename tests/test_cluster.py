@@ -246,3 +246,42 @@ def test_five_thousand_centres_of_64_numbers(spark):
     want = np.array([((p - centres) ** 2).sum(axis=1).argmin() for p in pts])
     assert sorted(got) == sorted(want.tolist())
     assert NearestCentres(centres)(pts)[0].tolist() == want.tolist()
+
+
+def test_passes_over_packed_rows_send_the_changes_only():
+    """Sums of three fits (one of many centres) by packed rows and bounds equal plain sums; nothing is sent where nothing moved."""
+    import pyarrow as pa
+
+    from peerpanel.operators.cluster import _steps
+
+    rng = np.random.default_rng(11)
+    x, n = rng.normal(3, 2, (5000, 5)), rng.integers(1, 4, 5000)
+    shift = x.mean(axis=0)
+    fits = {f: x[rng.choice(len(x), k, replace=False)] - shift for f, k in ((0, 2), (3, 9), (4, 90))}
+    rows = pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(n)], ["x", "n"])
+
+    def sums(batch):
+        return {f: np.array(v) for f, v in zip(batch.column("fit").to_pylist(), batch.column("sums").to_pylist())}
+
+    def plain(fits):
+        out = {}
+        for f, c in fits.items():
+            near = ((x - shift)[:, None, :] - c[None]) ** 2
+            near = near.sum(axis=2).argmin(axis=1)
+            both = np.zeros((len(c), 6))
+            np.add.at(both, near, np.concatenate([x - shift, np.ones((len(x), 1))], axis=1) * n[:, None])
+            out[f] = both.ravel()
+        return out
+
+    packed, first = _steps(iter([rows]), fits, shift, None, True)
+    assert packed.num_rows < len(x) / 10 and packed.nbytes < 1.1 * len(x) * (5 * 8 + 8 + 3 * 10)
+    base = {f: v[:-2] for f, v in sums(first).items()}
+    assert all(np.allclose(base[f], v) for f, v in plain(fits).items())
+    still, = _steps(iter([packed.slice(0, 7), packed.slice(7)]), fits, shift, (list(fits), fits), False)
+    assert all(not v[:-1].any() for v in sums(still).values())
+    moved = {f: fits[f] + rng.normal(0, 0.05, fits[f].shape) for f in (0, 4)}
+    again, change = _steps(iter([packed]), moved, shift, (list(fits), fits), True)
+    assert all(np.allclose(base[f] + sums(change)[f][:-2], v) for f, v in plain(moved).items())
+    last = {f: c + 0.01 for f, c in moved.items()}
+    end, = _steps(iter([again]), last, shift, (list(moved), moved), False)
+    assert all(np.allclose(base[f] + sums(change)[f][:-2] + sums(end)[f][:-2], v) for f, v in plain(last).items())
