@@ -22,12 +22,14 @@ All items are searched in one pass; only beyond ``ITEM_BLOCK`` items there is a
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,23 +49,38 @@ BITS, GROUP_WORDS = 1024, 32_768
 #: Rows of a task's matrix that are sent together.
 BLOCK = 32
 BLOCKS = "block int, part int, values array<double>"
-#: Words whose hash a task remembers.
-MAX_WORDS = 1_000_000
+#: Bytes of texts whose words are hashed at once (or one text).
+PIECE = 1 << 22
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’¿¡-–—…"
 
 
-class WordHash(dict):
-    """32-bit hashes of lower-case words without punctuation around them, remembered by word."""
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh32_intdigest((word.strip(PUNCTUATION) or word).encode())
-        return value
+class WordHash:
+    """32-bit hashes of lower-case words without punctuation around them."""
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        if len(self) > MAX_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+        return self.column(pa.array([text], pa.string()))[0]
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The word hashes of each text.  Words are cut and told apart by Arrow, so that each different one is hashed once."""
+        split = pc.utf8_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        lower = [*map(str.lower, words.dictionary.to_numpy(zero_copy_only=False))]
+        values = np.fromiter((xxhash.xxh32_intdigest(w.strip(PUNCTUATION) or w) for w in lower), np.uint32, len(lower))
+        at, ends = words.indices.to_numpy(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        if "" in lower:  # stands before white space at the beginning and after it at the end
+            real = at != lower.index("")
+            at, ends = at[real], np.concatenate([[0], np.cumsum(real)])[ends]
+        ids = values[at]
+        return [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
+def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of ``PIECE`` bytes of text, or one row."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64)), 0
+    while at < batch.num_rows:
+        size = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")) - at)
+        yield batch.slice(at, size)
+        at += size
 
 
 def hashed(docs: DataFrame, text: str) -> DataFrame:
@@ -74,9 +91,8 @@ def hashed(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = WordHash()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids = [word_hash(t).tobytes() for t in part.column(text).to_pylist()]
+            for part in pieces(batch, text):
+                ids = [x.tobytes() for x in word_hash.column(part.column(text))]
                 yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(ids, pa.binary())], [*names, "_ids"])
 
     return docs.select(*names, text).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "_ids binary"]))
@@ -131,6 +147,17 @@ class LatentModel:
     def words(self, ids: np.ndarray) -> np.ndarray:
         return self.vectors[ids % len(self.vectors)]
 
+    def blocks(self, at: np.ndarray, ids: np.ndarray, n: int, size: int) -> np.ndarray:
+        """Sums over ``n`` blocks of ``size`` places each, of the vectors of the words ``ids`` at the places ``at``; the other places are empty."""
+        vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors[:1])])
+        term = np.full(n * size, len(self.vectors))
+        term[at] = ids % len(self.vectors)
+        term = np.ascontiguousarray(term.reshape(n, size).T)
+        out = vectors.take(term[0], axis=0, mode="clip")
+        for k in range(1, size):
+            out += vectors.take(term[k], axis=0, mode="clip")
+        return out
+
 
 def fit(ids: DataFrame, seed: int = 0) -> LatentModel:
     """Randomised SVD of the TF-IDF passages of all rows of ``ids`` (column ``_ids``).
@@ -231,11 +258,7 @@ class Search:
         first = (np.cumsum(coarse) - coarse) * largest  # a text's first place
         at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         ids, n = np.concatenate(texts), int(coarse.sum()) * largest // finest
-        vectors = np.zeros((n * finest, self.model.vectors.shape[1]), np.float32)
-        vectors[at] = self.model.words(ids)
-        if finest > 1:
-            vectors = vectors.reshape(n, finest, -1).sum(axis=1)
-        blocks, maps = {finest: vectors}, {finest: bitmaps(at // finest, ids, n)}
+        blocks, maps = {finest: self.model.blocks(at, ids, n, finest)}, {finest: bitmaps(at // finest, ids, n)}
         step = finest
         while step < largest:
             b, m = blocks[step], maps[step]
@@ -251,22 +274,22 @@ class Search:
             w = b[:-3] + b[1:-2]
             w += b[2:-1]
             w += b[3:]
-            # words of a window and three quarters of it around, which is more than half of any item it stands for
-            around = np.zeros((len(w), m.shape[1]), np.uint64)
-            for shift in range(-3, 7):
-                low = max(0, -shift)
-                high = max(low, min(len(w), len(m) - shift))  # no rows where a few short texts are all there is
-                around[low:high] |= m[low + shift:high + shift]
             size = max(64, COSINES // len(members))
             for start in range(0, len(place), size):
                 part = w[place[start:start + size]]
                 norm = np.sqrt(np.einsum("ij,ij->i", part, part)) + 1e-9
                 inner = part @ right
-                rows, columns = np.nonzero(inner >= (MIN_COSINE * norm)[:, None])
-                for some in range(0, len(rows), 1 << 16):
-                    r, c = rows[some:some + (1 << 16)], columns[some:some + (1 << 16)]
+                alike = np.flatnonzero(inner >= (MIN_COSINE * norm)[:, None])
+                for some in range(0, len(alike), 1 << 16):
+                    r, c = np.divmod(alike[some:some + (1 << 16)], len(members))
                     item = members[c]
-                    there = np.bitwise_count(around[place[start + r]] & self.bits[item]).sum(axis=1, dtype=np.int16)
+                    # words of a window and three quarters of it around, which is more than half of any item it stands for
+                    new = np.concatenate([[True], r[1:] != r[:-1]])
+                    windows = place[start + r[new]]
+                    around = m[windows]
+                    for shift in (-3, -2, -1, 1, 2, 3, 4, 5, 6):  # the first and last block again where there are no more
+                        around |= m.take(windows + shift, axis=0, mode="clip")
+                    there = np.bitwise_count(around[np.cumsum(new) - 1] & self.bits[item]).sum(axis=1, dtype=np.int16)
                     for k in np.flatnonzero(there >= self.least[item]):
                         text = int(of[start + r[k]])
                         word = int(place[start + r[k]]) * step - int(first[text])
@@ -312,14 +335,14 @@ class Search:
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, np.ndarray]]]:
     """The items in blocks of ``ITEM_BLOCK``, in the order of their key and text; null keys and texts are left out."""
-    word_hash, last = WordHash(), None
+    last = None
     rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     while True:
         after = F.lit(True) if last is None else (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("text") > last["text"]))
         block = rows.where(after).orderBy("key", "text").limit(ITEM_BLOCK).collect()
         if not block:
             return
-        yield [(r["key"], word_hash(r["text"])) for r in block]
+        yield [*zip((r["key"] for r in block), WordHash().column(pa.array([r["text"] for r in block], pa.string())), strict=True)]
         last = block[-1]
 
 
@@ -366,9 +389,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id",
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, word_hash = Search(*shared.value), WordHash()
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    kept = [k for k, leaks in enumerate(own.leaks([word_hash(t) for t in part.column(text).to_pylist()])) if not leaks]
+                for part in pieces(batch, text):
+                    kept = [k for k, leaks in enumerate(own.leaks(word_hash.column(part.column(text)))) if not leaks]
                     yield part.take(pa.array(kept, pa.int64())).select(names)
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -558,3 +558,38 @@ def test_leaks_in_groups_of_a_few_short_texts():
                   [items[1][1]], [other, items[0][1], none], [np.concatenate([other, items[0][1]])]):
         got = [[leak[0] for leak in leaks] for leaks in search.leaks(texts)]
         assert got == [[key for key, ids in items if len(text) >= len(ids) and (text[-len(ids):] == ids).all()] for text in texts]
+
+
+def test_words_of_a_column_are_those_of_its_texts(monkeypatch):
+    """Cut and told apart by Arrow, hashed as Python's own words, whatever white space and capitals; each different word of a column once."""
+    import sys
+
+    import pyarrow as pa
+    import xxhash
+
+    def plain(text):
+        words = (text or "").lower().split()
+        return [xxhash.xxh32_intdigest((w.strip(latent_leaks.PUNCTUATION) or w).encode()) for w in words]
+
+    odd = [f"A{chr(i)}bΣ{chr(i)}" for i in range(1, sys.maxunicode + 1) if chr(i).isspace() or i % 97 == 0 and not 0xD800 <= i < 0xE000]
+    texts = [None, "", "  ", " a ", "x ", "ΑΣ 'ΑΣ. A'Σ İx İ", "Same same, (SAME) ... « » «", *odd]
+    column = pa.array([*texts, *texts], pa.string())
+    assert [x.tolist() for x in latent_leaks.WordHash().column(column)] == [plain(t) for t in [*texts, *texts]]
+    assert [x.tolist() for x in latent_leaks.WordHash().column(column.slice(3, 5))] == [plain(t) for t in texts[3:8]]
+    assert latent_leaks.WordHash().column(column.slice(0, 0)) == []
+    assert latent_leaks.WordHash()("One two, ONE").tolist() == plain("One two, ONE")
+    calls, digest = [], xxhash.xxh32_intdigest
+    monkeypatch.setattr(latent_leaks.xxhash, "xxh32_intdigest", lambda w: (calls.append(w), digest(w))[1])
+    latent_leaks.WordHash().column(pa.array(["one two three one"] * 1000))
+    assert sorted(calls) == ["one", "three", "two"]
+
+
+def test_words_are_hashed_in_pieces_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abc", None, "", "x" * 50, "de", "fgh", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(7))], ["text", "k"])
+    monkeypatch.setattr(latent_leaks, "PIECE", 5)
+    assert [p.column("k").to_pylist() for p in latent_leaks.pieces(batch, "text")] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [p.column("k").to_pylist() for p in latent_leaks.pieces(batch.slice(2), "text")] == [[2], [3], [4, 5, 6]]
+    assert list(latent_leaks.pieces(batch.slice(0, 0), "text")) == []
