@@ -331,11 +331,17 @@ def cluster_scatter(clustered: DataFrame, key: str, name: str, total: str, clust
     return clustered.select(col(key), col(name), *[col(p) for p in pcs], col(cluster), col(total))
 
 
+def vectors_once(feats: DataFrame, key: str) -> DataFrame:
+    """The key and the vector of each row, written once: the fit, the projection and the result read them again
+    and again, and would each time compute medians, means and deviations anew."""
+    return cut_lineage(feats.select(col(key), "features"))
+
+
 def cluster_profile_table(profile: DataFrame, key: str, metrics: Sequence[str], k: int, seed: int = 42,
                           restarts: int = 10, project: bool = True) -> DataFrame:
     """M1 + M3 (+ M5) on a profile: standardised metrics, k-means labels and, when
     ``project``, the two components."""
-    feats = features_numeric(profile, key, metrics, keep=[])
+    feats = vectors_once(features_numeric(profile, key, metrics, keep=[]), key)
     clustered = kmeans(feats, k, seed=seed, restarts=restarts)
     if project:
         side = pca_project(clustered, 2).select(col(key), "cluster", "pc1", "pc2")
@@ -359,7 +365,7 @@ def analyse_cohort(profile: DataFrame, designation_col: str, label: str, key: st
     """One designation cohort: totals (P7), mixed features (M2), k-means (M3) and the
     projection (M5), returned as the scatter table (C18)."""
     cohort, feats = cohort_features(profile, designation_col, label, key, metrics, totals, categorical)
-    clustered = kmeans(feats, k, seed=seed, restarts=restarts)
+    clustered = kmeans(vectors_once(feats, key), k, seed=seed, restarts=restarts)
     projected = pca_project(clustered, 2).select(col(key), "cluster", "pc1", "pc2")
     first_total = list(totals)[0]
     return cluster_scatter(cohort.join(projected, on=key), key, name, first_total)

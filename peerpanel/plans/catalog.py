@@ -1305,7 +1305,7 @@ def _clustered_mixed(frame: DataFrame, k: int = 3, restarts: int = 1) -> DataFra
     """Mixed features (all metrics median-filled and standardised, categorical attributes
     one-hot), k-means with the library default of one run, two components."""
     feats = features_mixed(frame, "entity_id", fx.O_ALL_METRICS, MIXED_CATEGORICAL)
-    clustered = kmeans(feats, k, restarts=restarts)
+    clustered = kmeans(C.vectors_once(feats, "entity_id"), k, restarts=restarts)
     side = pca_project(clustered, 2).select("entity_id", "cluster", "pc1", "pc2")
     return frame.join(side, "entity_id")
 

@@ -120,3 +120,25 @@ def test_cohort_shares_declared_order_nulls_unlisted(spark, profile):
     st = C.designations(p, "member", "MEMBER", "designation", ["entity_id", "segment"])
     rows = C.cohort_shares(st, "segment", order=["y", "x"]).collect()
     assert {(r["segment"], r["category_rank"]) for r in rows} == {("y", 0), ("x", 1), (None, None)}
+
+
+def test_vectors_of_a_fit_are_computed_once(spark):
+    """The fit, the projection and the result read written vectors: the profile's rows are read for the statistics, for
+    the vectors and for the result, however many passes there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"e{k}", float(k % 7), float(k * k % 11), "x" if k % 3 else "y", "R1") for k in range(40)]
+    frame = spark.createDataFrame(rows, "entity_id long, entity_name string, a double, b double, kind string, designation string")
+    profile = frame.mapInArrow(counted, frame.schema)
+    table = C.cluster_profile_table(profile, "entity_id", ["a", "b"], 3, restarts=2).collect()
+    assert len(table) == 40 and {r["cluster"] for r in table} == {0, 1, 2}
+    assert seen.value <= 3 * 40
+    seen.value = 0
+    out = C.analyse_cohort(profile, "designation", "R1", "entity_id", "entity_name", ["a", "b"], {"total": ["a", "b"]}, ["kind"]).collect()
+    assert len(out) == 40 and {r["cluster"] for r in out} == {0, 1, 2}
+    assert seen.value <= 16 * 40, seen.value
